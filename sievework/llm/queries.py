@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import exact_dedup as exact
 from .common import table
+from .exact_dedup import exact_dedup
+from .fixity import audit, damaged, records
+from .language_id import identify_language
+from .mixing import mix_sources
+from .secrets import secret_scan
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
@@ -15,10 +21,34 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op6_suffix_array_dedup)}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schedule of all documents at the square-root weights of their sources."""
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of all pages against a replica with known faults."""
+    archive = records(table(spark, sf_dir, "pages"))
+    return audit(archive, damaged(archive))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_substring_dedup, op4_language_id, op5_exact_dedup, op6_suffix_array_dedup, op8_mixing, op9_warc_fixity, op10_secret_scan)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact.SQL}
