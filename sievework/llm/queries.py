@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as exact
 from .common import table
+from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .fixity import audit, damaged, records
 from .language_id import identify_language
 from .mixing import mix_sources
+from .near_dedup import near_dedup
 from .secrets import secret_scan
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -21,6 +23,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents, with the items they contain."""
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
@@ -33,6 +40,10 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The schedule of all documents at the square-root weights of their sources."""
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
@@ -48,7 +59,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_substring_dedup, op4_language_id, op5_exact_dedup, op6_suffix_array_dedup, op8_mixing, op9_warc_fixity, op10_secret_scan)
+_ALL = (op1_substring_dedup, op3_decontamination, op4_language_id, op5_exact_dedup, op6_suffix_array_dedup, op7_near_dedup, op8_mixing, op9_warc_fixity, op10_secret_scan)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact.SQL}
