@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import byte_symbols, covered, find_blocks, span_count
+from .blocks import RunHash, byte_symbols, covered, find_blocks, span_count
 from .common import long_column, text_chunks
 
 _SEEDS = "anchor long, body long, doc_id long, at long"
@@ -125,53 +125,67 @@ class BlindTrie:
                 yield node[1]
 
 
-def deep_shallow_sort(data: bytes, starts: np.ndarray, length: int, shallow: int = 48, small: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def deep_shallow_sort(data: bytes, starts: np.ndarray, length: int, shallow: int = 48) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes at `starts` in the order of their first `length` bytes.
 
-    Returns (the order, and where in it a string unlike the one before begins).
+    Returns (the order, and where in it a string unlike the one before begins). Shallow: all groups of
+    equal prefixes are sorted by their next character, of 8 bytes, until they are single or
+    `shallow` bytes deep. Deep: of each group left, every distinct rest enters a blind trie.
     """
     raw = np.frombuffer(data + bytes(8), np.uint8)
-    chars = np.zeros(len(raw) - 7, np.uint64)  # of 8 bytes each, big-endian
+    chars = np.zeros(len(raw) - 7, np.uint64)  # big-endian
     for k in range(8):
         chars = chars << np.uint64(8) | raw[k : len(raw) - 7 + k]
-    shallow = min(shallow, length) // 8 * 8
-    done: list[np.ndarray] = []
-    heads: list[int] = []  # the sizes of runs of equal strings, in order
-    stack = [(np.arange(len(starts)), 0)]
-    while stack:
-        own, depth = stack.pop()
-        if len(own) == 1:
-            done.append(own)
-            heads.append(1)
-        elif depth >= shallow:
-            trie = BlindTrie(8 * (length - depth))
-            for member, place in zip(own.tolist(), starts[own].tolist(), strict=True):
-                trie.add(int.from_bytes(data[place + depth : place + length], "big"), member)
-            for members in trie.in_order():
-                done.append(np.array(members))
-                heads.append(len(members))
-        else:
-            key = chars[starts[own] + depth]
-            if len(own) > small:  # a ternary split about a pivot
-                pivot = np.sort(key[:: len(key) // 9])[4]
-                below, above = key < pivot, key > pivot
-                stack += [(part, at) for part, at in ((own[above], depth), (own[~(below | above)], depth + 8), (own[below], depth)) if len(part)]
+    n = len(starts)
+    order, new = np.zeros(n, np.int64), np.zeros(n, bool)
+    own, group, depth = np.arange(n), np.zeros(n, np.int64), 0  # a group is named by the place of its first member
+    while len(own) and depth < min(shallow, length) // 8 * 8:
+        key = chars[starts[own] + depth]
+        by = np.lexsort((key, group))
+        own, group, key = own[by], group[by], key[by]
+        group, first, size = _split(group, np.append(True, (group[1:] != group[:-1]) | (key[1:] != key[:-1])))
+        single = np.repeat(size == 1, size)
+        order[group[single]] = own[single]
+        new[group[first]] = True
+        own, group, depth = own[~single], group[~single], depth + 8
+    if len(own):
+        # Equal rests are found by hash, compared, and entered once.
+        rest = RunHash(byte_symbols(raw)).of(starts[own] + depth, starts[own] + length)
+        by = np.lexsort((rest, group))
+        own, group, rest = own[by], group[by], rest[by]
+        place = starts[own]
+        differs = (group[1:] != group[:-1]) | (rest[1:] != rest[:-1])
+        for at in [*range(depth, length - 7, 8), max(depth, length - 8)]:
+            differs |= chars[place[1:] + at] != chars[place[:-1] + at] if length - at >= 8 else False
+        first = np.flatnonzero(np.append(True, differs))
+        last = np.append(first[1:], len(own))
+        heads = np.flatnonzero(np.append(True, group[first][1:] != group[first][:-1]))
+        for lo, hi in zip(heads.tolist(), np.append(heads[1:], len(first)).tolist(), strict=True):
+            to = int(group[first[lo]])
+            if hi - lo == 1:
+                ranked = [[lo]]
             else:
-                order = np.argsort(key, kind="stable")
-                own, key = own[order], key[order]
-                new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                if len(new) == len(own):
-                    done.append(own)
-                    heads += [1] * len(own)
-                else:
-                    stack += [(own[x:y], depth + 8) for x, y in zip(new[::-1].tolist(), np.append(new[1:], len(own))[::-1].tolist(), strict=True)]
-    order = np.concatenate(done) if done else np.zeros(0, np.int64)
-    new = np.zeros(len(order), bool)
-    if len(order):
-        new[np.append(0, np.cumsum(heads)[:-1])] = True
+                trie = BlindTrie(8 * (length - depth))
+                for k, at in zip(range(lo, hi), place[first[lo:hi]].tolist(), strict=True):
+                    trie.add(int.from_bytes(data[at + depth : at + length], "big"), k)
+                ranked = trie.in_order()
+            for same in ranked:
+                new[to] = True
+                for k in same:
+                    order[to : to + last[k] - first[k]] = own[first[k] : last[k]]
+                    to += int(last[k] - first[k])
     return order, new
 
 
+def _split(group: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups renamed where a new one begins inside: (names by member, first members, sizes)."""
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(group)))
+    head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    offset = np.arange(len(group)) - np.repeat(head, np.diff(np.append(head, len(group))))
+    return np.repeat((group + offset)[first], size), first, size
+
+
 def _repeats(length: int, shallow: int, target: int = 4 << 20):
     """Of the blocks, sorted by anchor: each window that also starts earlier. Whole anchors are held together, about `target` bytes of them."""
 
