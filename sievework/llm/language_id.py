@@ -6,7 +6,8 @@ subwords' embeddings; a linear layer and a softmax over the languages follow. Em
 layer are trained together by stochastic gradient descent in numpy on segments
 of a bounded sample: about `sample` documents for each language, chosen by a hash of the id.
 One part in five of that sample is kept out of training: on it a temperature is fitted, so
-that scores are calibrated, and with it the score below which a prediction is rejected.
+that scores are calibrated, and a prediction is rejected if its score is below `margin` times the
+lowest of the calibration texts that were recognised (one half at most).
 
 The trained model is a table of buckets x languages (embedding times layer), so that a
 prediction is one gather and one sum per byte of the text, whole texts included.
@@ -102,7 +103,7 @@ def _segments(texts: list[bytes], rng) -> tuple[list[bytes], list[int]]:
     return out, of
 
 
-def fit(texts: list[str], labels: list[str], *, bits: int = 15, dim: int = 16, epochs: int = 6, least_steps: int = 1000, rate: float = 30.0, batch: int = 64, seed: int = 7, reject_share: float = 0.0005) -> LanguageModel:
+def fit(texts: list[str], labels: list[str], *, bits: int = 15, dim: int = 16, epochs: int = 6, least_steps: int = 1000, rate: float = 30.0, batch: int = 64, seed: int = 7, margin: float = 0.75) -> LanguageModel:
     """Train on (text, language) pairs; every fifth pair calibrates."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
@@ -156,7 +157,7 @@ def fit(texts: list[str], labels: list[str], *, bits: int = 15, dim: int = 16, e
     whole = model.probabilities(np.frombuffer(b"".join(kept), np.uint8), at[: len(kept) + 1])
     right = whole.argmax(1) == truth[: len(kept)]
     if right.any():
-        model.reject_below = float(min(0.5, np.quantile(whole.max(1)[right], reject_share)))
+        model.reject_below = margin * float(min(0.5, whole.max(1)[right].min()))
     return model
 
 
@@ -176,7 +177,7 @@ def train(docs: DataFrame, *, sample: int = 400, **options) -> LanguageModel | N
     return fit([r.text for r in rows], [r.lang for r in rows], **options) if rows else None
 
 
-def _predict(model: LanguageModel | None):
+def _predict(model: LanguageModel | None, carry: bool):
     def scan(batches):
         for batch in batches:
             limit = 1 << 20 if model is None else max(1 << 16, min(1 << 20, (1 << 22) // len(model.languages)))
@@ -190,7 +191,7 @@ def _predict(model: LanguageModel | None):
             lang = [model.languages[k] if has else UNKNOWN for k, has in zip(best, letter, strict=True)]
             score = [min(1.0, s) if has else 0.0 for s, has in zip(score, letter, strict=True)]
             rejected = [not has or s < model.reject_below for s, has in zip(score, letter, strict=True)]
-            names = [c for c in batch.schema.names if c != "text"]
+            names = [c for c in batch.schema.names if carry or c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*names, "lang_pred", "score", "rejected"])
 
     return scan
@@ -201,4 +202,14 @@ def identify_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     model = model or train(rows, sample=sample, **options)
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(_predict(model), f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    return rows.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(_predict(model, False), f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+
+
+def with_language(docs: DataFrame, *, text_col: str = "text", sample: int = 400, model: LanguageModel | None = None, **options) -> DataFrame:
+    """The documents with lang_pred, score and rejected. Needs the columns doc_id and lang where no model is given."""
+    added = "lang_pred string, score double, rejected boolean"
+    docs = docs.drop("lang_pred", "score", "rejected")
+    model = model or train(docs.select("doc_id", F.col(text_col).cast("string").alias("text"), F.col("lang").cast("string")), sample=sample, **options)
+    rows = docs.withColumnRenamed(text_col, "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(_predict(model, True), f"{schema}, {added}").withColumnRenamed("text", text_col)

@@ -91,16 +91,51 @@ def within_edits(a: str, b: str, edits: int) -> str:
         transform(array(named_struct('k', z.k, 'f', {ahead})), y -> transform(array(named_struct('k', y.k, 'f', y.f, 'g', {behind})), x -> {inner})[0])[0])[0] <= {edits})"""
 
 
-def similar_lines(uniq: DataFrame, docs: DataFrame, edits: int) -> DataFrame:
-    """(a, b): hashes of lines within `edits`. uniq has (doc_id, no, lid), one row per line; docs has (doc_id, text)."""
-    flags = uniq.groupBy("doc_id").agg(F.max("no").alias("last"), F.collect_list(F.struct("no", "lid")).alias("own"))
-    # One slot per line of the document, so that lines and flags are walked together.
-    slots = flags.withColumn("slots", F.expr("map_from_entries(own)")).select("doc_id", "own")
-    texts = docs.join(slots, "doc_id")
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"), "own") if False else None
-    return lines
+def similar_lines(lines: DataFrame, uniq: DataFrame, edits: int) -> DataFrame:
+    """(a, b): hashes of lines within `edits`. lines has (doc_id, no, key), uniq one (doc_id, no) per line."""
+    texts = lines.join(uniq, ["doc_id", "no"]).withColumn("n", F.length("key"))
+    index = texts.select(F.col("doc_id").alias("a_doc"), F.col("no").alias("a_no"), F.explode(F.expr(index_keys("key", "n", edits))).alias("k"))
+    probe = texts.select(F.col("doc_id").alias("b_doc"), F.col("no").alias("b_no"), F.explode(F.expr(probe_keys("key", "n", edits))).alias("k")).where("k IS NOT NULL")
+    met = index.join(probe, "k").where("a_doc != b_doc OR a_no != b_no")
+    swap = F.expr("a_doc < b_doc OR a_doc = b_doc AND a_no < b_no")
+    ends = [F.struct("a_doc", "a_no"), F.struct("b_doc", "b_no")]
+    pairs = met.select(F.when(swap, ends[0]).otherwise(F.struct(F.col("b_doc").alias("a_doc"), F.col("b_no").alias("a_no"))).alias("x"), F.when(swap, ends[1]).otherwise(F.struct(F.col("a_doc").alias("b_doc"), F.col("a_no").alias("b_no"))).alias("y"))
+    pairs = materialise(pairs.select("x.*", "y.*").distinct())
+    involved = pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_no").alias("no")).union(pairs.select("b_doc", "b_no")).distinct()
+    # Exact repeats of a line inside rows that share an id are one line.
+    found = lines.join(involved, ["doc_id", "no"]).dropDuplicates(["doc_id", "no"])
+    for side in ("a", "b"):
+        own = found.select(F.col("doc_id").alias(f"{side}_doc"), F.col("no").alias(f"{side}_no"), F.col("key").alias(side), F.xxhash64("key").alias(f"{side}_id"))
+        pairs = pairs.join(own, [f"{side}_doc", f"{side}_no"])
+    return materialise(pairs.where(F.expr(within_edits("a", "b", edits))).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = 1, min_chars: int = 16) -> DataFrame:
     """The documents with their repeated lines removed from the text, and n_lines and n_removed."""
-    raise NotImplementedError
+    docs = docs.drop(*ADDED)
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    lines = plain.select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("doc_id", "no", F.expr(_TRIM.format("line")).alias("key"))
+    compared = lines.where(F.length("key") >= max(min_chars, edits + 1))
+    occurs = materialise(lines.select("doc_id", "no", F.when(F.length("key") >= max(min_chars, edits + 1), F.xxhash64("key")).alias("lid")))
+    known = occurs.where("lid IS NOT NULL")
+    uniq = _first(known, "lid")
+    links = similar_lines(compared, materialise(uniq.select("doc_id", "no")), edits)
+    classes = connected_components(links).select(F.col("id").alias("lid"), "component")
+    kept = _first(known.join(classes, "lid", "left").select("doc_id", "no", F.coalesce("component", "lid").alias("class")), "class")
+    flags = occurs.join(kept.select("doc_id", "no", F.lit(True).alias("kept")), ["doc_id", "no"], "left")
+    flags = flags.groupBy("doc_id", "no").agg(F.min(F.expr("lid IS NOT NULL AND kept IS NULL")).alias("gone"))
+    flags = flags.groupBy("doc_id").agg(F.expr("transform(array_sort(collect_list(struct(no, gone))), x -> x.gone)").alias("_gone"))
+    out = docs.join(flags.withColumnRenamed("doc_id", "_id"), F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
+    cut = F.expr(f"array_join(zip_with(split(`{text_col}`, '\n'), _gone, (l, g) -> IF(coalesce(g, false), NULL, coalesce(l, ''))), '\n')")
+    out = out.withColumns({
+        text_col: F.when(F.exists("_gone", lambda g: g), cut).otherwise(F.col(text_col)),
+        "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n"))).cast("long"),
+        "n_removed": F.coalesce(F.size(F.filter("_gone", lambda g: g)), F.lit(0)).cast("long"),
+    })
+    return out.drop("_gone")
+
+
+def _first(rows: DataFrame, key: str) -> DataFrame:
+    """(doc_id, no, key) of the first row of each key. Only minima are taken by the key itself, which may be hot."""
+    doc = rows.groupBy(key).agg(F.min("doc_id").alias("doc_id"))
+    return rows.groupBy("doc_id", key).agg(F.min("no").alias("no")).join(doc, ["doc_id", key])

@@ -72,7 +72,7 @@ def superminhash(elements: np.ndarray, registers: int, piece: int = 1 << 15) ->
         for step in range(registers):
             if least.max() < step:
                 break
-            u = scramble(own + _STEP * np.uint64(step + 1))
+            u = scramble(own + np.uint64((step + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
             rank = (u >> np.uint64(11)) * 2.0**-53
             swap = step + ((scramble(u ^ _STEP) >> np.uint64(32)) * np.uint64(registers - step) >> np.uint64(32)).astype(np.int64)
             hit = order[rows, swap]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact_dedup as exact
 from .common import table
@@ -12,6 +13,7 @@ from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .fixity import audit, damaged, records
 from .language_id import identify_language
+from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .near_dedup import near_dedup
 from .secrets import secret_scan
@@ -23,6 +25,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contaminated documents, with the items they contain."""
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -59,7 +66,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_substring_dedup, op3_decontamination, op4_language_id, op5_exact_dedup, op6_suffix_array_dedup, op7_near_dedup, op8_mixing, op9_warc_fixity, op10_secret_scan)
+_ALL = (op1_substring_dedup, op2_line_dedup, op3_decontamination, op4_language_id, op5_exact_dedup, op6_suffix_array_dedup, op7_near_dedup, op8_mixing, op9_warc_fixity, op10_secret_scan)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact.SQL}
