@@ -174,14 +174,14 @@ _INSTRUMENTS = [("covered", "stems_the", "IC4", False, "archival", 12, "2024-01-
 _HISTORY = """WITH co AS (SELECT DISTINCT user_id AS company_id FROM events), th AS (SELECT * FROM (VALUES ('stems_the', DATE '2024-01-01'), ('stems_der', DATE '2024-01-08'), ('stems_que', DATE '2024-01-15')) t(theme, since)),
 bu AS (SELECT strftime(d, '%G-W%V') AS bucket_id, CAST(d AS DATE) AS bs, CAST(d + INTERVAL 6 DAY AS DATE) AS be FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 7 DAY) g(d)),
 i AS (SELECT * FROM (VALUES ('covered', 'stems_the', 'IC4', false, 'archival', 12, DATE '2024-01-01'), ('absent_confirmed', 'stems_der', 'IC4', false, 'bounded', 1, DATE '2024-01-01'), ('partial', 'stems_der', 'IC3', true, 'current_only', 0, DATE '2024-01-08'), ('absent_confirmed', 'stems_que', 'IC3', false, 'current_only', 0, DATE '2024-01-01')) t(signal, theme, cls, po, reach, months, eff)),
-a AS (SELECT company_id, outcome AS signal, outcome, CAST(ts AS DATE) AS seen FROM at WHERE outcome <> 'not_covered'),
+a AS (SELECT company_id, outcome AS signal, outcome, CAST(ts AS DATE) AS seen FROM tries WHERE outcome <> 'not_covered'),
 r AS (SELECT a.company_id, i.theme, bu.bucket_id, max(i.cls) FILTER (a.outcome = 'absent_confirmed' AND NOT i.po) AS lic FROM a JOIN i ON a.signal = i.signal JOIN bu ON bu.bs <= a.seen AND i.eff <= a.seen AND CASE i.reach WHEN 'archival' THEN true WHEN 'current_only' THEN a.seen <= bu.be ELSE a.seen - bu.be <= floor(i.months * 30.44) END GROUP BY ALL),
 o AS (SELECT event_id, user_id AS company_id, 'stems_the' AS theme, CAST(ts AS DATE) AS pub, CASE WHEN value > 100 THEN 'active' ELSE 'planned' END AS state, CASE WHEN value > 200 THEN 'A' ELSE NULL END AS grade, value AS conf FROM events WHERE event_type = 'purchase' AND value > 30),
 f AS (SELECT company_id, theme, bucket_id, count(*) AS n, arg_max(state, (conf, pub, event_id)) AS state, max(coalesce(grade, 'C')) AS grade FROM o JOIN bu ON o.pub <= bu.be AND bu.bs <= DATE '2024-01-30' AND bu.be - o.pub <= 1825 GROUP BY ALL),
 s AS (SELECT co.company_id, th.theme, bu.bucket_id, CASE WHEN bu.be < th.since THEN 'theme_not_detectable' WHEN f.n > 0 THEN 'observed' WHEN r.company_id IS NULL THEN 'no_reach' WHEN r.lic IS NOT NULL THEN 'absence_licensed_' || r.lic ELSE 'no_absence_license' END AS reason, f.state AS st, f.n, f.grade AS gr
  FROM co CROSS JOIN th CROSS JOIN bu LEFT JOIN r ON r.company_id = co.company_id AND r.theme = th.theme AND r.bucket_id = bu.bucket_id LEFT JOIN f ON f.company_id = co.company_id AND f.theme = th.theme AND f.bucket_id = bu.bucket_id),
 h AS (SELECT company_id, theme, bucket_id, CASE WHEN reason = 'observed' THEN 'observed' WHEN starts_with(reason, 'absence') THEN 'absent' ELSE 'null' END AS status, reason, CASE WHEN reason = 'observed' THEN st END AS state, coalesce(CASE WHEN reason = 'observed' THEN n END, 0) AS evidence_count, CASE WHEN reason = 'observed' THEN gr END AS lowest_grade FROM s) """
-_HISTORY = _A.replace("WITH a AS", "WITH at AS").rstrip() + ", " + _HISTORY.removeprefix("WITH ")
+_HISTORY = _A.replace("WITH a AS", "WITH tries AS").rstrip() + ", " + _HISTORY.removeprefix("WITH ")
 
 
 def _history(spark, sf):
