@@ -8,9 +8,9 @@ are children looked at, so equal branches cost one comparison. Offsets inside a
 are those of the reference replica.
 
 Every level is a groupBy over `fan` times fewer rows; descents are joins on node numbers.
-Nothing but the number of levels comes to the driver.
+Nothing but the range of the numbers comes to the driver.
 
-Cases: a null number is replaced by a hash of the target; records that share a number share a
+Cases: a null number is replaced by a negative one, from a checksum of the target; records that share a number share a
 leaf, which hashes them in the order of their digests; a null target or body reads as empty;
 two empty replicas agree; other columns are ignored.
 """
@@ -36,7 +36,8 @@ def warc_record(number: Column, url: Column, body: Column) -> Column:
 
 def records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """number, record (text) of each page."""
-    number = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(url_col))
+    unnamed = -1 - F.crc32(F.coalesce(F.col(url_col).cast("string"), F.lit("")))
+    number = F.coalesce(F.col(id_col).cast("long"), unnamed)
     return pages.select(number.alias("number"), warc_record(number, F.col(url_col).cast("string"), F.col(body_col).cast("string")).alias("record"))
 
 
@@ -48,10 +49,16 @@ def leaves(rows: DataFrame) -> DataFrame:
 
 
 def _above(nodes: DataFrame, fan: int) -> DataFrame:
-    """The next level: children are hashed with their numbers, so that a hole changes the parent."""
-    child = F.struct("node", "digest")
+    """The next level of both trees: children are hashed with their numbers, so that a hole changes the parent."""
     text = F.expr("array_join(transform(array_sort(collect_list(struct(node, digest))), c -> concat(c.node, ':', c.digest)), ',')")
-    return nodes.withColumn("_child", child).groupBy(F.floor(F.col("node") / fan).cast("long").alias("_up")).agg(F.sha2(text, 256).alias("digest")).withColumnRenamed("_up", "node")
+    up = nodes.withColumn("up", F.floor(F.col("node") / fan).cast("long"))
+    return up.groupBy("replica", "up").agg(F.sha2(text, 256).alias("digest")).withColumnRenamed("up", "node")
+
+
+def _differing(nodes: DataFrame) -> DataFrame:
+    """node, expected, found of the nodes that are not the same in both trees."""
+    sides = [F.max(F.when(F.col("replica") == k, F.col("digest"))).alias(name) for k, name in enumerate(("expected", "found"))]
+    return nodes.groupBy("node").agg(*sides).where("NOT (expected <=> found)")
 
 
 def audit(reference: DataFrame, replica: DataFrame, *, fan: int = 16, file_records: int = 4096) -> DataFrame:
@@ -59,33 +66,25 @@ def audit(reference: DataFrame, replica: DataFrame, *, fan: int = 16, file_recor
 
     Inputs have (number, record). offset is the place in the reference file; null for an extra record.
     """
-    a, b = materialise(leaves(reference)), materialise(leaves(replica))
-    bounds = a.select("number").unionByName(b.select("number")).agg(F.min("number"), F.max("number")).first()
-    levels, low, high = 0, bounds[0] or 0, bounds[1] or 0
-    while low != high:
-        low, high, levels = low // fan, high // fan, levels + 1
-        if (low, high) == (-1, 0):  # numbers of both signs meet above the last level
-            levels += 1
-            break
-    trees = [[t.select(F.col("number").alias("node"), "digest")] for t in (a, b)]
-    for _ in range(levels):
-        for t in trees:
-            t.append(_above(t[-1], fan))
-    differ = None
-    for level in range(levels, -1, -1):
-        sides = [t[level] for t in trees]
-        if differ is not None:
-            up = differ.select(F.col("node").alias("_up"))
-            sides = [s.withColumn("_up", F.floor(F.col("node") / fan).cast("long")).join(up, "_up", "left_semi").drop("_up") for s in sides]
-        x, y = (s.select("node", F.col("digest").alias(name)) for s, name in zip(sides, ("expected", "found"), strict=True))
-        differ = x.join(y, "node", "full_outer").where("NOT (expected <=> found)")
+    own = materialise(leaves(reference))
+    both = own.select(F.lit(0).alias("replica"), F.col("number").alias("node"), "digest").unionByName(leaves(replica).select(F.lit(1).alias("replica"), F.col("number").alias("node"), "digest"))
+    tree = [materialise(both)]
+    low, high = (x or 0 for x in tree[0].agg(F.min("node"), F.max("node")).first())
+    while low != high and (low, high) != (-1, 0):  # numbers of both signs never meet in one node
+        low, high = low // fan, high // fan
+        tree.append(materialise(_above(tree[-1], fan)))
+    # Each level is written once and so is what differs on it: a descent reads no branch that agrees.
+    differ = _differing(tree[-1])
+    for nodes in tree[-2::-1]:
+        up = materialise(differ).select(F.col("node").alias("up"))
+        differ = _differing(nodes.withColumn("up", F.floor(F.col("node") / fan).cast("long")).join(up, "up", "left_semi"))
     file = F.floor(F.col("number") / file_records).cast("long")
-    placed = a.select("number", "bytes", file.alias("file")).withColumn("offset", F.sum("bytes").over(Window.partitionBy("file").orderBy("number")) - F.col("bytes"))
+    placed = own.select("number", "bytes", file.alias("file")).withColumn("offset", F.sum("bytes").over(Window.partitionBy("file").orderBy("number")) - F.col("bytes"))
     status = F.when(F.col("expected").isNull(), "extra").when(F.col("found").isNull(), "missing").otherwise("corrupt")
     return (
         differ.withColumnRenamed("node", "number")
         .join(placed.drop("file"), "number", "left")
-        .select("number", file.alias("file"), "offset", "bytes", status.alias("status"), "expected", "found", F.lit(levels).alias("levels"))
+        .select("number", file.alias("file"), "offset", "bytes", status.alias("status"), "expected", "found", F.lit(len(tree) - 1).alias("levels"))
     )
 
 
