@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges of a graph that one task takes.
+EDGES_PER_TASK = 100_000
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
@@ -73,18 +75,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     ever aggregated with min(), which combines before the shuffle, and joined
     back over a salted key.
     """
-    cur = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u != v").distinct()
-    cur = materialise(cur)
-    before = None
+    cur = materialise(edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u != v").distinct())
+    parts = 1 + cur.count() // EDGES_PER_TASK
+    sized = lambda df: df.coalesce(parts)  # noqa: E731  edges never get more; a task for each shuffle partition would write more files than rows
+    cur, before = sized(cur), None
     while True:
-        both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
+        both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
+        least = sized(both.groupBy("u").agg(F.min("v").alias("m"))).select("u", F.least("u", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
         large = both.where("v > u").withColumn("salt", F.pmod(F.hash("v"), F.lit(8))).join(least, ["u", "salt"])
-        large = large.select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
-        cur = materialise(small)
+        large = sized(sized(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")).distinct())
+        low = sized(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = sized(large.join(low, "u")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v")
+        cur = materialise(sized(small.distinct()))
         state = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break
