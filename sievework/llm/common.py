@@ -33,6 +33,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A table of a few numbers a row, to be broadcast if it has no more than `rows` rows (counted), else joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def text_chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slice a batch into runs of rows holding about `limit` bytes of text.
 

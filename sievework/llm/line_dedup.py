@@ -8,6 +8,9 @@ could be a segment of a line as long or up to `edits` shorter. Lines that meet a
 verified by a bit-parallel edit distance inside a band of 2 edits + 1 diagonals. Linked
 lines form classes; of a class the first line (smallest document, then place) stays.
 
+A segment that many lines have is not joined: its lines are split again, on the side where they may
+differ, so the lines of a common half meet by its quarters and no group is expanded into all pairs.
+
 Exact copies are merged before any of this by their hash, combined before the shuffle, so a line that
 stands in a third of all documents is one row of the index. Lines that stay are known by (document, place),
 which is never a hot key; the others are known by their absence.
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, if_small, materialise
 
 ADDED = ("n_lines", "n_removed")
 _TRIM = r"trim(BOTH ' \t\r' FROM {})"
@@ -36,27 +39,34 @@ def _segment(n: str, i: int, edits: int) -> tuple[str, str]:
     return f"({n} DIV {parts} * {i} + {longer})", f"({n} DIV {parts} + CAST({i} >= {parts} - {n} % {parts} AS int))"
 
 
+def _key(hashed: str, start: str, size: str, n: str, shift: int, own: str) -> str:
+    """SQL struct (k, lo, hi): a key and the place, in the line of `own` characters, of what its segment leaves on the longer side."""
+    left = f"{start} >= {n} - {start} - {size}"
+    return f"struct({hashed} AS k, IF({left}, 0, {start} + {shift} + {size}) AS lo, IF({left}, {start} + {shift}, {own}) AS hi)"
+
+
 def index_keys(line: str, n: str, edits: int) -> str:
-    """SQL array of the keys under which a line is found."""
+    """SQL array of the keys under which a line is found. Column `under` is the key that it was refined from."""
     keys = []
     for i in range(edits + 1):
         start, size = _segment(n, i, edits)
-        keys.append(f"xxhash64({n}, {i}, substring({line}, {start} + 1, {size}))")
+        keys.append(_key(f"xxhash64(under, {n}, {i}, substring({line}, {start} + 1, {size}))", start, size, n, 0, n))
     return f"array({', '.join(keys)})"
 
 
-def probe_keys(line: str, n: str, edits: int) -> str:
-    """SQL array of the keys that lines of equal length or up to `edits` shorter may be found under.
+def probe_keys(line: str, n: str, edits: int, shorter: int = 0) -> str:
+    """SQL array of the keys that lines of equal length, up to `edits` shorter or `shorter` longer may be found under.
 
     For a segment that starts at p of a line shorter by d, only starts that leave
     room for the edits before it and after it are tried.
     """
     keys = []
-    for d in range(edits + 1):
+    for d in range(-shorter, edits + 1):
         for i in range(edits + 1):
             start, size = _segment(f"({n} - {d})", i, edits)
             for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
-                keys.append(f"IF({start} + {shift} >= 0, xxhash64({n} - {d}, {i}, substring({line}, {start} + {shift} + 1, {size})), NULL)")
+                hashed = f"IF({n} - {d} > {edits} AND {start} + {shift} >= 0, xxhash64(under, {n} - {d}, {i}, substring({line}, {start} + {shift} + 1, {size})), NULL)"
+                keys.append(_key(hashed, start, size, f"({n} - {d})", shift, n))
     return f"array_distinct(array({', '.join(keys)}))"
 
 
@@ -91,26 +101,64 @@ def within_edits(a: str, b: str, edits: int) -> str:
         transform(array(named_struct('k', z.k, 'f', {ahead})), y -> transform(array(named_struct('k', y.k, 'f', y.f, 'g', {behind})), x -> {inner})[0])[0])[0] <= {edits})"""
 
 
-def similar_lines(lines: DataFrame, uniq: DataFrame, edits: int) -> DataFrame:
+def _meetings(texts: DataFrame, edits: int, crowd: int) -> DataFrame:
+    """(a_doc, a_no, b_doc, b_no): lines that meet under a key.
+
+    A key that more than `crowd` lines are indexed under is not joined. Its lines agree on the segment, so what
+    is left of them on the longer side is split and probed in the same way, until keys are
+    rare again or the lines differ in no more than `edits` characters that can't be split.
+    """
+    keys = texts.select("doc_id", "no", F.col("key").alias("piece"), F.lit(0).cast("long").alias("under"))
+    keys = keys.withColumns({"own": F.expr(index_keys("piece", "length(piece)", edits)), "sought": F.expr(probe_keys("piece", "length(piece)", edits))})
+    divides = F.expr(f"transform(own, x -> IF(x.hi - x.lo > {edits}, x.k, NULL))")
+    # The keys of all lines are written once, without their texts; those of crowded keys are fetched again.
+    keys = materialise(keys.select("doc_id", "no", F.col("own.k").alias("own"), divides.alias("divides"), F.col("sought.k").alias("sought")))
+    found, shorter = [], 0
+    while True:
+        index, probe = (keys.select("doc_id", "no", F.explode(c).alias("k")).where("k IS NOT NULL") for c in ("own", "sought"))
+        crowded = materialise(keys.select(F.explode("divides").alias("k")).where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n")).where(f"n > {crowd}").select("k"))
+        more = not crowded.isEmpty()
+        few = index.join(if_small(crowded), "k", "left_anti") if more else index
+        met = few.select(F.col("doc_id").alias("a_doc"), F.col("no").alias("a_no"), "k").join(probe.select(F.col("doc_id").alias("b_doc"), F.col("no").alias("b_no"), "k"), "k")
+        found.append(met.where("a_doc != b_doc OR a_no != b_no").drop("k"))
+        if not more:
+            break
+        if len(found) == 1:
+            hot = materialise(index.unionByName(probe).join(if_small(crowded), "k", "left_semi").select("doc_id", "no").distinct())
+            lines = materialise(texts.select("doc_id", "no", F.col("key").alias("piece")).join(if_small(hot), ["doc_id", "no"], "left_semi"))
+            index_lines = probe_lines = lines.withColumn("under", F.lit(0).cast("long"))
+        index_lines, probe_lines = (
+            rows.select("doc_id", "no", "piece", F.inline(F.expr(tried))).join(if_small(crowded), "k", "left_semi").select("doc_id", "no", F.expr("substring(piece, lo + 1, hi - lo)").alias("piece"), F.col("k").alias("under"))
+            for rows, tried in ((index_lines, index_keys("piece", "length(piece)", edits)), (probe_lines, probe_keys("piece", "length(piece)", edits, shorter)))
+        )
+        shorter = edits if edits > 1 else 0  # with one edit, what is left differs in length as the lines do
+        index_lines, probe_lines = materialise(index_lines), materialise(probe_lines)
+        own, none = F.expr(index_keys("piece", "length(piece)", edits)), F.expr("CAST(NULL AS array<bigint>)")
+        keys = index_lines.withColumn("own", own).select("doc_id", "no", F.col("own.k").alias("own"), divides.alias("divides"), none.alias("sought"))
+        keys = materialise(keys.unionByName(probe_lines.select("doc_id", "no", none.alias("own"), none.alias("divides"), F.expr(probe_keys("piece", "length(piece)", edits, shorter)).getField("k").alias("sought"))))
+    met = found[0]
+    for other in found[1:]:
+        met = met.unionByName(other)
+    return met
+
+
+def similar_lines(lines: DataFrame, uniq: DataFrame, edits: int, crowd: int) -> DataFrame:
     """(a, b): hashes of lines within `edits`. lines has (doc_id, no, key), uniq one (doc_id, no) per line."""
-    texts = lines.join(uniq, ["doc_id", "no"]).withColumn("n", F.length("key"))
-    index = texts.select(F.col("doc_id").alias("a_doc"), F.col("no").alias("a_no"), F.explode(F.expr(index_keys("key", "n", edits))).alias("k"))
-    probe = texts.select(F.col("doc_id").alias("b_doc"), F.col("no").alias("b_no"), F.explode(F.expr(probe_keys("key", "n", edits))).alias("k")).where("k IS NOT NULL")
-    met = index.join(probe, "k").where("a_doc != b_doc OR a_no != b_no")
+    met = _meetings(lines.join(uniq, ["doc_id", "no"]), edits, crowd)
     swap = F.expr("a_doc < b_doc OR a_doc = b_doc AND a_no < b_no")
     ends = [F.struct("a_doc", "a_no"), F.struct("b_doc", "b_no")]
     pairs = met.select(F.when(swap, ends[0]).otherwise(F.struct(F.col("b_doc").alias("a_doc"), F.col("b_no").alias("a_no"))).alias("x"), F.when(swap, ends[1]).otherwise(F.struct(F.col("a_doc").alias("b_doc"), F.col("a_no").alias("b_no"))).alias("y"))
     pairs = materialise(pairs.select("x.*", "y.*").distinct())
     involved = pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_no").alias("no")).union(pairs.select("b_doc", "b_no")).distinct()
     # Exact repeats of a line inside rows that share an id are one line.
-    found = lines.join(involved, ["doc_id", "no"]).dropDuplicates(["doc_id", "no"])
+    found = lines.join(if_small(involved), ["doc_id", "no"]).dropDuplicates(["doc_id", "no"])
     for side in ("a", "b"):
         own = found.select(F.col("doc_id").alias(f"{side}_doc"), F.col("no").alias(f"{side}_no"), F.col("key").alias(side), F.xxhash64("key").alias(f"{side}_id"))
         pairs = pairs.join(own, [f"{side}_doc", f"{side}_no"])
     return materialise(pairs.where(F.expr(within_edits("a", "b", edits))).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = 1, min_chars: int = 16) -> DataFrame:
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = 1, min_chars: int = 16, crowd: int = 32) -> DataFrame:
     """The documents with their repeated lines removed from the text, and n_lines and n_removed."""
     docs = docs.drop(*ADDED)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -119,7 +167,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     occurs = materialise(lines.select("doc_id", "no", F.when(F.length("key") >= max(min_chars, edits + 1), F.xxhash64("key")).alias("lid")))
     known = occurs.where("lid IS NOT NULL")
     uniq = _first(known, "lid")
-    links = similar_lines(compared, materialise(uniq.select("doc_id", "no")), edits)
+    links = similar_lines(compared, materialise(uniq.select("doc_id", "no")), edits, crowd)
     classes = connected_components(links).select(F.col("id").alias("lid"), "component")
     kept = _first(known.join(classes, "lid", "left").select("doc_id", "no", F.coalesce("component", "lid").alias("class")), "class")
     flags = occurs.join(kept.select("doc_id", "no", F.lit(True).alias("kept")), ["doc_id", "no"], "left")

@@ -125,8 +125,8 @@ def test_banded_distance(spark, edits):
     assert all(r.w == (edit_distance(r.a, r.b) <= edits) for r in out)
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_line_dedup(spark, edits):
+@pytest.mark.parametrize("edits, crowd", [(1, 32), (1, 1), (2, 1)])
+def test_line_dedup(spark, edits, crowd):
     rng = random.Random(5)
     words = ["alpha", "beta", "gamma", "delta", "omega"]
     lines = [" ".join(rng.choice(words) for _ in range(rng.randint(2, 9))) for _ in range(50)]
@@ -155,7 +155,7 @@ def test_line_dedup(spark, edits):
             seen.add(own)
         n = len(t.split("\n")) if t is not None else 0
         expected[d] = ("\n".join(kept) if t is not None else None, n, n - len(kept))
-    out = line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), edits=edits).collect()
+    out = line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), edits=edits, crowd=crowd).collect()
     assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in out} == expected
 
 
