@@ -2,8 +2,10 @@
 
 import base64
 import gzip
+import hashlib
 import json
 import zlib
+from urllib.parse import quote
 
 import numpy as np
 import pytest
@@ -154,6 +156,34 @@ def test_secret_layers():
     assert secrets.scan("%2525%25" * 30)[2] < 20
 
 
+@pytest.mark.parametrize("wrap", ["twice", "mixed", "lines", "json", "crossing", "percent", "bytes", "nul", "invalid", "utf16", "path", "packed path", "nul escape", "broken off", "members"])
+def test_secret_whole_layers(wrap):
+    inner = b"password=hunter2222"
+    b64 = lambda data: base64.b64encode(data).decode()
+    noise = hashlib.sha512(b"1").digest() + hashlib.sha512(b"2").digest()
+    token = {
+        "twice": lambda: b64(gzip.compress(gzip.compress(inner))),
+        "mixed": lambda: b64(zlib.compress(gzip.compress(inner))),
+        "lines": lambda: base64.encodebytes(gzip.compress(noise + inner)).decode().rstrip("\n"),
+        "json": lambda: base64.encodebytes(gzip.compress(noise + inner)).decode().rstrip("\n").replace("\n", "\\n"),
+        "crossing": lambda: base64.encodebytes(b"x" * 50 + inner + b" y" * 20).decode().rstrip("\n"),
+        "percent": lambda: quote(gzip.compress(inner)),
+        "bytes": lambda: repr(gzip.compress(inner))[2:-1],
+        "nul": lambda: b64(b"HOME=/root\0" + inner + b"\0A=b"),
+        "invalid": lambda: b64(b"\xff\x01" + inner),
+        "utf16": lambda: b64(inner.decode().encode("utf-16-le")),
+        "path": lambda: "get/" + "v1/ab/" + b64(inner),
+        "packed path": lambda: "get/v1/" + b64(gzip.compress(inner)),
+        "nul escape": lambda: "%00" + "".join(f"%{c:02x}" for c in inner),
+        "broken off": lambda: b64(gzip.compress(noise + inner + noise)[:-6]),
+        "members": lambda: b64(gzip.compress(b"nothing") + gzip.compress(inner)),
+    }[wrap]()
+    spans = secrets.scan(f"see {token} end")[1]
+    assert any(k == 0 and 4 <= s < e <= 4 + len(token) for s, k, e in spans), (token, spans)
+    if wrap in ("twice", "mixed", "lines", "json", "crossing", "nul", "invalid", "utf16", "path"):
+        assert (4, 0, 4 + len(token)) in spans
+
+
 def test_secret_rows(spark, wide):
     rows, df = wide([(5, json.dumps({"token": "abcdefgh"}))])
     out = secrets.secret_scan(df).collect()
