@@ -2,8 +2,8 @@
 
 Seeds are grams of `min_match` tokens that a document shares with a benchmark item: a
 filter of fixed size (one bit per hash) drops most document grams where they are read, the
-rest join the benchmark's grams. A document and an item are a candidate if they share as many
-seeds as the threshold needs at least. For each candidate, running Karp-Rabin finds the longest
+rest join the benchmark's grams. A document and an item are a candidate if the shared seeds, each at
+all its places in the item, can cover as many tokens as the threshold needs. For each candidate, running Karp-Rabin finds the longest
 matches that don't overlap marked ones, marks them, and goes on with shorter ones down to
 `min_match` tokens. The share of the item's tokens under tiles is its coverage; tiles may
 come in any order, so a passage with its parts rearranged is caught too.
@@ -11,8 +11,8 @@ come in any order, so a passage with its parts rearranged is caught too.
 Tokens are runs of letters, digits and non-ASCII characters, ASCII letters in lower case.
 
 Cases: null or empty texts and items share nothing; items with fewer than `min_match` tokens are
-matched as a whole; repeated items are judged each, repeated documents give repeated rows;
-a null id is carried; other columns are ignored. Only the items that a document shares seeds
+matched as a whole, anywhere in a document; repeated items are judged each, repeated documents give
+repeated rows; documents without id are judged and carried only with `without_id`; other columns are ignored. Only the items that a document shares seeds
 with are held beside it.
 """
 
@@ -42,29 +42,48 @@ def token_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes, np.searchsorted(starts, at)
 
 
-def _grams(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of the grams of all rows; a row shorter than a gram gives one for all of it."""
-    tokens, words = token_hashes(data, at)
-    run, count = RunHash(tokens), np.diff(words)
-    each = np.where(count >= size, count - size + 1, np.minimum(count, 1))
+def _grams(tokens: np.ndarray, words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of the grams of `size` tokens of all rows."""
+    run, each = RunHash(tokens), np.maximum(0, np.diff(words) - size + 1)
     row = np.repeat(np.arange(len(each)), each)
     start = words[row] + np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
-    return run.of(start, np.minimum(start + size, words[row + 1])).view(np.int64), row
+    return run.of(start, start + size).view(np.int64), row
 
 
-def _gram_rows(size: int, key: str, bits: np.ndarray | None):
-    """(gram, key) of the distinct grams of each row that the filter lets through."""
+def _item_grams(size: int):
+    """(gram, item_id, places, tokens): the distinct grams of each item, with their places in it; a shorter item gives one for all of it."""
 
     def scan(batches):
         for batch in batches:
+            ids = long_column(batch, "item_id")
             for row, end, data, at in text_chunks(batch, "text"):
-                gram, own = _grams(data, at, size)
-                if bits is not None:
+                tokens, words = token_hashes(data, at)
+                count = np.diff(words)
+                for n in range(1, size + 1):
+                    gram, own = _grams(tokens, words, n)
+                    fits = count[own] == n if n < size else slice(None)
+                    gram, own = gram[fits], own[fits]
+                    if len(gram):
+                        (gram, own), places = np.unique(np.stack([gram, own]), axis=1, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(ids[row:end][own]), pa.array(places.astype(np.int64)), pa.array(count[own].astype(np.int64))], ["gram", "item_id", "places", "tokens"])
+
+    return scan
+
+
+def _gram_rows(sizes: list[int], key: str, bits: np.ndarray):
+    """(gram, key) of the distinct grams of each row, of all sizes, that the filter lets through."""
+
+    def scan(batches):
+        for batch in batches:
+            for row, end, data, at in text_chunks(batch, "text"):
+                tokens, words = token_hashes(data, at)
+                for size in sizes:
+                    gram, own = _grams(tokens, words, size)
                     h = gram & (FILTER_BITS - 1)
                     keep = (bits[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
                     gram, own = gram[keep], own[keep]
-                both = np.unique(np.stack([gram, long_column(batch, key)[row:end][own]]), axis=1) if len(gram) else np.zeros((2, 0), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["gram", key])
+                    both = np.unique(np.stack([gram, long_column(batch, key)[row:end][own]]), axis=1) if len(gram) else np.zeros((2, 0), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["gram", key])
 
     return scan
 
@@ -152,16 +171,24 @@ def _seed_filter(grams: DataFrame) -> np.ndarray:
     return bits
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", min_match: int = 5, threshold: float = 0.6) -> DataFrame:
-    """One row per document and item it contains: doc_id, item_id, coverage, n_tiles, longest (tile)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def key_of(id_col: str, text_col: str):
+    """The id, or a hash of the text for a row without id."""
+    return F.coalesce(F.col(id_col).cast("long"), F.when(F.col(text_col).isNotNull(), F.xxhash64(F.col(text_col).cast("string"))))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", min_match: int = 5, threshold: float = 0.6, without_id: bool = False) -> DataFrame:
+    """One row per document and item it contains: doc_id, item_id, coverage, n_tiles, longest (tile).
+
+    With `without_id`, documents without id are judged too; their rows have a null doc_id.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", key_of("doc_id", "text") if without_id else F.col("doc_id"))
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
-    wanted = materialise(items.where("item_id IS NOT NULL").mapInArrow(_gram_rows(min_match, "item_id", None), "gram long, item_id long"))
-    needs = wanted.groupBy("item_id").agg(F.count("*").alias("n"))
+    wanted = materialise(items.where("item_id IS NOT NULL").mapInArrow(_item_grams(min_match), "gram long, item_id long, places long, tokens long"))
     bits = _seed_filter(wanted)
-    seeds = docs.where("doc_id IS NOT NULL").mapInArrow(_gram_rows(min_match, "doc_id", bits), "gram long, doc_id long")
-    shared = seeds.join(wanted, "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
-    # `covered` tokens in tiles of at least min_match hold covered / min_match seeds; an item has at least n distinct ones.
-    enough = shared.join(needs, "item_id").where(F.col("shared") * min_match >= F.col("n") * threshold)
-    held = enough.join(items.withColumnRenamed("text", "item_text"), "item_id").groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "item_text")).alias("items"))
-    return docs.join(held, "doc_id").mapInArrow(_tile(min_match, threshold), "doc_id long, item_id long, coverage double, n_tiles long, longest long")
+    sizes = [r.tokens for r in wanted.where(F.col("tokens") < min_match).select("tokens").distinct().collect()]  # fewer than min_match
+    seeds = docs.where("key IS NOT NULL").mapInArrow(_gram_rows([*sizes, min_match], "key", bits), "gram long, key long")
+    shared = seeds.join(wanted, "gram").groupBy("key", "item_id", "tokens").agg(F.sum("places").alias("places"))
+    # A tile of n >= min_match tokens holds n - min_match + 1 places of seeds, at least n / min_match of them.
+    enough = shared.where(F.col("places") * F.least("tokens", F.lit(min_match)) >= F.col("tokens") * F.lit(threshold) - 1e-6)
+    held = enough.select("key", "item_id").join(items.withColumnRenamed("text", "item_text"), "item_id").groupBy("key").agg(F.collect_set(F.struct("item_id", "item_text")).alias("items"))
+    return docs.join(held, "key").mapInArrow(_tile(min_match, threshold), "doc_id long, item_id long, coverage double, n_tiles long, longest long")

@@ -32,7 +32,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contaminated documents, with the items they contain."""
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), without_id=True)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

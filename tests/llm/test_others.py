@@ -96,6 +96,22 @@ def test_decontaminate(spark):
     assert decontaminate(docs.limit(0), bench).count() == 0 and decontaminate(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_whole(spark, tmp_path):
+    import corpus_pipeline
+
+    refrain = "a b c d e f "
+    item = "".join(refrain + " ".join(f"u{4 * k + j}" for j in range(4)) + " " for k in range(20))
+    rows = [(1, "x " + refrain * 20), (2, "before it, Tiny quiz! and more words behind"), (3, "tiny words quiz"), (4, "plain text of no item at all"), (None, "this has the tiny quiz inside it"), (None, "this has nothing of it inside"), (None, None), (42, "word of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(10, item), (13, "Tiny quiz!"), (14, "zebra")], "item_id long, text string")
+    out = decontaminate(docs, bench, without_id=True).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == {(1, 10), (2, 13), (None, 13)} and len(out) == 3
+    assert next(r.coverage for r in out if r.item_id == 10) == 0.6
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.remove_benchmark(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted((i or 0, t or "") for i, t in rows if i not in (1, 2) and "quiz inside" not in (t or ""))
+
+
 @pytest.mark.parametrize("weights", [None, {"s0": 0.5, "s1": 0.3, "s2": 0.1, "s3": 0.1}])
 def test_mixing(spark, documents, weights):
     out = mix_sources(documents.withColumn("slot", F.lit("clash")), weights=weights, units=20, block=8, range_rows=50).collect()
