@@ -170,6 +170,17 @@ def state_code_parse(spark, sf):
     return places.select("place", T.state_code(F.col("place")).alias("state"))
 
 
+#: Forms of a place and the state that each names.
+_PLACES = {", OH": "OH", ", Michigan": "MI", ", Idaho": "ID", ", Wash.": "WA", ", Texas (US Ops)": "TX", " Columbus OH 43004": "OH", ", Ontario": "", " PR": "PR", ", West Virginia": "WV"}
+
+
+@query(f"SELECT c_custkey, state FROM customer JOIN (VALUES {', '.join(str((k, v)) for k, v in enumerate(_PLACES.values()))}) t(k, state) ON c_custkey % {len(_PLACES)} = k")
+def state_code_places(spark, sf):
+    """Over the whole table: each customer in a place of some form."""
+    form = F.get(F.array(*map(F.lit, _PLACES)), (F.col("c_custkey") % len(_PLACES)).cast("int"))
+    return read_table(spark, sf, "customer").select("c_custkey", T.state_code(F.concat("c_name", form)).alias("state"))
+
+
 _PAIRS = """WITH n AS (SELECT p_name AS id, list_distinct(string_split(upper(p_name), ' ')) AS t FROM (SELECT DISTINCT p_name FROM part)),
 c AS (SELECT id || ' x' AS id, list_distinct(list_append(t, CASE WHEN length(id) % 2 = 0 THEN 'FREIGHT' ELSE 'ZEBRA' END)) AS t FROM n),
 s AS (SELECT n.id AS query_id, c.id AS candidate_id, n.t AS q, c.t AS c, len(list_intersect(n.t, c.t)) AS shared FROM n JOIN c ON len(list_intersect(n.t, c.t)) > 0),

@@ -54,6 +54,13 @@ def test_names(spark):
         assert one(spark, T.state_code(F.lit(place).cast("string")))[0] == code
 
 
+def test_states(spark):
+    places = {"Michigan": "MI", "Meridian, Idaho": "ID", "Seattle, Wash.": "WA", "Dallas, Texas": "TX", "Columbus OH 43004": "OH", "SLC, UTAH": "UT", "Reno, Nevada (US Ops)": "NV", "A, OH, Canada": "OH", "San Juan, PR": "PR", "\tva ": "VA", "OH, Texas": "TX", "Toronto, Ontario": "", "Oh.": "", "": ""}
+    rows = spark.createDataFrame(list(places.items()), "place string, code string")
+    assert rows.where(T.state_code(F.col("place")) != F.col("code")).collect() == []
+    assert len(T.STATES) == 58 and len(T.STATE_CODES) == 56
+
+
 def score(spark, a, b):
     return one(spark, overlap_score(T.name_tokens(F.lit(a).cast("string")), T.name_tokens(F.lit(b).cast("string"))))[0]
 
