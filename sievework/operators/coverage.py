@@ -28,13 +28,27 @@ def missing_scope(declared: DataFrame, attempted: DataFrame, keys: list[str]) ->
 
 def known_issues(failures: DataFrame, by: str, id_col: str, shown: int = 6) -> DataFrame:
     """Per category the number of failures and the first ids, with how many more there are."""
-    ids = F.array_sort(F.collect_set(F.col(id_col).cast("string")))
-    g = failures.groupBy(by).agg(F.count("*").alias("failures"), ids.alias("ids"))
-    more = F.size("ids") - shown
-    text = F.concat(F.array_join(F.slice("ids", 1, shown), ", "), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise(F.lit("")))
+    rows = failures.select(by, F.col(id_col).cast("string").alias("_id"))
+    g = rows.groupBy(by).agg(F.count("*").alias("failures"), F.count_distinct("_id").alias("_n"))
+    g = with_first(g, rows.distinct(), [by], "_id", shown)
+    more = F.col("_n") - shown
+    text = F.concat(F.array_join("_first", ", "), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise(F.lit("")))
     return g.select(by, "failures", text.alias("ids"))
 
 
+def with_first(groups: DataFrame, rows: DataFrame, by: list[str], value: str, shown: int) -> DataFrame:
+    """Adds _first: the `shown` smallest values of each group, in order, without nulls.
+
+    The first of each of 64 parts of a group are found before those of the group, so no task holds a group.
+    """
+    part = rows.where(F.col(value).isNotNull()).withColumn("_part", F.pmod(F.xxhash64(value, F.spark_partition_id()), F.lit(64)))
+    for key in ([*by, "_part"], by):
+        part = part.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(value))).where(F.col("_k") <= shown)
+    first = part.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.array_sort(F.collect_list(value)).alias("_first"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    return groups.join(first, same, "left").drop(*[f"_by_{c}" for c in by]).withColumn("_first", F.coalesce("_first", F.array().cast("array<string>")))
+
+
 def access_report(failures: DataFrame, detail: str, unit: list[str]) -> DataFrame:
     """Rows, distinct units and distinct companies per binding access class; unclassified rows are reported as such."""
     kind = F.coalesce(access_class(F.col(detail)), F.lit("unclassified")).alias("access_class")

@@ -74,10 +74,23 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: list[str], fields: l
     return a.join(b, key, "full_outer").select(*key, kind.alias("change"))
 
 
-def surrogate_ids(new: DataFrame, known: DataFrame, id_col: str, prefix: str, order: Column, width: int = 5) -> DataFrame:
+def surrogate_ids(new: DataFrame, known: DataFrame, id_col: str, prefix: str, order: Column, width: int = 5, range_rows: int = 100_000) -> DataFrame:
     """Ids after the largest known one; ids of another form are ignored.
 
-    Numbers new rows in order, which one window does: batches of new rows are small beside their table.
+    Numbers new rows in order: ranges of about `range_rows` rows are counted and numbered each on its own. Their bounds are
+    taken once, from a sample by hash of about 64 values a range, so the ranges are the same in each reading.
     """
     top = known.select(F.coalesce(F.max(F.regexp_extract(id_col, f"^{prefix}([0-9]+)$", 1).try_cast("int")), F.lit(0)).alias("_top"))
-    return new.crossJoin(top).withColumn(id_col, F.format_string(f"{prefix}%0{width}d", F.col("_top") + F.row_number().over(Window.orderBy(order)))).drop("_top")
+    rows, n = new.withColumn("_order", order), new.count()
+    ranges, bounds = -(-n // range_rows), []
+    if ranges > 1:
+        found = rows.select("_order").where(F.col("_order").isNotNull() & (F.pmod(F.xxhash64("_order"), F.lit(max(1, n // (64 * ranges)))) == 0)).sort("_order").collect()
+        bounds = [found[k * len(found) // ranges][0] for k in range(1, ranges)] if found else []
+    cuts = F.array(*map(F.lit, bounds)).cast(f"array<{dict(rows.dtypes)['_order']}>")
+    rows = rows.withColumn("_range", F.when(F.col("_order").isNull(), 0).otherwise(F.size(F.filter(cuts, lambda b: b <= F.col("_order")))))
+    # A row per range.
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_size"))
+    ahead = sizes.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_ahead"))
+    number = F.row_number().over(Window.partitionBy("_range").orderBy("_order")) + F.col("_ahead")
+    ids = F.format_string(f"{prefix}%0{width}d", F.col("_top") + number)
+    return rows.join(F.broadcast(ahead), "_range").crossJoin(top).withColumn(id_col, ids).drop("_top", "_range", "_order", "_ahead")

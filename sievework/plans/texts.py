@@ -8,7 +8,7 @@ from ..functions import dates as D
 from ..functions import text as T
 from ..functions.scores import rate
 from ..functions.themes import PROSE_THEMES, THEMES, classify
-from ..operators import audit, merge, sequences, temporal
+from ..operators import audit, coverage, merge, sequences, temporal
 from ..operators.matching import nearest_pairs
 from ..sources.tables import archived, read_feed, read_table
 from .evidence import _A, attempts
@@ -65,8 +65,9 @@ def theme_classify_spine(spark, sf):
 
 @query(_T + """SELECT d.source, h.theme, count(*) AS evidence_count, min(d.doc_id) AS first_id, array_to_string(list_sort(list(CAST(d.doc_id AS VARCHAR)))[1:4], ';') AS ids FROM h JOIN documents d ON h.doc_id = d.doc_id WHERE admitted GROUP BY ALL""")
 def claim_builder_by_theme(spark, sf):
-    ids = F.array_sort(F.collect_list(F.col("doc_id").cast("string")))
-    return _classified(spark, sf).where("admitted").groupBy("source", "theme").agg(F.count("*").alias("evidence_count"), F.min("doc_id").alias("first_id"), F.array_join(F.slice(ids, 1, 4), ";").alias("ids"))
+    rows = _classified(spark, sf).where("admitted").select("source", "theme", "doc_id", F.col("doc_id").cast("string").alias("id"))
+    groups = rows.groupBy("source", "theme").agg(F.count("*").alias("evidence_count"), F.min("doc_id").alias("first_id"))
+    return coverage.with_first(groups, rows, ["source", "theme"], "id", 4).select("source", "theme", "evidence_count", "first_id", F.array_join("_first", ";").alias("ids"))
 
 
 @query(_T + """SELECT theme, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'es') AS es FROM h JOIN documents d ON h.doc_id = d.doc_id WHERE admitted GROUP BY theme""")

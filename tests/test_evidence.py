@@ -202,3 +202,20 @@ def test_sources(spark, tmp_path):
         tables.write_version(df, f"{tmp_path}/v", "derivation_id", "DR-0001")
     feed = tables.read_feed(spark, spark.createDataFrame([('{"a": 1}',), ("oops",)], "j string"), "j", "a int")
     assert {(r.a, r.unreadable) for r in feed.collect()} >= {(1, False)}
+
+
+def test_first_ids_of_hot_groups(spark):
+    rows = spark.range(0, 20000, 1, 8).select(F.when(F.col("id") % 3 > 0, "hot").alias("kind"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("id"))
+    issues = coverage.known_issues(rows.unionByName(rows), "kind", "id", shown=3)
+    assert {r.kind: (r.failures, r.ids) for r in issues.collect()} == {"hot": (26666, "10, 100, 1000 +6663 more"), None: (13334, "0, 10002, 10008 +3331 more")}
+    assert "collect_set" not in issues._jdf.queryExecution().toString()
+
+
+def test_surrogate_ids_in_ranges(spark):
+    new = spark.range(0, 5000, 1, 8).select(F.when(F.col("id") != 9, F.col("id") * 7 % 5003).alias("v"))
+    known = spark.createDataFrame([("O00041",), ("X9",)], "oid string")
+    out = merge.surrogate_ids(new, known, "oid", "O", F.col("v"), range_rows=300)
+    assert out.columns == ["v", "oid"]
+    ordered = sorted((r.v for r in out.collect()), key=lambda v: -1 if v is None else v)
+    assert {r.v: r.oid for r in out.collect()} == {v: f"O{42 + k:05d}" for k, v in enumerate(ordered)} and len(ordered) == 5000
+    assert "windowspecdefinition(_range#" in out._jdf.queryExecution().toString()
