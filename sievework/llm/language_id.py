@@ -6,8 +6,10 @@ subwords' embeddings; a linear layer and a softmax over the languages follow. Em
 layer are trained together by stochastic gradient descent in numpy on segments
 of a bounded sample: about `sample` documents for each language, chosen by a hash of the id.
 One part in five of that sample is kept out of training: on it a temperature is fitted, so
-that scores are calibrated, and a prediction is rejected if its score is below `margin` times the
-lowest of the calibration texts that were recognised (one half at most).
+that scores are calibrated. A prediction is rejected if its score is below `margin` times the `quantile` of
+the scores of the calibration texts recognised as that language. A softmax has to choose a language that it learned,
+so the share of known subwords is judged in the same way: of the text's 4-byte grams of letters and spaces, those that
+the training met in that language. With two languages or one that alone can reject a text with letters.
 
 The trained model is a table of buckets x languages (embedding times layer), so that a
 prediction is one gather and one sum per byte of the text, whole texts included.
@@ -61,14 +63,35 @@ def subwords(data: np.ndarray, bits: int) -> list[np.ndarray]:
     return found
 
 
+#: Bits of the hash of a known gram: 128 KB a language.
+KNOWN_BITS = 20
+
+
+def _letter_grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of the 4-byte grams of letters and spaces, two letters or more."""
+    bucket = subwords(data, KNOWN_BITS)[1]
+    s = _SYMBOLS[data]
+    letter = (s >= 128) | (s >= 97) & (s < 123)
+    plain, letters = np.ones(len(bucket), bool), np.zeros(len(bucket), np.int8)
+    for k in range(4):
+        own = letter[k : k + len(bucket)]
+        plain &= own | (s[k : k + len(bucket)] == 32)
+        letters += own
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(bucket)]
+    keep = np.flatnonzero(plain & (letters >= 2) & (np.arange(len(bucket)) + 4 <= at[1:][row]))
+    return bucket[keep], row[keep]
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
     table: np.ndarray  # buckets x languages, float32
     bias: np.ndarray
     temperature: float
-    reject_below: float
+    reject_below: np.ndarray  # score, by language
     bits: int
+    known: np.ndarray  # languages x bits of the 4-byte grams met in training
+    reject_unknown: np.ndarray  # share of known grams, by language
 
     def logits(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Rows x languages for the texts between each two offsets."""
@@ -86,6 +109,13 @@ class LanguageModel:
                     total[own, k] += np.add.reduceat(self.table[:, k][bucket], edges, dtype=np.float64)[::2]
         return total / np.maximum(count, 1)[:, None] + self.bias
 
+    def known_share(self, data: np.ndarray, at: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """Of each text's 4-byte grams of letters and spaces, the share that the training met in the given language; 1 without such grams."""
+        bucket, row = _letter_grams(data, at)
+        hit = self.known[language[row], bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1
+        n = np.bincount(row, minlength=len(at) - 1)
+        return np.where(n > 0, np.bincount(row, hit, minlength=len(at) - 1) / np.maximum(n, 1), 1.0)
+
     def probabilities(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         z = self.logits(data, at) / self.temperature
         z = np.exp(z - z.max(1, keepdims=True))
@@ -103,7 +133,7 @@ def _segments(texts: list[bytes], rng) -> tuple[list[bytes], list[int]]:
     return out, of
 
 
-def fit(texts: list[str], labels: list[str], *, bits: int = 15, dim: int = 16, epochs: int = 6, least_steps: int = 1000, rate: float = 30.0, batch: int = 64, seed: int = 7, margin: float = 0.75) -> LanguageModel:
+def fit(texts: list[str], labels: list[str], *, bits: int = 15, dim: int = 16, epochs: int = 6, least_steps: int = 1000, rate: float = 30.0, batch: int = 64, seed: int = 7, margin: float = 0.75, quantile: float = 0.01) -> LanguageModel:
     """Train on (text, language) pairs; every fifth pair calibrates."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
@@ -140,7 +170,13 @@ def fit(texts: list[str], labels: list[str], *, bits: int = 15, dim: int = 16, e
             done += 1
             if done >= steps:
                 break
-    model = LanguageModel(languages, np.ascontiguousarray((embed @ layer).astype(np.float32)), bias, 1.0, 0.0, bits)
+    model = LanguageModel(languages, np.ascontiguousarray((embed @ layer).astype(np.float32)), bias, 1.0, np.zeros(len(languages)), bits, np.zeros((len(languages), 1 << KNOWN_BITS - 3), np.uint8), np.zeros(len(languages)))
+    for k in range(len(languages)):
+        own = [p for p, t in zip(pieces, y, strict=True) if t == k]
+        bucket, _ = _letter_grams(np.frombuffer(b"".join(own), np.uint8), np.append(0, np.cumsum([len(p) for p in own], dtype=np.int64)))
+        met = np.zeros(1 << KNOWN_BITS, bool)
+        met[bucket] = True
+        model.known[k] = np.packbits(met, bitorder="little")
     # Calibration: whole texts and their pieces, which the training has not seen.
     kept = [texts[k].encode() for k in calibrate]
     pieces, of = _segments(kept, rng)
@@ -154,10 +190,15 @@ def fit(texts: list[str], labels: list[str], *, bits: int = 15, dim: int = 16, e
         return -(q[rows, truth] - q.max(1) - np.log(np.exp(q - q.max(1, keepdims=True)).sum(1))).mean()
 
     model.temperature = float(min(np.geomspace(0.05, 20, 120), key=loss))
-    whole = model.probabilities(np.frombuffer(b"".join(kept), np.uint8), at[: len(kept) + 1])
-    right = whole.argmax(1) == truth[: len(kept)]
-    if right.any():
-        model.reject_below = margin * float(min(0.5, whole.max(1)[right].min()))
+    raw, at = np.frombuffer(b"".join(kept), np.uint8), at[: len(kept) + 1]
+    whole = model.probabilities(raw, at)
+    best = whole.argmax(1)
+    share = model.known_share(raw, at, best)
+    for k in range(len(languages)):
+        right = (best == k) & (truth[: len(kept)] == k)
+        if right.any():  # a language that no calibration text shows has no bound
+            model.reject_below[k] = margin * np.quantile(whole[right, k], quantile, method="lower")
+            model.reject_unknown[k] = margin * np.quantile(share[right], quantile, method="lower")
     return model
 
 
@@ -169,7 +210,7 @@ def training_sample(docs: DataFrame, sample: int) -> DataFrame:
     rows = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
     n = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    return rows.join(F.broadcast(n.orderBy(F.desc("n"), "lang").limit(1024)), "lang").where(share < F.lit(sample) / F.col("n")).select("doc_id", "text", "lang")
+    return rows.join(F.broadcast(n), "lang").where(share < F.lit(sample) / F.col("n")).select("doc_id", "text", "lang")
 
 
 def train(docs: DataFrame, *, sample: int = 400, **options) -> LanguageModel | None:
@@ -181,16 +222,18 @@ def _predict(model: LanguageModel | None, carry: bool):
     def scan(batches):
         for batch in batches:
             limit = 1 << 20 if model is None else max(1 << 16, min(1 << 20, (1 << 22) // len(model.languages)))
-            best, score = [], []
+            best, score, doubtful = [], [], []
             texts = batch.column("text")
             for row, end, data, at in text_chunks(batch, "text", limit):
                 p = model.probabilities(data, at) if model else np.zeros((end - row, 1))
-                best += p.argmax(1).tolist()
+                top = p.argmax(1)
+                best += top.tolist()
                 score += p.max(1).tolist()
+                doubtful += ((p.max(1) < model.reject_below[top]) | (model.known_share(data, at, top) < model.reject_unknown[top])).tolist() if model else [True] * len(p)
             letter = [t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()] if model else [False] * len(best)
             lang = [model.languages[k] if has else UNKNOWN for k, has in zip(best, letter, strict=True)]
             score = [min(1.0, s) if has else 0.0 for s, has in zip(score, letter, strict=True)]
-            rejected = [not has or s < model.reject_below for s, has in zip(score, letter, strict=True)]
+            rejected = [not has or d for d, has in zip(doubtful, letter, strict=True)]
             names = [c for c in batch.schema.names if carry or c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*names, "lang_pred", "score", "rejected"])
 
@@ -198,7 +241,7 @@ def _predict(model: LanguageModel | None, carry: bool):
 
 
 def identify_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 400, model: LanguageModel | None = None, **options) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score, rejected (score under the calibrated bound, or `und`)."""
+    """One row per document: doc_id, held_out, lang_pred, score, rejected (score or share of known subwords under the language's bound, or `und`)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     model = model or train(rows, sample=sample, **options)
     kind = dict(rows.dtypes)["doc_id"]

@@ -48,6 +48,16 @@ def test_language(spark, documents):
     assert all(r.lang_pred == "und" and r.score == 0 and r.rejected for r in out if r.doc_id in (1000, 1001, 1002))
 
 
+@pytest.mark.parametrize("langs", [("en",), ("en", "de"), ("en", "de", "fr")])
+def test_language_rejects(spark, documents, langs):
+    foreign = ["zażółć gęślą jaźń oraz wszyscy przyszli wczoraj", "ja minä olen sitä mieltä että kaikki hyvin", "xqzv wkjh bbrtq zzxkp qwvvv hjklm", "это совсем другой язык и другие буквы"]
+    docs = documents.where(F.col("lang").isin(*langs) & (F.col("doc_id") < 1000)).select("doc_id", "text", "lang")
+    rows = docs.unionByName(spark.createDataFrame([(5000 + k, t, None) for k, t in enumerate(foreign)], "doc_id long, text string, lang string"))
+    out = identify_language(rows).collect()
+    assert all(r.rejected for r in out if r.doc_id >= 5000)
+    assert sum(r.rejected for r in out if r.doc_id < 5000) <= 2
+
+
 def test_language_edges(spark, documents):
     assert identify_language(documents.limit(0)).count() == 0
     unlabelled = documents.withColumn("lang", F.lit(None).cast("string"))
