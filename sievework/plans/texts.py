@@ -130,6 +130,12 @@ def page_links(spark, sf):
     return read_table(spark, sf, "pages").select("page_id", F.size(T.links(F.col("html"))).cast("long").alias("n_links"), F.lit("").alias("none"))
 
 
+@query(r"""SELECT page_id, unnest(range(len(l))) AS place, unnest(l) AS link FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1) AS l FROM pages)""")
+def page_link_rows(spark, sf):
+    """A row for each link of each page, in order; pages without links have none."""
+    return read_table(spark, sf, "pages").select("page_id", F.posexplode(T.links(F.col("html"))).alias("place", "link"))
+
+
 @query()
 def page_block_lines(spark, sf):
     lines = read_table(spark, sf, "pages").select("page_id", F.posexplode(T.block_lines(F.col("html"))).alias("no", "line"))

@@ -219,3 +219,12 @@ def test_surrogate_ids_in_ranges(spark):
     ordered = sorted((r.v for r in out.collect()), key=lambda v: -1 if v is None else v)
     assert {r.v: r.oid for r in out.collect()} == {v: f"O{42 + k:05d}" for k, v in enumerate(ordered)} and len(ordered) == 5000
     assert "windowspecdefinition(_range#" in out._jdf.queryExecution().toString()
+
+
+def test_page_links_are_rows(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    html = '<a href="/one">1</a> <A class="x" href="http://h/two">2</A>'
+    spark.createDataFrame([(1, "http://h/1", html), (2, "http://h/2", "<p>none</p>"), (3, "http://h/3", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = entry.queries()["page_link_rows"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in out) == [(1, 0, "/one"), (1, 1, "http://h/two")]
