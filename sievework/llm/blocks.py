@@ -3,31 +3,50 @@
 A window is `length` consecutive symbols (words or bytes). Its anchor is the
 leftmost smallest-hash gram of `gram` symbols in it, so equal windows have
 equal anchors at equal distances. A block is a run of neighbouring windows with
-one anchor. Comparing blocks by (anchor, hash of the whole block) settles most
+one anchor. Comparing blocks by (anchor, digest of the block's own text) settles most
 windows without looking at them one at a time; where two different blocks share an
-anchor, their windows are compared one by one.
+anchor, their windows are compared one by one. Anchors only bring together what may be
+equal; that it is equal is said by a digest of the real words or bytes, or by comparing them.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _U = np.uint64
+#: Hashes of runs are polynomials modulo this prime. Modulo a power of two, whole families of words collide whatever the base.
+_PRIME = (1 << 61) - 1
+_BASE = 0x0B5AD4ECEDA1CE2A  # drawn at random, below the prime
+_INVERSE = pow(_BASE, -1, _PRIME)
+_P, _LOW, _S31, _S61 = _U(_PRIME), _U((1 << 31) - 1), _U(31), _U(61)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _mod(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _S61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """x * 2**31, not yet below the prime; x is below 2**61."""
+    return (x >> _U(30)) + ((x & _U((1 << 30) - 1)) << _S31)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, of numbers below it."""
+    a_high, a_low, b_high, b_low = a >> _S31, a & _LOW, b >> _S31, b & _LOW
+    return _mod(a_high * b_high * _U(2) + _shifted(a_high * b_low + a_low * b_high) + a_low * b_low)
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n."""
-    if len(_powers[0]) < n + 1:
-        size = max(n + 1, 1 << 20)
+    """base**i and base**-i modulo the prime for i up to n."""
+    while len(_powers[0]) < n + 1:
         for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
+            known = _powers[k]
+            _powers[k] = np.concatenate([known, _times(known, np.full(len(known), pow(base, len(known), _PRIME), np.uint64))])
     return _powers[0][: n + 1], _powers[1][: n + 1]
 
 
@@ -42,23 +61,60 @@ def scramble(h: np.ndarray) -> np.ndarray:
 
 
 class RunHash:
-    """Hash of any run of a symbol sequence in constant time."""
+    """Hash of any run of a symbol sequence in constant time. Equal runs have equal hashes; two others collide with a chance of about their length in 2**61."""
 
     def __init__(self, symbols: np.ndarray):
         power, self.inverse = _power_tables(len(symbols))
+        power = power[: len(symbols)]
+        if symbols.dtype == np.uint8:  # products stay small: nothing to reduce before the sums
+            few = symbols.astype(np.uint64) + _U(1)
+            low, high = (power & _LOW) * few, (power >> _S31) * few
+        else:
+            own = _times(_mod(symbols), power)
+            low, high = own & _LOW, own >> _S31
         self.prefix = np.zeros(len(symbols) + 1, np.uint64)
-        np.cumsum(symbols * power[: len(symbols)], out=self.prefix[1:])
+        self.prefix[1:] = _mod(_shifted(_mod(np.cumsum(high, dtype=np.uint64))) + _mod(np.cumsum(low, dtype=np.uint64)))
+
+    def _of(self, before: np.ndarray, after: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+        return scramble(_times(_mod(after + _P - before), inverse))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return scramble((self.prefix[end] - self.prefix[start]) * self.inverse[start])
+        return self._of(self.prefix[start], self.prefix[end], self.inverse[start])
+
+    def grams(self, size: int, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """Hashes of the runs of `size` symbols between two places."""
+        n = (len(self.prefix) - 1 if hi is None else hi) - lo - size + 1
+        return self._of(self.prefix[lo : lo + n], self.prefix[lo + size : lo + size + n], self.inverse[lo : lo + n])
+
+
+def digests(pieces) -> np.ndarray:
+    """A 64-bit BLAKE2 digest of each byte string, by which strings with one anchor are held equal."""
+    digest = hashlib.blake2b
+    return np.frombuffer(b"".join([digest(x, digest_size=8).digest() for x in pieces]), np.int64)
 
-    def grams(self, size: int) -> np.ndarray:
-        n = len(self.prefix) - size
-        return scramble((self.prefix[size:] - self.prefix[:n]) * self.inverse[:n])
 
+class Combiner:
+    """Drops the rows of a task that say nothing new about a key met before.
+
+    A key that occurs more than once in a run is remembered with its smallest place (an id, or a pair), so that a hot key leaves a task
+    about once and not once a run. Up to `room` keys are held; forgetting one costs a row, no result.
+    """
+
+    def __init__(self, room: int = 1 << 17):
+        self.room, self.least = room, {}
 
-def byte_symbols(data: np.ndarray) -> np.ndarray:
-    return data.astype(np.uint64) + _U(1)
+    def news(self, keys: list, places: list, repeated: np.ndarray) -> np.ndarray:
+        """Mask of the rows to pass on."""
+        keep = np.ones(len(keys), bool)
+        for k, (key, place) in enumerate(zip(keys, places, strict=True)):
+            met = self.least.get(key)
+            if met is not None and met <= place:
+                keep[k] = False
+            elif met is not None or repeated[k]:
+                if len(self.least) >= self.room:
+                    self.least.clear()
+                self.least[key] = place
+        return keep
 
 
 def word_symbols(data: np.ndarray, offsets: np.ndarray, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -93,22 +149,21 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     stop[offsets] = True
     stops = np.flatnonzero(stop)
     ends = stops[np.searchsorted(stops, starts, side="right")]
-    return starts, RunHash(byte_symbols(data)).of(starts, ends)
+    return starts, RunHash(data).of(starts, ends)
 
 
 @dataclass
 class Blocks:
-    """Arrays with an entry per block: row of the batch run, first window, number of windows, anchor and hashes."""
+    """Arrays with an entry per block: row of the batch run, first window, number of windows, place and hash of the anchor."""
 
     row: np.ndarray
     start: np.ndarray
     windows: np.ndarray
     at: np.ndarray
     anchor: np.ndarray
-    body: np.ndarray
 
 
-def find_blocks(symbols: np.ndarray, offsets: np.ndarray, length: int, gram: int, piece: int = 1 << 20) -> tuple[Blocks, RunHash]:
+def find_blocks(symbols: np.ndarray, offsets: np.ndarray, length: int, gram: int, piece: int = 1 << 20) -> Blocks:
     """Blocks of every row; `start` and `at` count symbols from the start of the run.
 
     A row beyond `piece` symbols is cut into overlapping pieces. That may split a
@@ -122,18 +177,15 @@ def find_blocks(symbols: np.ndarray, offsets: np.ndarray, length: int, gram: int
             parts.append(_piece(run, lo, hi, offsets, length, gram))
     cols = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3)]
     start, windows, at = cols
-    last = start + windows - 1 + length
     row = np.searchsorted(offsets, start, side="right") - 1
-    anchor = run.of(at, at + gram).view(np.int64)
-    return Blocks(row, start, windows, at, anchor, run.of(start, last).view(np.int64)), run
+    return Blocks(row, start, windows, at, run.of(at, at + gram).view(np.int64))
 
 
 def _piece(run: RunHash, lo: int, hi: int, offsets: np.ndarray, length: int, gram: int):
     span = length - gram + 1
     n = hi - lo - gram + 1
-    power = (run.prefix[lo + gram : hi + 1] - run.prefix[lo : lo + n]) * run.inverse[lo : lo + n]
     # The low bits hold the position: ties go to the leftmost gram.
-    key = (scramble(power) & _U(~0x1FFFFFF & (2**64 - 1))) | np.arange(n, dtype=np.uint64)
+    key = (run.grams(gram, lo, hi) & _U(~0x1FFFFFF & (2**64 - 1))) | np.arange(n, dtype=np.uint64)
     width = 1
     while width < span:
         step = min(width, span - width)

@@ -3,14 +3,17 @@
 Seeds are winnowed anchors: of every window of 50 words the leftmost
 smallest-hash 20-gram, so that two equal windows always share a seed. Seeds join
 documents on the anchor. A seed whose neighbourhood (block) is the same in a
-smaller document is settled at once; where neighbourhoods differ, each
+smaller document extends over all of it and is settled at once; where neighbourhoods differ, each
 extension of the seed to the left and right that makes up a window is matched against the
 smallest document that has the same extension. Windows matched in a smaller
 document merge into maximal repeats, all of them at least one window long.
 
+Seeds only bring documents together. What is removed is confirmed by a BLAKE2 digest of the
+words of the whole extension, so words that the anchors' hash confuses are not removed.
+
 No pairs are made: every step keeps the smallest document of a key, and the
 rows that are *not* first are known by their absence, so a passage in a
-third of all documents is never joined back to each of its copies.
+third of all documents is never joined back to each of its copies. A hot seed leaves each task once.
 
 Cases: a null or empty text has no words and loses none; a text under one
 window loses none; rows with a null doc_id are passed through and remove nothing;
@@ -27,32 +30,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import covered, find_blocks, span_count, word_symbols
+from .blocks import Combiner, covered, digests, find_blocks, span_count, word_symbols
 from .common import list_of_longs, long_column, text_chunks
 
 _SEEDS = "anchor long, body long, doc_id long"
 _WINDOWS = "anchor long, extent long, doc_id long"
 
 
-def _scan(batches, ids, texts, length, gram):
-    """(batch, first row, bytes, row offsets, word offsets, blocks, run hash) of each run of rows."""
+def _scan(batches, length, gram):
+    """(batch, first row, end row, tokens of each row, word offsets of the rows, blocks, slices) of each run of rows.
+
+    slices(first, end) gives the words between two places joined by one space, for arrays of places.
+    """
     for batch in batches:
-        for row, end, data, at in text_chunks(batch, texts):
+        for row, end, data, at in text_chunks(batch, "text"):
             symbols, words = word_symbols(data, at)
-            blocks, run = find_blocks(symbols, words, length, gram)
-            yield batch, row, end, data, at, words, blocks, run
+            raw = data.tobytes()
+            tokens = [raw[x:y].split() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            line = b" ".join([t for own in tokens for t in own])
+            place = np.append(0, np.cumsum(np.fromiter((len(t) + 1 for own in tokens for t in own), np.int64, len(symbols))))
+
+            def slices(first, last, line=line, place=place):
+                return [line[x:y] for x, y in zip(place[first].tolist(), (place[last] - 1).tolist(), strict=True)]
+
+            yield batch, row, end, tokens, words, find_blocks(symbols, words, length, gram), slices
+
+
+def _bodies(b, slices, chosen, length):
+    """Digest of all the words that the windows of each block cover."""
+    return digests(slices(b.start[chosen], b.start[chosen] + b.windows[chosen] - 1 + length))
 
 
 def _seeds(length: int, gram: int):
     def scan(batches):
-        for batch, row, end, _, _, _, b, _ in _scan(batches, "doc_id", "text", length, gram):
-            ids = long_column(batch, "doc_id")[row:end][b.row]
+        combiner = Combiner()
+        for batch, row, end, _, _, b, slices in _scan(batches, length, gram):
+            ids, body = long_column(batch, "doc_id")[row:end][b.row], _bodies(b, slices, slice(None), length)
             # Within the run, only the smallest document of a block.
-            order = np.lexsort((ids, b.body, b.anchor))
-            anchor, body = b.anchor[order], b.body[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (anchor[1:] != anchor[:-1]) | (body[1:] != body[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (anchor, body, ids[order])], ["anchor", "body", "doc_id"])
+            order = np.lexsort((ids, body, b.anchor))
+            anchor, body, ids = b.anchor[order], body[order], ids[order]
+            first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (body[1:] != body[:-1]))) if len(order) else np.zeros(0, np.int64)
+            many = np.diff(np.append(first, len(order))) > 1
+            anchor, body, ids = anchor[first], body[first], ids[first]
+            keep = combiner.news(list(zip(anchor.tolist(), body.tolist(), strict=True)), ids.tolist(), many)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (anchor, body, ids)], ["anchor", "body", "doc_id"])
 
     return scan
 
@@ -63,27 +84,27 @@ def _position(values: np.ndarray, within: pa.ListArray, k: int) -> np.ndarray:
     return np.isin(values, own.to_numpy(zero_copy_only=False)) if own is not None and len(own) else np.zeros(len(values), bool)
 
 
-def _windows(b, run, mask, length):
-    """(block, start) of every window of the chosen blocks, and its hash."""
+def _windows(b, slices, mask, length):
+    """(block, start) of every window of the chosen blocks, and the digest of its words: an extension of the block's seed to both sides."""
     chosen = np.flatnonzero(mask)
     count = b.windows[chosen]
     block = np.repeat(chosen, count)
     start = np.repeat(b.start[chosen], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return block, start, run.of(start, start + length).view(np.int64)
+    return block, start, digests(slices(start, start + length))
 
 
 def _open(length: int, gram: int):
     """The extensions (windows) of seeds whose neighbourhoods differ between documents."""
 
     def scan(batches):
-        for batch, row, end, _, _, _, b, run in _scan(batches, "doc_id", "text", length, gram):
+        for batch, row, end, _, _, b, slices in _scan(batches, length, gram):
             ids, undecided = long_column(batch, "doc_id"), batch.column("undecided")
             mask = np.zeros(len(b.row), bool)
             for k in range(row, end):
-                if undecided[k].is_valid:
+                if undecided[k].is_valid and len(undecided[k].values):
                     own = slice(*np.searchsorted(b.row, [k - row, k - row + 1]))
-                    mask[own] = _position(b.body[own], undecided, k)
-            block, _, extent = _windows(b, run, mask, length)
+                    mask[own] = _position(_bodies(b, slices, own, length), undecided, k)
+            block, _, extent = _windows(b, slices, mask, length)
             rows = np.unique(np.stack([b.anchor[block], extent, ids[row:end][b.row[block]]]), axis=1) if len(block) else np.zeros((3, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["anchor", "extent", "doc_id"])
 
@@ -92,24 +113,24 @@ def _open(length: int, gram: int):
 
 def _finish(length: int, gram: int, spans: bool):
     def scan(batches):
-        for batch, row, end, data, at, words, b, run in _scan(batches, "doc_id", "text", length, gram):
+        for batch, row, end, tokens_of, words, b, slices in _scan(batches, length, gram):
             out = {"doc_id": [], "n_words": [], "n_removed": [], "kept_sha256": [], "n_repeats": [], "repeats": []}
             known, settled, undecided, first = (batch.column(c) for c in ("doc_id", "settled", "undecided", "first_windows"))
-            raw = data.tobytes()
             for k in range(row, end):
                 i = k - row
                 own = slice(*np.searchsorted(b.row, [i, i + 1]))
-                tokens = raw[at[i] : at[i + 1]].split()
+                tokens = tokens_of[i]
                 gone = np.zeros(len(tokens), bool)
                 if own.start < own.stop and known[k].is_valid:
-                    keep, look = _position(b.body[own], settled, k), _position(b.body[own], undecided, k)
+                    body = _bodies(b, slices, own, length)
+                    keep, look = _position(body, settled, k), _position(body, undecided, k)
                     drop = np.zeros(len(b.row), bool)
                     drop[own] = ~keep & ~look
                     begin, stop = b.start[drop], b.start[drop] + b.windows[drop] - 1 + length
                     if look.any():
                         mask = np.zeros(len(b.row), bool)
                         mask[own] = look
-                        _, start, extent = _windows(b, run, mask, length)
+                        _, start, extent = _windows(b, slices, mask, length)
                         start = start[~_position(extent, first, k)]
                         begin, stop = np.append(begin, start), np.append(stop, start + length)
                     if len(begin):

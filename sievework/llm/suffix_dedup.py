@@ -1,14 +1,17 @@
 """Substring dedup over bytes with a suffix array sorted deep-shallow.
 
 Which 100-byte strings start earlier is read from the order of the suffixes
-that start at them, compared to that depth. Most suffixes need no sorting: every
-window belongs to a block around its anchor (the leftmost smallest-hash 40-gram),
-and a block that is the same elsewhere is settled as a whole by its earliest place, as
-is one whose anchor occurs nowhere else. The suffixes of the remaining
-blocks are sorted per anchor: multikey quicksort on 8-byte characters down to a
+that start at them, compared to that depth. Two filters keep suffixes out of the sort: every
+window belongs to a block around its anchor (the leftmost smallest-hash 40-gram); a block whose anchor
+occurs nowhere else has no repeats, and blocks that are equal (by anchor and a BLAKE2 digest of all
+their bytes) enter the array once, with their earliest place: the others start later in all their windows. The suffixes of all
+other blocks are sorted per anchor: multikey quicksort on 8-byte characters down to a
 shallow depth, then blind tries for the groups that share so long a prefix.
 In the sorted array equal neighbours form a group; all but its earliest place are repeats.
 
+An anchor with more than `crowd` contexts would make too large an array. Its windows go by a digest of their own
+bytes instead, so equal ones still meet and are sorted; of those a task sends each once, and the earliest is told instead of the repeats.
+
 The rows that are not the earliest are known by their absence, so hot strings
 are never joined back to each place; the texts of blocks travel only
 where two contexts of one anchor differ, one per context.
@@ -27,29 +30,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import RunHash, byte_symbols, covered, find_blocks, span_count
+from .blocks import Combiner, RunHash, covered, digests, find_blocks, span_count
 from .common import long_column, text_chunks
 
 _SEEDS = "anchor long, body long, doc_id long, at long"
-_OPEN = "anchor long, doc_id long, at long, windows int, content binary"
+_OPEN = "key long, doc_id long, at long, windows int, single boolean, content binary"
 
 
 def _scan(batches, length, gram):
     for batch in batches:
         for row, end, data, at in text_chunks(batch, "text"):
-            blocks, _ = find_blocks(byte_symbols(data), at, length, gram)
-            yield batch, row, end, data, at, blocks
+            yield batch, row, end, data, at, find_blocks(data, at, length, gram)
+
+
+def _cut(raw: bytes, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+    return [raw[x:y] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
 
 
 def _seeds(length: int, gram: int):
     def scan(batches):
-        for batch, row, end, _, at, b in _scan(batches, length, gram):
+        combiner = Combiner()
+        for batch, row, end, data, at, b in _scan(batches, length, gram):
             ids, place = long_column(batch, "doc_id")[row:end][b.row], b.start - at[b.row]
-            order = np.lexsort((place, ids, b.body, b.anchor))
-            anchor, body = b.anchor[order], b.body[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (anchor[1:] != anchor[:-1]) | (body[1:] != body[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (anchor, body, ids[order], place[order])], ["anchor", "body", "doc_id", "at"])
+            body = digests(_cut(data.tobytes(), b.start, b.start + b.windows - 1 + length))
+            order = np.lexsort((place, ids, body, b.anchor))
+            anchor, body, ids, place = b.anchor[order], body[order], ids[order], place[order]
+            first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (body[1:] != body[:-1]))) if len(order) else np.zeros(0, np.int64)
+            many = np.diff(np.append(first, len(order))) > 1
+            anchor, body, ids, place = (x[first] for x in (anchor, body, ids, place))
+            keep = combiner.news(list(zip(anchor.tolist(), body.tolist(), strict=True)), list(zip(ids.tolist(), place.tolist(), strict=True)), many)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (anchor, body, ids, place)], ["anchor", "body", "doc_id", "at"])
 
     return scan
 
@@ -60,26 +70,45 @@ def _among(places: np.ndarray, lists: pa.ListArray, k: int) -> np.ndarray:
 
 
 def _open(length: int, gram: int):
-    """The texts of blocks whose anchor has other contexts too."""
+    """The texts of blocks whose anchor has other contexts too; of blocks whose anchor has a crowd of them, each window for itself."""
 
     def scan(batches):
+        combiner = Combiner()
         for batch, row, end, data, at, b in _scan(batches, length, gram):
-            ids, undecided, raw = long_column(batch, "doc_id"), batch.column("undecided"), data.tobytes()  # a null id has no lists
-            keep = []
+            ids, undecided, crowded, raw = long_column(batch, "doc_id"), batch.column("undecided"), batch.column("crowded"), data.tobytes()  # a null id has no lists
+            keep, split = [], []
             for k in range(row, end):
-                if undecided[k].is_valid:
-                    lo, hi = np.searchsorted(b.row, [k - row, k - row + 1])
-                    keep.append(lo + np.flatnonzero(_among(b.start[lo:hi] - at[k - row], undecided, k)))
+                lo, hi = np.searchsorted(b.row, [k - row, k - row + 1])
+                for to, lists in ((keep, undecided), (split, crowded)):
+                    if lists[k].is_valid and len(lists[k].values):
+                        to.append(lo + np.flatnonzero(_among(b.start[lo:hi] - at[k - row], lists, k)))
             own = np.concatenate(keep) if keep else np.zeros(0, np.int64)
-            stop = b.start[own] + b.windows[own] - 1 + length
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(b.anchor[own]), pa.array(ids[row:end][b.row[own]]), pa.array(b.start[own] - at[b.row[own]]), pa.array(b.windows[own].astype(np.int32)), pa.array([raw[x:y] for x, y in zip(b.start[own].tolist(), stop.tolist(), strict=True)], pa.binary())],
-                ["anchor", "doc_id", "at", "windows", "content"],
-            )
+            yield _open_rows(b.anchor[own], ids[row:end][b.row[own]], b.start[own] - at[b.row[own]], b.windows[own], False, _cut(raw, b.start[own], b.start[own] + b.windows[own] - 1 + length))
+            if split:
+                block, start = _windows(b, np.concatenate(split))
+                content = _cut(raw, start, start + length)
+                key, doc, place = digests(content), ids[row:end][b.row[block]], start - at[b.row[block]]
+                order = np.lexsort((place, doc, key))
+                first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+                many, order = np.diff(np.append(first, len(order))) > 1, order[first]
+                news = combiner.news(key[order].tolist(), list(zip(doc[order].tolist(), place[order].tolist(), strict=True)), many)
+                order = order[news]
+                yield _open_rows(key[order], doc[order], place[order], np.ones(len(order), np.int64), True, [content[k] for k in order])
 
     return scan
 
 
+def _windows(b, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(block, start) of every window of the chosen blocks."""
+    count = b.windows[chosen]
+    return np.repeat(chosen, count), np.repeat(b.start[chosen], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _open_rows(key, doc, place, windows, single: bool, content: list[bytes]) -> pa.RecordBatch:
+    columns = [pa.array(key), pa.array(doc), pa.array(place), pa.array(windows.astype(np.int32)), pa.array(np.full(len(key), single)), pa.array(content, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "at", "windows", "single", "content"])
+
+
 class BlindTrie:
     """Keys of equal length under the bits where they branch; nothing else of them is kept inside.
 
@@ -150,7 +179,7 @@ def deep_shallow_sort(data: bytes, starts: np.ndarray, length: int, shallow: int
         own, group, depth = own[~single], group[~single], depth + 8
     if len(own):
         # Equal rests are found by hash, compared, and entered once.
-        rest = RunHash(byte_symbols(raw)).of(starts[own] + depth, starts[own] + length)
+        rest = RunHash(raw).of(starts[own] + depth, starts[own] + length)
         by = np.lexsort((rest, group))
         own, group, rest = own[by], group[by], rest[by]
         place = starts[own]
@@ -187,10 +216,13 @@ def _split(group: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _repeats(length: int, shallow: int, target: int = 4 << 20):
-    """Of the blocks, sorted by anchor: each window that also starts earlier. Whole anchors are held together, about `target` bytes of them."""
+    """Of rows sorted by key: each window of a block that also starts earlier, and of the single windows each that doesn't.
+
+    Whole keys are held together, about `target` bytes of them.
+    """
 
     def solve(rows):
-        anchor, doc, place, count, content = rows
+        _, doc, place, count, single, content = rows
         data = b"".join(content)
         size = np.fromiter(map(len, content), np.int64, len(content))
         base = np.cumsum(size) - size
@@ -199,16 +231,17 @@ def _repeats(length: int, shallow: int, target: int = 4 << 20):
         starts = base[block] + within
         order, new = deep_shallow_sort(data, starts, length, shallow)
         group = np.cumsum(new) - 1
-        docs, places = doc[block][order], place[block][order] + within[order]
+        docs, places, alone = doc[block][order], place[block][order] + within[order], single[block][order] > 0
         rank = np.lexsort((places, docs, group))
         earliest = np.zeros(len(order), bool)
         earliest[rank[np.flatnonzero(np.append(True, np.diff(group[rank]) != 0))]] = True
-        return pa.RecordBatch.from_arrays([pa.array(docs[~earliest]), pa.array(places[~earliest])], ["doc_id", "at"])
+        told = earliest == alone
+        return pa.RecordBatch.from_arrays([pa.array(docs[told]), pa.array(places[told]), pa.array(alone[told])], ["doc_id", "at", "first"])
 
     def scan(batches):
         held, size, last = [], 0, None
         for batch in batches:
-            cols = [long_column(batch, c) for c in ("anchor", "doc_id", "at", "windows")] + [batch.column("content").to_pylist()]
+            cols = [long_column(batch, c) for c in ("key", "doc_id", "at", "windows", "single")] + [batch.column("content").to_pylist()]
             edges = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1])) if batch.num_rows else []
             for lo, hi in zip(edges, np.append(edges[1:], batch.num_rows), strict=True):
                 if size > target and cols[0][lo] != last:
@@ -216,7 +249,7 @@ def _repeats(length: int, shallow: int, target: int = 4 << 20):
                     held, size = [], 0
                 part = [c[lo:hi] for c in cols]
                 held.append(part)
-                size += sum(map(len, part[4]))
+                size += sum(map(len, part[5]))
                 last = cols[0][lo]
         if held:
             yield solve(_glue(held))
@@ -225,13 +258,13 @@ def _repeats(length: int, shallow: int, target: int = 4 << 20):
 
 
 def _glue(parts):
-    return [np.concatenate([p[k] for p in parts]) for k in range(4)] + [[x for p in parts for x in p[4]]]
+    return [np.concatenate([p[k] for p in parts]) for k in range(5)] + [[x for p in parts for x in p[5]]]
 
 
 def _finish(length: int, gram: int, spans: bool):
     def scan(batches):
         for batch, row, end, data, at, b in _scan(batches, length, gram):
-            known, settled, undecided, repeated = (batch.column(c) for c in ("doc_id", "settled", "undecided", "repeated"))
+            known, settled, undecided, crowded, repeated, firsts = (batch.column(c) for c in ("doc_id", "settled", "undecided", "crowded", "repeated", "firsts"))
             out: list[list] = [[] for _ in range(6)]
             for k in range(row, end):
                 i = k - row
@@ -240,11 +273,16 @@ def _finish(length: int, gram: int, spans: bool):
                 gone = None
                 if lo < hi and known[k].is_valid:
                     start = b.start[lo:hi] - at[i]
-                    drop = ~(_among(start, settled, k) | _among(start, undecided, k))
+                    split = _among(start, crowded, k)
+                    drop = ~(_among(start, settled, k) | _among(start, undecided, k) | split)
                     begin, stop = start[drop], start[drop] + b.windows[lo:hi][drop] - 1 + length
                     if repeated[k].is_valid:
                         more = repeated[k].values.to_numpy(zero_copy_only=False)
                         begin, stop = np.append(begin, more), np.append(stop, more + length)
+                    if split.any():
+                        more = _windows(b, lo + np.flatnonzero(split))[1] - at[i]
+                        more = more[~_among(more, firsts, k)]
+                        begin, stop = np.append(begin, more), np.append(stop, more + length)
                     if len(begin):
                         gone = covered(begin, stop, len(own))
                 kept = own.tobytes() if gone is None else own[~gone].tobytes()
@@ -260,10 +298,10 @@ def _finish(length: int, gram: int, spans: bool):
     return scan
 
 
-def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 40, shallow: int = 48, spans: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 40, shallow: int = 48, crowd: int = 512, spans: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    With `spans`, also `repeats`: the [first byte, end) of every removed run.
+    With `spans`, also `repeats`: the [first byte, end) of every removed run. An anchor with more than `crowd` contexts is split into its windows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     seeds = docs.where("doc_id is not null").mapInArrow(_seeds(length, gram), _SEEDS)
@@ -275,12 +313,13 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
     lists = first.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("contexts") == 1, F.col("at"))).alias("settled"),
-        F.collect_list(F.when(F.col("contexts") > 1, F.col("at"))).alias("undecided"),
+        F.collect_list(F.when(F.col("contexts").between(2, crowd), F.col("at"))).alias("undecided"),
+        F.collect_list(F.when(F.col("contexts") > crowd, F.col("at"))).alias("crowded"),
     )
     # Read by both steps below in the same form, so that its exchanges, that of the texts above all, run once.
     seeded = docs.join(lists, "doc_id", "left")
     contexts = seeded.mapInArrow(_open(length, gram), _OPEN)
-    repeats = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeats(length, shallow), "doc_id long, at long")
-    repeated = repeats.groupBy("doc_id").agg(F.collect_list("at").alias("repeated"))
+    repeats = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_repeats(length, shallow), "doc_id long, at long, first boolean")
+    repeated = repeats.groupBy("doc_id").agg(F.collect_list(F.expr("IF(first, NULL, at)")).alias("repeated"), F.collect_list(F.expr("IF(first, at, NULL)")).alias("firsts"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", repeats array<array<long>>" * spans
     return seeded.join(repeated, "doc_id", "left").mapInArrow(_finish(length, gram, spans), schema)
