@@ -2,20 +2,22 @@
 
 The documents of a source, in the order of the MD5 of their ids, form blocks of
 `block` documents. A source with u of W weight units is due u of every W slots: its
-k-th block in a round of W slots is released at floor(k W / u) and has its deadline
+k-th block is released at floor(k W / u) and has its deadline
 at ceil((k + 1) W / u). Earliest deadline first among the released blocks gives
 every block a slot inside its window, so at every slot each source is less than one
 block away from its target.
 
-A round repeats, so one round is scheduled per phase and no more: a phase ends
-when a source runs out, and the weights of those left are then taken
-relative to each other. Every document appears exactly once. The schedules are a table of
-at most (sources x phases) rows, whatever the number of documents; ranks inside a source
+Weights are whole units: `units` of them (10,000) are dealt by largest remainders, one at least to each source. Weights that are
+multiples of 1 / units are met exactly; others by less than a unit, except that a source due less than one unit gets one.
+After W slots all windows start anew, so one round is scheduled for all: `units` slots x sources steps in one row,
+whatever the number of documents. A source that has run out leaves its slots empty, and the others go on in the
+same proportions to each other. Every document appears exactly once. The schedule has W rows, one for each block of a round, and
+is joined by (source, block in the round); ranks inside a source
 come from counts of hash ranges, so a source that holds most rows is spread like any other.
 
 Cases: a null source is the source ''; a null id ranks as ''; rows that repeat an id
-are ranked next to each other; sources without a given weight get the smallest unit;
-an empty table gives an empty result; every column of the input is carried along, except
+are ranked next to each other; sources without a given weight get one unit;
+an empty table gives an empty result; every column of the input is carried along, whatever its name, except
 those named like the added ones, which are replaced.
 """
 
@@ -25,11 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import if_small, materialise
 
 ADDED = ("weight_units", "block", "slot", "place", "release", "deadline")
-#: Sources up to which the table of schedules is sent to every task: at most this many squared times a few bytes.
-BROADCAST_SOURCES = 256
 
 
 def _edf(sources: str, total: str) -> str:
@@ -47,70 +47,50 @@ def _edf(sources: str, total: str) -> str:
 
 
 def weight_units(counts: DataFrame, weights: dict[str, float] | None, units: int, power: float) -> DataFrame:
-    """Adds u: the weight of each source in whole units; without weights, the count to `power`."""
+    """(src, n, u): the weight of each source in whole units, by largest remainders; without weights, the count to `power`."""
     if weights:
         given = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
         counts = counts.withColumn("w", F.coalesce(F.try_element_at(given, "src"), F.lit(0.0)).cast("double"))
     else:
         counts = counts.withColumn("w", F.pow(F.col("n").cast("double"), power))
-    total = counts.agg(F.sum("w").alias("all_w"))
-    return counts.crossJoin(total).select("src", "n", F.greatest(F.lit(1), F.round(F.col("w") / F.greatest("all_w", F.lit(1e-12)) * units)).cast("long").alias("u"))
+    # One window over the sources, not over documents.
+    every = Window.partitionBy(F.lit(0))
+    # Rounded to far below a unit: 0.7 of 10,000 are 7,000 units.
+    exact = counts.withColumn("exact", F.round(F.col("w") / F.greatest(F.sum("w").over(every), F.lit(1e-12)) * units, 6))
+    dealt = exact.withColumns({"whole": F.floor("exact"), "left": F.lit(units) - F.sum(F.floor("exact")).over(every)})
+    turn = F.row_number().over(every.orderBy(F.col("whole") - F.col("exact"), "src"))
+    return dealt.withColumn("turn", turn).select("src", "n", F.greatest(F.lit(1), F.col("whole") + F.expr("IF(turn <= left AND exact > whole, 1, 0)")).cast("long").alias("u"))
 
 
-def schedules(counts: DataFrame, block: int) -> DataFrame:
-    """Of each source (src, n, u): the phases of the whole schedule and its own slots in each.
+def round_slots(sources: DataFrame) -> DataFrame:
+    """(src, k, at, u, total): the slot of each block of a round. Sources have (src, u)."""
+    everything = sources.agg(F.array_sort(F.collect_list(F.struct("src", "u"))).alias("s")).withColumn("total", F.expr("aggregate(s, 0L, (a, x) -> a + x.u)")).where("total > 0")
+    slots = everything.select("s", "total", F.posexplode(F.expr(_edf("s", "total"))).alias("at", "owner"))
+    own = slots.select(F.expr("s[owner - 1]").alias("of"), F.col("at").cast("long"), "total").select("of.src", "of.u", "at", "total")
+    return own.withColumn("k", (F.row_number().over(Window.partitionBy("src").orderBy("at")) - 1).cast("long"))
 
-    phases: array of (from_round, base slot, slots a round); slots: per phase the offsets of its blocks.
-    """
-    sources = counts.withColumn("rounds", F.expr(f"CAST(ceil(ceil(n / {block}) / u) AS bigint)"))
-    everything = sources.agg(F.array_sort(F.collect_list(F.struct("src", "u", "rounds"))).alias("s"))
-    phases = (
-        everything.withColumn("ends", F.expr("array_sort(array_distinct(transform(s, x -> x.rounds)))"))
-        .select("s", F.posexplode("ends").alias("phase", "until"), F.expr("ends AS ends"))
-        .withColumn("from_round", F.expr("IF(phase = 0, 0L, ends[phase - 1])"))
-        .withColumn("active", F.expr("filter(s, x -> x.rounds > from_round)"))
-        .withColumn("total", F.expr("aggregate(active, 0L, (a, x) -> a + x.u)"))
-        .withColumn("owners", F.expr(_edf("active", "total")))
-    )
-    # One window over the phases: no more rows than sources.
-    before = Window.orderBy("phase").rowsBetween(Window.unboundedPreceding, -1)
-    phases = phases.withColumn("base", F.coalesce(F.sum(F.expr("total * (until - from_round)")).over(before), F.lit(0)))
-    own = phases.select(
-        "phase", "from_round", "base", "total",
-        F.explode(F.expr("transform(active, (x, k) -> named_struct('src', x.src, 'at', filter(transform(owners, (o, i) -> IF(o = k + 1, CAST(i AS bigint), NULL)), i -> i IS NOT NULL)))")).alias("of"),
-    )
-    lists = own.groupBy("of.src").agg(F.array_sort(F.collect_list(F.struct("phase", "from_round", "base", "total", F.col("of.at").alias("at")))).alias("phases"))
-    return sources.join(lists, "src")
 
-
-def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, units: int = 256, power: float = 0.5, block: int = 64, range_rows: int = 4096) -> DataFrame:
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, units: int = 10_000, power: float = 0.5, block: int = 64, range_rows: int = 4096) -> DataFrame:
     """The documents with weight_units, block, slot, place (in the block), release and deadline.
 
     Reading order is (slot, place). Without `weights`, targets are the counts to the given power.
     """
     docs = docs.drop(*ADDED)
     src, mark = F.coalesce(F.col(source_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.withColumns({"_src": src, "_mark": mark})
-    counts = materialise(rows.groupBy(F.col("_src").alias("src")).agg(F.count("*").alias("n")))
-    plan = materialise(schedules(weight_units(counts, weights, units, power), block))
-    small = plan.count() <= BROADCAST_SOURCES
-    hint = F.broadcast if small else lambda df: df
+    tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
+    rows = docs.select(F.struct("*").alias("doc"), src.alias("src"), mark.alias("mark"), tie.alias("tie"))
+    counts = materialise(rows.groupBy("src").agg(F.count("*").alias("n")))
+    plan = materialise(round_slots(weight_units(counts, weights, units, power)))
     # Rank inside a source: hash ranges of about range_rows rows are counted, then ranked each on its own.
-    ranges = rows.join(hint(plan.select(F.col("src").alias("_src"), F.col("n").alias("_n"))), "_src").withColumn(
-        "_range", F.expr(f"CAST(conv(substring(_mark, 1, 8), 16, 10) AS bigint) * CAST(ceil(_n / {range_rows}) AS bigint) DIV 4294967296L")
-    )
-    sizes = ranges.groupBy("_src", "_range").agg(F.count("*").alias("_size"))
-    ahead = sizes.withColumn("_ahead", F.sum("_size").over(Window.partitionBy("_src").orderBy("_range")) - F.col("_size")).drop("_size")
-    order = Window.partitionBy("_src", "_range").orderBy("_mark", *([F.xxhash64("text")] if "text" in docs.columns else []))
-    ranked = ranges.withColumn("_rank", F.row_number().over(order)).join(ahead, ["_src", "_range"]).withColumn("_rank", F.col("_rank") + F.col("_ahead") - 1)
-    placed = ranked.join(hint(plan.select(F.col("src").alias("_src"), F.col("u").alias("weight_units"), "phases")), "_src")
-    placed = (
-        placed.withColumns({"block": F.expr(f"_rank DIV {block}"), "place": F.expr(f"_rank % {block}")})
-        .withColumns({"_round": F.expr("block DIV weight_units"), "_k": F.expr("block % weight_units")})
-        .withColumn("_phase", F.expr("filter(phases, p -> p.from_round <= _round)[size(filter(phases, p -> p.from_round <= _round)) - 1]"))
-        .withColumn("_start", F.expr("_phase.base + (_round - _phase.from_round) * _phase.total"))
-        .withColumn("slot", F.expr("_start + _phase.at[CAST(_k AS int)]"))
-        .withColumn("release", F.expr("_start + _k * _phase.total DIV weight_units"))
-        .withColumn("deadline", F.expr("_start + ((_k + 1) * _phase.total + weight_units - 1) DIV weight_units"))
-    )
-    return placed.select(*docs.columns, *ADDED)
+    ranges = rows.join(if_small(counts), "src").withColumn("range", F.expr(f"CAST(conv(substring(mark, 1, 8), 16, 10) AS bigint) * CAST(ceil(n / {range_rows}) AS bigint) DIV 4294967296L"))
+    sizes = ranges.groupBy("src", "range").agg(F.count("*").alias("size"))
+    ahead = sizes.withColumn("ahead", F.sum("size").over(Window.partitionBy("src").orderBy("range")) - F.col("size")).drop("size")
+    order = Window.partitionBy("src", "range").orderBy("mark", "tie")
+    ranked = ranges.withColumn("rank", F.row_number().over(order)).join(ahead, ["src", "range"]).withColumn("rank", F.col("rank") + F.col("ahead") - 1)
+    units_of = if_small(plan.select("src", "u", "total").distinct())
+    placed = ranked.select("doc", "src", F.expr(f"rank DIV {block}").alias("block"), F.expr(f"rank % {block}").alias("place")).join(units_of, "src").withColumn("k", F.expr("block % u"))
+    placed = placed.join(if_small(plan.select("src", "k", "at")), ["src", "k"]).withColumn("start", F.expr("block DIV u * total"))
+    return placed.select(
+        "doc.*", F.col("u").alias("weight_units"), "block", F.expr("start + at").alias("slot"), "place",
+        F.expr("start + k * total DIV u").alias("release"), F.expr("start + ((k + 1) * total + u - 1) DIV u").alias("deadline"),
+    )

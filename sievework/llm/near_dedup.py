@@ -9,13 +9,15 @@ signature make buckets.
 1. Documents with one and the same set are merged first (a tree merge over set digests).
 2. In each bucket every member is compared with the smallest one, on full sets. Links join
    documents into components.
-3. Buckets that still hold two components are looked at in full. A member that has over a
-   quarter of its set to itself can't reach the threshold with any other, and goes. Those
-   left meet in bounded blocks, and only pairs of different components are compared.
+3. The members of buckets that still hold two components are joined by prefixes: with the
+   shingles of all sets in one order, the rarest first, two linked sets share one of the
+   first (1 - 6/7) of the smaller and of the first quarter of the larger one (for a threshold of 0.75).
+   Pairs of different components that do are compared on full sets. Documents on one template don't meet
+   by the template: if what is their own is too little to fill the prefix, they are linked.
 4. Links of both steps make the components, each named by its smallest id.
 
 Buckets are never expanded into all pairs, and no step needs the rows of one key together
-unless they are bounded (blocks) or combined before the shuffle (minima, counts).
+unless they are combined before the shuffle (minima, counts). Shingles are hashed modulo a prime of 61 bits.
 
 A pair at the threshold itself shares no band with a probability of 1e-6 (36 bands of 4
 rows), a closer one with less; all that shares one is compared on full sets.
@@ -30,18 +32,21 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import RunHash, scramble, word_symbols
-from .common import connected_components, long_column, materialise, text_chunks
+from .common import connected_components, if_small, long_column, materialise, text_chunks
 from .exact_dedup import tree_merge
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Counters of the table by which shingles are ordered: 8 MB, whatever the corpus.
+COUNTER_BITS = 20
+#: Pairs of one document that share a copy of its set.
+HUB_PAIRS = 1000
 
 
 def shingle_sets(batch: pa.RecordBatch, size: int):
@@ -130,56 +135,75 @@ def _verify(percent: int):
     return scan
 
 
-def _spread(batches):
-    """A row for each shingle of each document."""
-    for batch in batches:
-        ids, sets = long_column(batch, "doc_id"), [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x in sets])), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], ["doc_id", "shingle"])
-
-
-def _block_links(percent: int, width: int = 4096):
-    """Links between different components inside one pair of blocks; at most one per two components."""
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        ids, label = group.doc_id.to_numpy(), group.label.to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in group.shingles]
-        size = np.array([len(x) for x in sets])
-        owner = np.repeat(np.arange(len(sets)), size)
-        _, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = count[inverse] > 1
-        number = np.cumsum(count > 1) - 1
-        column, owner = number[inverse[shared]], owner[shared]
-        order = np.argsort(column, kind="stable")
-        column, owner = column[order], owner[order]
-        both = np.zeros((len(sets), len(sets)), np.float32)
-        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-            x, y = np.searchsorted(column, [lo, lo + width])
-            part = np.zeros((len(sets), width), np.float32)
-            part[owner[x:y], column[x:y] - lo] = 1
-            both += part @ part.T
-        ok = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-        a, b = np.nonzero(np.triu(ok & (label[:, None] != label[None, :]), 1))
-        found = pd.DataFrame({"a": ids[a], "b": ids[b], "x": label[a], "y": label[b]})
-        return found.drop_duplicates(["x", "y"])[["a", "b"]]
-
-    return solve
-
-
-def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, bands: int = 36, rows: int = 4, block: int = 256) -> DataFrame:
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (scramble(shingles) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How often each counter's shingles stand in the sets: a table of fixed size, merged from the counts of each batch."""
+
+    def scan(batches):
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("shingles")]
+            counter, n = np.unique(_bucket(np.concatenate(own)), return_counts=True) if own else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(counter), pa.array(n.astype(np.int64))], ["counter", "n"])
+
+    total = np.zeros(1 << COUNTER_BITS, np.int64)
+    for row in sets.mapInArrow(scan, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toLocalIterator():
+        total[row.counter] = row.n
+    return total
+
+
+def _prefixes(percent: int, total: np.ndarray):
+    """The rarest shingles of each set: `found` ones, of which a set at least as large shares one if the two are linked, and `sought` ones, for smaller sets."""
+
+    def scan(batches):
+        for batch in batches:
+            ids, labels, out = long_column(batch, "doc_id"), long_column(batch, "label"), [[], [], [], [], []]
+            for doc, label, raw in zip(ids, labels, batch.column("shingles"), strict=True):
+                own = np.frombuffer(raw.as_buffer(), np.uint64)
+                n, count = len(own), total[_bucket(own)]
+                order = np.lexsort((own, count))
+                # A linked set as large or larger shares 2 percent / (100 + percent) of it, a smaller one `percent`.
+                small, large = n - -(-2 * percent * n // (100 + percent)) + 1, n - -(-percent * n // 100) + 1
+                chosen = order[:large]
+                for to, value in zip(out, (own[chosen].view(np.int64), np.full(large, doc), np.full(large, label), np.full(large, n), np.arange(large) < small), strict=True):
+                    to.append(value)
+            kinds = (np.int64, np.int64, np.int64, np.int64, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, t)) for x, t in zip(out, kinds, strict=True)], ["shingle", "doc_id", "label", "n", "found"])
+
+    return scan
+
+
+def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, bands: int = 36, rows: int = 4) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id it is linked to), kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = materialise(docs.mapInArrow(_profile(shingle, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"))
     filled = profile.where("n_shingles > 0 AND doc_id IS NOT NULL")
     merged = materialise(tree_merge(filled.select("doc_id", "n_shingles", "d1", "d2"), ["d1", "d2"], "doc_id").select("doc_id", "n_shingles", F.col("keep_id").alias("rep")))
 
-    links = _links(docs, filled, merged.where("doc_id = rep").select("doc_id").distinct(), shingle, percent, block)
+    links = _links(docs, filled, merged.where("doc_id = rep").select("doc_id").distinct(), shingle, percent)
     component = connected_components(links).withColumnRenamed("id", "rep")
     named = merged.join(component, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     rest = profile.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return named.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(docs: DataFrame, profile: DataFrame, reps: DataFrame, shingle: int, percent: int, block: int) -> DataFrame:
+def _verified(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked on their full sets.
+
+    A document may be `a` of many pairs: its set is laid beside them in copies, one for each HUB_PAIRS of them.
+    """
+    many = candidates.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).alias("copies")).where("copies > 1")
+    many = materialise(many)
+    pairs = candidates.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("b_set")), "b")
+    pairs = pairs.join(if_small(many), "a", "left").withColumn("copy", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1)))).drop("copies")
+    copies = sets.join(if_small(many.withColumnRenamed("a", "doc_id")), "doc_id", "left").withColumn("copy", F.explode(F.expr("sequence(0L, coalesce(copies, 1L) - 1)")))
+    pairs = pairs.join(copies.select(F.col("doc_id").alias("a"), "copy", F.col("shingles").alias("a_set")), ["a", "copy"])
+    return materialise(pairs.select("a", "b", "a_set", "b_set").mapInArrow(_verify(percent), "a long, b long"))
+
+
+def _links(docs: DataFrame, profile: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b): links between documents of different sets, enough to connect what is connected."""
     members = profile.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
     # A bucket's smallest member: minima combine before the shuffle.
@@ -191,35 +215,25 @@ def _links(docs: DataFrame, profile: DataFrame, reps: DataFrame, shingle: int, p
 
     involved = candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct()
     sets = materialise(docs.join(involved, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, shingles binary"))
-    pairs = candidates.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("b_set")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("a_set")), "a")
-    links = materialise(pairs.select("a", "b", "a_set", "b_set").mapInArrow(_verify(percent), "a long, b long"))
+    links = _verified(candidates, sets, percent)
 
     labels = connected_components(links).withColumnRenamed("id", "doc_id")
     labelled = materialise(buckets.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label")))
-    open_rows = _unresolved(labelled)
-    if open_rows.isEmpty():
+    open_docs = _unresolved(labelled).select("doc_id", "label").distinct()
+    own = materialise(sets.join(open_docs, "doc_id").select("doc_id", "label", "shingles"))
+    if own.isEmpty():
         return links
-    # A document needs three quarters (the threshold) of its set in some other one.
-    present = open_rows.select("doc_id").distinct()
-    own = sets.join(present, "doc_id", "left_semi")
-    alone = own.mapInArrow(_spread, "doc_id long, shingle long").groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last").groupBy("doc_id").agg(F.count("*").alias("alone"))
-    can = own.join(alone, "doc_id", "left").withColumn("n", F.octet_length("shingles") / 8).where(F.expr(f"100 * (n - coalesce(alone, 0)) >= {percent} * n")).select("doc_id")
-    open_rows = _unresolved(materialise(open_rows.join(can, "doc_id", "left_semi")))
-    if open_rows.isEmpty():
-        return links
-
-    hubs = open_rows.groupBy("key").agg(F.min("doc_id").alias("a"))
-    near = open_rows.join(hubs, "key").select("a", F.col("doc_id").alias("b")).where("a != b").distinct()
-    family = connected_components(near).select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
-    rows = family.join(open_rows.select("doc_id", "label").distinct(), "doc_id")
-    count = rows.groupBy("family").agg(F.ceil(F.count("*") / block).alias("parts"))
-    placed = rows.join(count, "family").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
-    placed = placed.select("doc_id", "label", "family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(sets, "doc_id")
-    more = placed.groupBy("family", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
-    return links.unionByName(materialise(more))
+    rare = materialise(own.mapInArrow(_prefixes(percent, _frequencies(own)), "shingle long, doc_id long, label long, n long, found boolean"))
+    # Only shingles that stand in the prefixes of two components can add a link.
+    mixed = rare.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("found").alias("any")).where("x < y AND any").select("shingle")
+    rare = materialise(rare.join(mixed, "shingle", "left_semi"))
+    small, large = (rare.where(w).select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "label", "n"))) for side, w in (("a", "found"), ("b", "true")))
+    met = small.join(large, "shingle").where(F.expr(f"label_a != label_b AND n_a <= n_b AND 100 * n_a >= {percent} * n_b"))
+    more = met.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
+    return links.unionByName(_verified(materialise(more), sets, percent))
 
 
 def _unresolved(rows: DataFrame) -> DataFrame:
     """The rows (key, doc_id, label) of the buckets that hold two components or more."""
     keys = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    return materialise(rows.join(materialise(keys), "key", "left_semi"))
+    return rows.join(materialise(keys), "key", "left_semi")

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sievework.llm import near_dedup as near
 from sievework.llm.exact_dedup import exact_dedup
 from sievework.llm.line_dedup import line_dedup, within_edits
 from sievework.llm.near_dedup import near_dedup, superminhash
@@ -53,11 +54,12 @@ def families(rng, n=25):
     return rows
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_near_dedup(spark, rng, block):
+@pytest.mark.parametrize("hub_pairs", [1000, 2])
+def test_near_dedup(spark, rng, monkeypatch, hub_pairs):
+    monkeypatch.setattr(near, "HUB_PAIRS", hub_pairs)
     rows = [*families(rng), (1001, None), (1003, ""), (1005, "Solo Words"), (1007, "solo words")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    out = near_dedup(df, block=block).collect()
+    out = near_dedup(df).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == components(rows)
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
@@ -70,6 +72,28 @@ def test_links_beside_the_smallest_member(spark):
     assert out == {d: c for d, (_, c) in components(rows).items()}
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_with_structure_are_told_apart(spark):
+    """Strings that every polynomial modulo a power of two confuses."""
+    x = thue_morse(2048)
+    y = x.translate(str.maketrans("ab", "ba"))
+    out = {r.doc_id: r.component_id for r in near_dedup(spark.createDataFrame([(1, x), (2, y), (3, x)], "doc_id long, text string")).collect()}
+    assert out == {1: 1, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize("own", [12, 20])
+def test_templated_documents(spark, own):
+    """One template around words of a document's own: linked or not, as brute force says."""
+    head = [f"t{i}" for i in range(100)]
+    rows = [(i, " ".join(head[:50] + [f"d{i}x{k}" for k in range(own)] + head[50:])) for i in range(40)]
+    rows += [(100 + i, " ".join([f"e{i % 3}x{k}" for k in range(own)] + head)) for i in range(6)]
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == components(rows)
+
+
 def test_superminhash_estimates(rng):
     a = np.random.default_rng(1).integers(0, 2**63, 400, dtype=np.uint64)
     b = np.concatenate([a[:300], np.random.default_rng(2).integers(0, 2**63, 100, dtype=np.uint64)])

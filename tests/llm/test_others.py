@@ -122,28 +122,52 @@ def test_decontaminate_whole(spark, tmp_path):
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted((i or 0, t or "") for i, t in rows if i not in (1, 2) and "quiz inside" not in (t or ""))
 
 
-@pytest.mark.parametrize("weights", [None, {"s0": 0.5, "s1": 0.3, "s2": 0.1, "s3": 0.1}])
-def test_mixing(spark, documents, weights):
-    out = mix_sources(documents.withColumn("slot", F.lit("clash")), weights=weights, units=20, block=8, range_rows=50).collect()
-    assert len(out) == documents.count()
-    blocks = {}
+def brute_round(units, total):
+    """Slots of a round, earliest deadline first; ties go to the first source."""
+    done, owners = dict.fromkeys(units, 0), []
+    for t in range(total):
+        ready = [(-(-(done[s] + 1) * total // u), s) for s, u in sorted(units.items()) if done[s] < u and done[s] * total // u <= t]
+        s = min(ready)[1]
+        owners.append((s, done[s]))
+        done[s] += 1
+    return {b: t for t, b in enumerate(owners)}
+
+
+@pytest.mark.parametrize("weights, size", [(None, 20), ({"s0": 0.5, "s1": 0.3, "s2": 0.1, "s3": 0.1}, 20), ({"s0": 0.7, "s1": 0.2999, "s2": 0.0001}, 10_000)])
+def test_mixing(spark, documents, weights, size):
+    clash = documents.selectExpr("*", "'clash' AS slot", "7 AS src", "8 AS `rank`", "9 AS doc", "10 AS n", "11 AS phases", "12 AS u")
+    out = mix_sources(clash, weights=weights, units=size, block=8, range_rows=50).collect()
+    assert len(out) == documents.count() and all((r.src, r["rank"], r.doc, r.n, r.phases, r.u) == (7, 8, 9, 10, 11, 12) for r in out)
+    units, blocks, places = {r.source or "": r.weight_units for r in out}, {}, set()
+    if weights:
+        assert all(units[s] == max(1, round(w * size)) for s, w in weights.items())
+    total = sum(units.values())
+    expected = brute_round(units, total)
     for r in out:
         src = r.source or ""
+        blocks[src, r.block] = r.slot
+        places.add((src, r.block, r.place))
         assert r.release <= r.slot < r.deadline and 0 <= r.place < 8
-        blocks.setdefault((src, r.block), r.slot)
-        assert blocks[src, r.block] == r.slot
-    assert len(set(blocks.values())) == len(blocks)
-    # While all sources last, none is a block or more away from its share.
-    units = {r.source or "": r.weight_units for r in out}
-    total, count = sum(units.values()), {s: -(-sum((r.source or "") == s for r in out) // 8) for s in units}
-    rounds = min(count[s] // units[s] for s in units)
-    for t in range(1, rounds * total + 1):
-        for s, u in units.items():
-            done = sum(1 for (x, _), slot in blocks.items() if x == s and slot < t)
+        assert r.slot == r.block // units[src] * total + expected[src, r.block % units[src]]
+    assert len(places) == len(out) and len(set(blocks.values())) == len(blocks)
+    count = {s: 0 for s in units}
+    for s, _ in blocks:
+        count[s] += 1
+    # While a source lasts, it is less than a block away from its share at every slot.
+    for s, u in units.items():
+        done, own = 0, {slot for (x, _), slot in blocks.items() if x == s}
+        for t in range(max(own) + 1):
             assert abs(done - t * u / total) < 1
+            done += t in own
     assert mix_sources(documents.limit(0)).count() == 0
 
 
+def test_mixing_many_sources(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "IF(id < 2000, 'hot', concat('s', id % 300)) AS source")
+    out = mix_sources(docs, weights={"hot": 0.05, **{f"s{i}": 0.95 / 300 for i in range(300)}}, block=1).select("source", "weight_units").distinct().collect()
+    assert {r.weight_units for r in out if r.source == "hot"} == {500} and {r.weight_units for r in out if r.source != "hot"} <= {31, 32}
+
+
 def test_fixity(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(700)] + [(None, "http://n", None), (5, None, "twice")], "page_id long, url string, html string")
     a = records(pages)
