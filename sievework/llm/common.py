@@ -20,16 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where spark.checkpoint.dir is unset, as in tests, a folder of this
-    machine is used; on a cluster the setting always exists.
+    Where it is unset, a folder of this machine is right only if driver and
+    tasks are one process, as in tests; on a cluster it is an error.
     """
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or f"/tmp/checkpoints/{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(named or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -89,6 +96,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = sized(both.groupBy("u").agg(F.min("v").alias("m"))).select("u", F.least("u", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
         large = both.where("v > u").withColumn("salt", F.pmod(F.hash("v"), F.lit(8))).join(least, ["u", "salt"])
         large = sized(sized(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")).distinct())
+        # Each u is the larger end of its edges here, so its edges lead to smaller ids only: few, whatever the size of the star.
         low = sized(large.groupBy("u").agg(F.min("v").alias("m")))
         small = sized(large.join(low, "u")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v")
         cur = materialise(sized(small.distinct()))

@@ -4,7 +4,7 @@ The subwords are the 3- and 4-byte grams of the text (ASCII letters in lower cas
 whitespace and digits each made one symbol), hashed to `buckets`. A text is the mean of its
 subwords' embeddings; a linear layer and a softmax over the languages follow. Embeddings and
 layer are trained together by stochastic gradient descent in numpy on segments
-of a bounded sample: about `sample` documents for each language, chosen by a hash of the id.
+of a bounded sample: about `sample` documents for each language, chosen by a hash of the id, `excerpt` characters of each.
 One part in five of that sample is kept out of training: on it a temperature is fitted, so
 that scores are calibrated. A prediction is rejected if its score is below `margin` times the `quantile` of
 the scores of the calibration texts recognised as that language. A softmax has to choose a language that it learned,
@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import text_chunks
+from .common import if_small, text_chunks
 
 UNKNOWN = "und"
 
@@ -166,7 +167,10 @@ def fit(texts: list[str], labels: list[str], *, bits: int = 15, dim: int = 16, e
             down = p @ layer.T / n[:, None]
             layer -= step * 0.1 * (mean.T @ p)
             bias -= step * 0.1 * p.sum(0)
-            np.add.at(embed, ids, -step * np.repeat(down, n, axis=0))
+            # One sum for each bucket met: its grams side by side.
+            by = np.argsort(ids, kind="stable")
+            first = np.flatnonzero(np.append(True, ids[by][1:] != ids[by][:-1]))
+            embed[ids[by][first]] -= step * np.add.reduceat(down[np.repeat(np.arange(len(own)), n)[by]], first)
             done += 1
             if done >= steps:
                 break
@@ -202,19 +206,21 @@ def fit(texts: list[str], labels: list[str], *, bits: int = 15, dim: int = 16, e
     return model
 
 
-def training_sample(docs: DataFrame, sample: int) -> DataFrame:
-    """(text, lang) of about `sample` documents for each language, by a hash of the id; held-out rows never.
+def training_sample(docs: DataFrame, sample: int, excerpt: int = 4096) -> DataFrame:
+    """(doc_id, text, lang) of about `sample` documents for each language, by a hash of the id; held-out rows never.
 
-    At most about languages x sample rows, whatever the size of the table.
+    Of a text longer than `excerpt` characters, so many from a place that the hash chooses. So no more than languages x sample rows
+    of bounded size reach the driver, whatever the table holds.
     """
     rows = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
     n = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    return rows.join(F.broadcast(n), "lang").where(share < F.lit(sample) / F.col("n")).select("doc_id", "text", "lang")
+    place = F.expr(f"CAST(1 + pmod(xxhash64(doc_id, 1), greatest(1, length(text) - {excerpt} + 1)) AS int)")
+    return rows.join(if_small(n), "lang").where(share < F.lit(sample) / F.col("n")).select("doc_id", F.substring("text", place, F.lit(excerpt)).alias("text"), "lang")
 
 
-def train(docs: DataFrame, *, sample: int = 400, **options) -> LanguageModel | None:
-    rows = sorted(training_sample(docs, sample).collect())
+def train(docs: DataFrame, *, sample: int = 400, excerpt: int = 4096, **options) -> LanguageModel | None:
+    rows = sorted(training_sample(docs, sample, excerpt).collect())
     return fit([r.text for r in rows], [r.lang for r in rows], **options) if rows else None
 
 
@@ -250,9 +256,11 @@ def identify_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 def with_language(docs: DataFrame, *, text_col: str = "text", sample: int = 400, model: LanguageModel | None = None, **options) -> DataFrame:
     """The documents with lang_pred, score and rejected. Needs the columns doc_id and lang where no model is given."""
-    added = "lang_pred string, score double, rejected boolean"
     docs = docs.drop("lang_pred", "score", "rejected")
     model = model or train(docs.select("doc_id", F.col(text_col).cast("string").alias("text"), F.col("lang").cast("string")), sample=sample, **options)
-    rows = docs.withColumnRenamed(text_col, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_predict(model, True), f"{schema}, {added}").withColumnRenamed("text", text_col)
+    # The other columns travel as one, so that their names can't clash with those used here.
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(F.lit(True), *others).alias("row"), F.col(text_col).cast("string").alias("text"))
+    schema = StructType([*rows.schema.fields, *(StructField(n, t) for n, t in (("lang_pred", StringType()), ("score", DoubleType()), ("rejected", BooleanType())))])
+    found = rows.mapInArrow(_predict(model, True), schema)
+    return found.select(*(F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns), "lang_pred", "score", "rejected")

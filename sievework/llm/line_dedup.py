@@ -172,15 +172,16 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     kept = _first(known.join(classes, "lid", "left").select("doc_id", "no", F.coalesce("component", "lid").alias("class")), "class")
     flags = occurs.join(kept.select("doc_id", "no", F.lit(True).alias("kept")), ["doc_id", "no"], "left")
     flags = flags.groupBy("doc_id", "no").agg(F.min(F.expr("lid IS NOT NULL AND kept IS NULL")).alias("gone"))
-    flags = flags.groupBy("doc_id").agg(F.expr("transform(array_sort(collect_list(struct(no, gone))), x -> x.gone)").alias("_gone"))
-    out = docs.join(flags.withColumnRenamed("doc_id", "_id"), F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
-    cut = F.expr(f"array_join(zip_with(split(`{text_col}`, '\n'), _gone, (l, g) -> IF(coalesce(g, false), NULL, coalesce(l, ''))), '\n')")
-    out = out.withColumns({
-        text_col: F.when(F.exists("_gone", lambda g: g), cut).otherwise(F.col(text_col)),
-        "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n"))).cast("long"),
-        "n_removed": F.coalesce(F.size(F.filter("_gone", lambda g: g)), F.lit(0)).cast("long"),
-    })
-    return out.drop("_gone")
+    flags = flags.groupBy("doc_id").agg(F.expr("transform(array_sort(collect_list(struct(no, gone))), x -> x.gone)").alias("gone"))
+    # The row travels as one column, so that its own names can't clash with those used here.
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(flags, "doc_id", "left")
+    cut = F.expr("array_join(zip_with(split(text, '\n'), gone, (l, g) -> IF(coalesce(g, false), NULL, coalesce(l, ''))), '\n')")
+    kept = F.when(F.exists("gone", lambda g: g), cut).otherwise(F.col("text"))
+    return rows.select(
+        *(kept.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
+        F.coalesce(F.size(F.filter("gone", lambda g: g)), F.lit(0)).cast("long").alias("n_removed"),
+    )
 
 
 def _first(rows: DataFrame, key: str) -> DataFrame:

@@ -189,6 +189,9 @@ def test_awkward_rows(spark, wide):
         out = op(df).collect()
         assert len(out) == len(rows)
         assert op(df.limit(0)).count() == 0
+    clash = df.selectExpr("doc_id", "text AS body", "1 AS _id", "2 AS _gone", "3 AS gone", "'row' AS `row`", "'t' AS text")
+    out = line_dedup(clash, text_col="body")
+    assert out.columns == [*clash.columns, "n_lines", "n_removed"] and out.where("_id = 1 AND _gone = 2 AND gone = 3 AND row = 'row' AND text = 't'").count() == len(rows)
     lines = line_dedup(df)
     assert lines.where("doc_id IS NULL AND n_removed = 0").count() == 1 and lines.where("doc_id = 5 AND n_removed = 0").count() == 2
     assert set(df.columns) <= set(lines.columns)
