@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet in the shared folder and read again as the next stage's documents.
+
+Cases, of all stages: an empty table passes through; repeated rows are treated alike; extra columns are carried, whatever
+their names (the last stage replaces those named like the ones it adds). Null or empty texts are rejected by the first stage; each other
+stage passes them on, as nothing in them repeats or is known. Rows with a null doc_id are never removed as copies; they are
+removed if they hold a benchmark item, and mixed like any other.
 """
 
 from __future__ import annotations
@@ -11,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.llm.common import shared_folder
 from sievework.llm.decontamination import decontaminate, key_of
 from sievework.llm.language_id import with_language
 from sievework.llm.line_dedup import line_dedup
@@ -37,9 +43,9 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    keyed = docs.withColumn("_key", key_of("doc_id", "text"))
-    gone = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(gone, "_key", "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), key_of("doc_id", "text").alias("key"), "text")
+    gone = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key").select(F.col("doc_id").alias("key")).distinct()
+    return rows.join(gone, "key", "left_anti").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +66,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/corpus-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}_{name}"
