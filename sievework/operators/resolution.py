@@ -29,11 +29,15 @@ def resolve(queries: DataFrame, candidates: DataFrame, floor: float = FLOOR, mar
     top = pairs.withColumn("best", F.max("score").over(Window.partitionBy("query_id")))
     best = top.groupBy("query_id").agg(
         F.max("score").alias("score"),
-        F.count_if((F.col("score") >= floor) & (F.round(F.col("best") - F.col("score"), 4) < margin)).alias("ties"),
+        F.count_if((F.col("score") >= floor) & (F.col("score") >= F.col("best") - margin)).alias("ties"),
         F.min(F.when(F.col("score") == F.col("best"), F.col("candidate_id"))).alias("winner_id"),
     )
-    status = F.when(F.col("score").isNull() | (F.col("score") <= 0), "no_candidate").when(F.col("score") < floor, "below_threshold").when((F.col("ties") > 1) & F.lit(not accept_multiple), "ambiguous").otherwise("resolved")
-    out = queries.select(F.col("id").alias("query_id")).join(best, "query_id", "left").withColumn("status", status)
+    # Candidates that share no token score 0: they are there, but below the floor.
+    some = candidates.limit(1).agg((F.count("*") > 0).alias("some"))
+    best = queries.select(F.col("id").alias("query_id")).join(best, "query_id", "left").crossJoin(F.broadcast(some))
+    score = F.coalesce("score", F.lit(0.0))
+    status = F.when(~F.col("some"), "no_candidate").when(score < floor, "below_threshold").when((F.col("ties") > 1) & F.lit(not accept_multiple), "ambiguous").otherwise("resolved")
+    out = best.withColumn("status", status)
     return out.select("query_id", "status", F.when(F.col("status") == "resolved", F.col("winner_id")).alias("winner_id"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("ties", F.lit(0)).alias("ties"))
 
 

@@ -31,7 +31,8 @@ def state_history(companies: DataFrame, themes: DataFrame, buckets: DataFrame, a
 
     themes (theme, since), instruments (signal, theme, instrument_class, presence_only, reach, months, effective),
     attempts (company_id, signal, outcome, seen), observations (observation_id, company_id, theme, published, seen,
-    reach, state, grade, confidence, valid). Attempts are spread over the buckets they reach, then joined on equal keys.
+    reach, months, effective, state, grade, confidence, valid); without a publication date the day it was read counts, and
+    the source's reach at that day must cover the bucket. Attempts are spread over the buckets they reach, then joined on equal keys.
     """
     cube = companies.select("company_id").crossJoin(themes).crossJoin(buckets)
     tried = attempts.join(instruments, "signal").crossJoin(F.broadcast(buckets))
@@ -42,7 +43,8 @@ def state_history(companies: DataFrame, themes: DataFrame, buckets: DataFrame, a
         F.max(F.when(licence, F.col("instrument_class"))).alias("licence"),
         F.min(F.create_map(*[F.lit(x) for kv in REACH_RANK.items() for x in kv])[F.col("reach")]).alias("rank"),
     )
-    seen = observations.where("valid").crossJoin(F.broadcast(buckets)).where("published <= bucket_end AND bucket_start <= seen").where(F.datediff("bucket_end", "published") <= STALE_DAYS)
+    seen = observations.where("valid").withColumn("published", F.coalesce("published", "seen")).crossJoin(F.broadcast(buckets)).where("published <= bucket_end").where(F.datediff("bucket_end", "published") <= STALE_DAYS)
+    seen = seen.where(reach_covers(F.col("reach"), F.col("seen"), F.col("bucket_start"), F.col("bucket_end"), F.col("months"), F.col("effective")))
     found = seen.groupBy("company_id", "theme", "bucket_id").agg(F.count("*").alias("evidence"), F.max_by("state", F.struct("confidence", "published", "observation_id")).alias("state"), F.max(F.coalesce("grade", F.lit("C"))).alias("lowest_grade"))
     cells = cube.join(reached, ["company_id", "theme", "bucket_id"], "left").join(found, ["company_id", "theme", "bucket_id"], "left")
     reason = (

@@ -93,14 +93,17 @@ def _merge_inputs(spark, sf):
     existing = orders.where("t < 400000").select("k", "p", (F.col("s") == "F").alias("is_human"), (F.col("t") < 20000).alias("is_invalid"))
     first = orders.where("t > 10000").select("k", F.when(F.col("t") % 2 < 1, F.concat("p", F.lit(" revised"))).otherwise(F.col("p")).alias("p"), F.lit(1).alias("turn"))
     again = orders.where("t > 350000").select("k", F.concat("p", F.lit(" again")).alias("p"), F.lit(2).alias("turn"))
-    return existing, first.unionByName(again)
+    back = orders.where("t > 370000").select("k", "p", F.lit(3).alias("turn"))
+    return existing, first.unionByName(again).unionByName(back)
 
 
 _MERGE = """WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p, o_totalprice AS t FROM orders),
 e AS (SELECT k, p, s = 'F' AS is_human, t < 20000 AS is_invalid FROM o WHERE t < 400000),
-n AS (SELECT k, CASE WHEN t % 2 < 1 THEN p || ' revised' ELSE p END AS p, 1 AS turn FROM o WHERE t > 10000 UNION ALL SELECT k, p || ' again', 2 FROM o WHERE t > 350000),
-w AS (SELECT n.k, n.p, n.turn, e.k IS NOT NULL AS there, coalesce(lag(n.p) OVER (PARTITION BY n.k ORDER BY n.turn), e.p) AS old, lag(n.p) OVER (PARTITION BY n.k ORDER BY n.turn) AS prev, e.is_human, e.is_invalid FROM n LEFT JOIN e ON n.k = e.k),
-d AS (SELECT k, p, turn, CASE WHEN NOT there AND prev IS NULL THEN 'inserted' WHEN coalesce(is_invalid, false) THEN 'invalid' WHEN trim(p) = trim(old) THEN 'unchanged' WHEN coalesce(is_human, false) THEN 'conflict' ELSE 'updated' END AS action FROM w) """
+n AS (SELECT k, CASE WHEN t % 2 < 1 THEN p || ' revised' ELSE p END AS p, 1 AS turn FROM o WHERE t > 10000 UNION ALL SELECT k, p || ' again', 2 FROM o WHERE t > 350000 UNION ALL SELECT k, p, 3 FROM o WHERE t > 370000),
+-- What is stored when a proposal comes: a person's row as it was; else the last proposal before, as each of those was written or was the same.
+w AS (SELECT n.k, n.p, n.turn, e.k IS NULL AND NOT EXISTS (SELECT 1 FROM n x WHERE x.k = n.k AND x.turn < n.turn) AS is_new, e.is_human, e.is_invalid,
+ CASE WHEN e.is_human THEN e.p ELSE coalesce((SELECT arg_max(x.p, x.turn) FROM n x WHERE x.k = n.k AND x.turn < n.turn), e.p) END AS stored FROM n LEFT JOIN e ON n.k = e.k),
+d AS (SELECT k, p, turn, CASE WHEN is_new THEN 'inserted' WHEN is_invalid THEN 'invalid' WHEN trim(p) = trim(stored) THEN 'unchanged' WHEN is_human THEN 'conflict' ELSE 'updated' END AS action FROM w) """
 
 
 @query(_MERGE + "SELECT k, p, turn, action FROM d")
@@ -199,8 +202,8 @@ def token_overlap_score(spark, sf):
     return resolution.scored_pairs(*_names(spark, sf))
 
 
-@query(_PAIRS + """, b AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM w), g AS (SELECT query_id, max(score) AS score, count(*) FILTER (score >= 0.55 AND round(best - score, 4) < 0.12) AS ties, min(candidate_id) FILTER (score = best) AS win FROM b GROUP BY query_id),
-r AS (SELECT *, CASE WHEN score <= 0 THEN 'no_candidate' WHEN score < 0.55 THEN 'below_threshold' WHEN ties > 1 THEN 'ambiguous' ELSE 'resolved' END AS status FROM g)
+@query(_PAIRS + """, b AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM w), g AS (SELECT query_id, max(score) AS score, count(*) FILTER (score >= 0.55 AND score >= best - CAST(0.12 AS DOUBLE)) AS ties, min(candidate_id) FILTER (score = best) AS win FROM b GROUP BY query_id),
+r AS (SELECT *, CASE WHEN score < 0.55 THEN 'below_threshold' WHEN ties > 1 THEN 'ambiguous' ELSE 'resolved' END AS status FROM g)
 SELECT query_id, status, CASE WHEN status = 'resolved' THEN win END AS winner_id, score, ties FROM r""")
 def resolve_candidates(spark, sf):
     return resolution.resolve(*_names(spark, sf))

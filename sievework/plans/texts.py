@@ -183,8 +183,12 @@ bu AS (SELECT strftime(d, '%G-W%V') AS bucket_id, CAST(d AS DATE) AS bs, CAST(d
 i AS (SELECT * FROM (VALUES ('covered', 'stems_the', 'IC4', false, 'archival', 12, DATE '2024-01-01'), ('absent_confirmed', 'stems_der', 'IC4', false, 'bounded', 1, DATE '2024-01-01'), ('partial', 'stems_der', 'IC3', true, 'current_only', 0, DATE '2024-01-08'), ('absent_confirmed', 'stems_que', 'IC3', false, 'current_only', 0, DATE '2024-01-01')) t(signal, theme, cls, po, reach, months, eff)),
 a AS (SELECT company_id, outcome AS signal, outcome, CAST(ts AS DATE) AS seen FROM tries WHERE outcome <> 'not_covered'),
 r AS (SELECT a.company_id, i.theme, bu.bucket_id, max(i.cls) FILTER (a.outcome = 'absent_confirmed' AND NOT i.po) AS lic FROM a JOIN i ON a.signal = i.signal JOIN bu ON bu.bs <= a.seen AND i.eff <= a.seen AND CASE i.reach WHEN 'archival' THEN true WHEN 'current_only' THEN a.seen <= bu.be ELSE a.seen - bu.be <= floor(i.months * 30.44) END GROUP BY ALL),
-o AS (SELECT event_id, user_id AS company_id, 'stems_the' AS theme, CAST(ts AS DATE) AS pub, CASE WHEN value > 100 THEN 'active' ELSE 'planned' END AS state, CASE WHEN value > 200 THEN 'A' ELSE NULL END AS grade, value AS conf FROM events WHERE event_type = 'purchase' AND value > 30),
-f AS (SELECT company_id, theme, bucket_id, count(*) AS n, arg_max(state, (conf, pub, event_id)) AS state, max(coalesce(grade, 'C')) AS grade FROM o JOIN bu ON o.pub <= bu.be AND bu.bs <= DATE '2024-01-30' AND bu.be - o.pub <= 1825 GROUP BY ALL),
+o AS (SELECT event_id, user_id AS company_id, 'stems_the' AS theme, CASE WHEN event_id % 5 <> 0 THEN CAST(ts AS DATE) END AS pub, CASE WHEN event_id % 3 = 0 THEN CAST(ts AS DATE) ELSE DATE '2024-01-30' END AS seen,
+ CASE event_id % 4 WHEN 1 THEN 'bounded' WHEN 2 THEN 'current_only' ELSE 'archival' END AS reach, CASE WHEN value > 100 THEN 'active' ELSE 'planned' END AS state,
+ CASE WHEN value > 200 THEN 'A' ELSE NULL END AS grade, value AS conf FROM events WHERE event_type = 'purchase' AND value > 30),
+f AS (SELECT company_id, theme, bucket_id, count(*) AS n, arg_max(state, (conf, coalesce(pub, seen), event_id)) AS state, max(coalesce(grade, 'C')) AS grade FROM o JOIN bu
+ ON coalesce(o.pub, o.seen) <= bu.be AND bu.be - coalesce(o.pub, o.seen) <= 1825 AND bu.bs <= o.seen AND DATE '2024-01-05' <= o.seen
+ AND CASE o.reach WHEN 'archival' THEN true WHEN 'current_only' THEN o.seen <= bu.be ELSE o.seen - bu.be <= 30 END GROUP BY ALL),
 s AS (SELECT co.company_id, th.theme, bu.bucket_id, CASE WHEN bu.be < th.since THEN 'theme_not_detectable' WHEN f.n > 0 THEN 'observed' WHEN r.company_id IS NULL THEN 'no_reach' WHEN r.lic IS NOT NULL THEN 'absence_licensed_' || r.lic ELSE 'no_absence_license' END AS reason, f.state AS st, f.n, f.grade AS gr
  FROM co CROSS JOIN th CROSS JOIN bu LEFT JOIN r ON r.company_id = co.company_id AND r.theme = th.theme AND r.bucket_id = bu.bucket_id LEFT JOIN f ON f.company_id = co.company_id AND f.theme = th.theme AND f.bucket_id = bu.bucket_id),
 h AS (SELECT company_id, theme, bucket_id, CASE WHEN reason = 'observed' THEN 'observed' WHEN starts_with(reason, 'absence') THEN 'absent' ELSE 'null' END AS status, reason, CASE WHEN reason = 'observed' THEN st END AS state, coalesce(CASE WHEN reason = 'observed' THEN n END, 0) AS evidence_count, CASE WHEN reason = 'observed' THEN gr END AS lowest_grade FROM s) """
@@ -197,7 +201,9 @@ def _history(spark, sf):
     instruments = spark.createDataFrame(_INSTRUMENTS, "signal string, theme string, instrument_class string, presence_only boolean, reach string, months int, effective string").withColumn("effective", F.to_date("effective"))
     tried = attempts(spark, sf).where("outcome != 'not_covered'").select("company_id", F.col("outcome").alias("signal"), "outcome", F.to_date("ts").alias("seen"))
     found = events.where("event_type = 'purchase' AND value > 30").select(
-        F.col("event_id").alias("observation_id"), F.col("user_id").alias("company_id"), F.lit("stems_the").alias("theme"), F.to_date("ts").alias("published"), F.lit("2024-01-30").cast("date").alias("seen"),
+        F.col("event_id").alias("observation_id"), F.col("user_id").alias("company_id"), F.lit("stems_the").alias("theme"),
+        F.when(F.col("event_id") % 5 != 0, F.to_date("ts")).alias("published"), F.when(F.col("event_id") % 3 == 0, F.to_date("ts")).otherwise(F.lit("2024-01-30").cast("date")).alias("seen"),
+        F.when(F.col("event_id") % 4 == 1, "bounded").when(F.col("event_id") % 4 == 2, "current_only").otherwise("archival").alias("reach"), F.lit(1).alias("months"), F.lit("2024-01-05").cast("date").alias("effective"),
         F.when(F.col("value") > 100, "active").otherwise("planned").alias("state"), F.when(F.col("value") > 200, "A").alias("grade"), F.col("value").alias("confidence"), F.lit(True).alias("valid"),
     )
     return temporal.state_history(events.select(F.col("user_id").alias("company_id")).distinct(), themes, temporal.week_buckets(spark, "2024-01-01", "2024-01-30"), tried, found, instruments)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import evidence, texts
+from .plans import evidence, lineage, published, texts
 
-QUERIES = {**evidence.QUERIES, **texts.QUERIES}
-ORACLE_SQL = {**evidence.SQL, **texts.SQL}
+_PARTS = (evidence, texts, published, lineage)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
