@@ -48,3 +48,11 @@ def disappeared_paths(captures: DataFrame, by: str, path: str, at: Column, cutof
     out = g.join(mode, by, "left")
     kind = F.when(F.col("gone") < least, "individual").when(F.col("gone") / F.col("paths") >= wholesale, "wholesale").when(F.col("in_modal_year") / F.col("gone") >= clustered, "clustered").otherwise("individual")
     return out.select(by, "paths", "gone", "modal_year", kind.alias("pattern"))
+
+
+def ranked_family(rows: DataFrame, by: str, order: list, place: str, active: str) -> DataFrame:
+    """The first row of each key by `order`, and the other active ones at the same place; is_primary tells them apart."""
+    w = Window.partitionBy(by).orderBy(*order)
+    ranked = rows.withColumns({"_n": F.row_number().over(w), "_home": F.first(place).over(w)})
+    kin = F.col(active) & (F.col(place) == F.col("_home")) & (F.col(place) != "")
+    return ranked.where((F.col("_n") == 1) | kin).withColumn("is_primary", F.col("_n") == 1).drop("_n", "_home")
