@@ -50,3 +50,29 @@ def zero_found_bound(population: int, n: int, confidence: float = 0.95) -> int:
             break
         bad += 1
     return bad
+
+
+#: The verdicts that an artifact counts.
+VERDICTS = ("supported", "excluded", "wrong_entity", "unclear")
+
+
+def artifact_json(rows: DataFrame) -> DataFrame:
+    """(filename, body) of audit artifacts; every sixth one lacks its population, as older ones do."""
+    counts = F.struct((F.col("sampled") - F.col("excluded")).alias("supported"), F.col("excluded").alias("excluded"), F.col("wrong_entity").alias("wrong_entity"), F.lit(0).alias("unclear"))
+    population = F.when(F.col("id") % 6 != 0, F.lit(15))
+    body = F.to_json(F.struct("harness_id", "version", F.lit(0.15).alias("threshold_applied"), F.struct(F.col("sampled").alias("sampled_n"), population.alias("population_n"), counts.alias("verdict_counts")).alias("random_control")))
+    return rows.select(F.concat("harness_id", F.lit("_"), "version", F.lit(".json")).alias("filename"), body.alias("body"))
+
+
+def artifact_rows(files: DataFrame, name: str, body: str) -> DataFrame:
+    """Artifacts as rows with their derived rates, verdict and problems; a file whose name isn't that of its contents has that problem."""
+    schema = f"harness_id string, version string, threshold_applied double, random_control struct<sampled_n:bigint,population_n:bigint,verdict_counts:struct<{','.join(f'{v}:bigint' for v in VERDICTS)}>>"
+    a = files.withColumn("a", F.from_json(body, schema)).select(name, "a.*")
+    control, counts = F.col("random_control"), F.col("random_control.verdict_counts")
+    n = control["sampled_n"]
+    exclusion = rate(counts["excluded"], n)
+    gaps = [(control[f].isNull(), f"random_control is missing {f}") for f in ("sampled_n", "population_n")] + [(counts[v].isNull(), f"random_control.verdict_counts is missing {v}") for v in VERDICTS]
+    gaps = [(F.col("harness_id").isNull(), "unreadable"), (F.col(name) != F.concat("harness_id", F.lit("_"), "version", F.lit(".json")), "misnamed"), *gaps]
+    problems = F.array_compact(F.array(*[F.when(broken, F.lit(text)) for broken, text in gaps]))
+    verdict = F.when((counts["wrong_entity"] > 0) | (counts["excluded"] / n > F.col("threshold_applied")), "fail").otherwise("pass")
+    return a.select("harness_id", "version", name, rate(counts["supported"], n).alias("precision_rate"), exclusion.alias("exclusion_rate"), verdict.alias("verdict"), F.array_join(problems, "; ").alias("problems"))
