@@ -93,27 +93,54 @@ def digests(pieces) -> np.ndarray:
     return np.frombuffer(b"".join([digest(x, digest_size=8).digest() for x in pieces]), np.int64)
 
 
+class RollingHash(RunHash):
+    """Like RunHash, but modulo 2**64: quick, with families of runs that collide. Good for choosing places, not for telling what is equal."""
+
+    _base = 0x9E3779B97F4A7C15
+    _tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+    def __init__(self, symbols: np.ndarray):
+        tables, n = RollingHash._tables, len(symbols)
+        if len(tables[0]) < n + 1:
+            for k, base in enumerate((self._base, pow(self._base, -1, 1 << 64))):
+                steps = np.full(max(n + 1, 1 << 20), base, np.uint64)
+                steps[0] = 1
+                tables[k] = np.cumprod(steps)
+        self.inverse = tables[1][: n + 1]
+        self.prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum((symbols.astype(np.uint64) + _U(1)) * tables[0][:n], out=self.prefix[1:])
+
+    def _of(self, before: np.ndarray, after: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+        return scramble((after - before) * inverse)
+
+
 class Combiner:
     """Drops the rows of a task that say nothing new about a key met before.
 
-    A key that occurs more than once in a run is remembered with its smallest place (an id, or a pair), so that a hot key leaves a task
-    about once and not once a run. Up to `room` keys are held; forgetting one costs a row, no result.
+    A key (of one or two numbers) that occurs more than once in a run is remembered with its smallest place (an id, or a pair), so
+    that a hot key leaves a task about once and not once a run. Up to `room` keys are held; forgetting one costs a row, no result.
     """
 
-    def __init__(self, room: int = 1 << 17):
-        self.room, self.least = room, {}
+    def __init__(self, room: int = 1 << 16):
+        self.room, self.least, self.held = room, {}, np.zeros(0, np.int64)
 
-    def news(self, keys: list, places: list, repeated: np.ndarray) -> np.ndarray:
+    def news(self, key: tuple[np.ndarray, ...], place: tuple[np.ndarray, ...], repeated: np.ndarray) -> np.ndarray:
         """Mask of the rows to pass on."""
-        keep = np.ones(len(keys), bool)
-        for k, (key, place) in enumerate(zip(keys, places, strict=True)):
-            met = self.least.get(key)
-            if met is not None and met <= place:
+        keep, before = np.ones(len(repeated), bool), len(self.least)
+        at = np.searchsorted(self.held, key[-1])
+        known = self.held[np.minimum(at, len(self.held) - 1)] == key[-1] if len(self.held) else np.zeros(len(repeated), bool)
+        look = np.flatnonzero(repeated | known)
+        keys, places = (list(zip(*(x[look].tolist() for x in columns), strict=True)) for columns in (key, place))
+        for k, own, where in zip(look.tolist(), keys, places, strict=True):
+            met = self.least.get(own)
+            if met is not None and met <= where:
                 keep[k] = False
             elif met is not None or repeated[k]:
-                if len(self.least) >= self.room:
-                    self.least.clear()
-                self.least[key] = place
+                self.least[own] = where
+        if len(self.least) > self.room:
+            self.least.clear()
+        if len(self.least) != before:
+            self.held = np.sort(np.fromiter((x[-1] for x in self.least), np.int64, len(self.least)))
         return keep
 
 
@@ -169,7 +196,7 @@ def find_blocks(symbols: np.ndarray, offsets: np.ndarray, length: int, gram: int
     A row beyond `piece` symbols is cut into overlapping pieces. That may split a
     block, which makes it compare window by window but changes no result.
     """
-    run = RunHash(symbols)
+    run = RollingHash(symbols)
     parts = []
     for lo in range(0, max(1, len(symbols) - length + 1), piece):
         hi = min(len(symbols), lo + piece + length - 1)
@@ -181,7 +208,7 @@ def find_blocks(symbols: np.ndarray, offsets: np.ndarray, length: int, gram: int
     return Blocks(row, start, windows, at, run.of(at, at + gram).view(np.int64))
 
 
-def _piece(run: RunHash, lo: int, hi: int, offsets: np.ndarray, length: int, gram: int):
+def _piece(run: RollingHash, lo: int, hi: int, offsets: np.ndarray, length: int, gram: int):
     span = length - gram + 1
     n = hi - lo - gram + 1
     # The low bits hold the position: ties go to the leftmost gram.

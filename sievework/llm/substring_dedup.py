@@ -72,7 +72,7 @@ def _seeds(length: int, gram: int):
             first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (body[1:] != body[:-1]))) if len(order) else np.zeros(0, np.int64)
             many = np.diff(np.append(first, len(order))) > 1
             anchor, body, ids = anchor[first], body[first], ids[first]
-            keep = combiner.news(list(zip(anchor.tolist(), body.tolist(), strict=True)), ids.tolist(), many)
+            keep = combiner.news((anchor, body), (ids,), many)
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (anchor, body, ids)], ["anchor", "body", "doc_id"])
 
     return scan

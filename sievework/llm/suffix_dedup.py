@@ -58,7 +58,7 @@ def _seeds(length: int, gram: int):
             first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (body[1:] != body[:-1]))) if len(order) else np.zeros(0, np.int64)
             many = np.diff(np.append(first, len(order))) > 1
             anchor, body, ids, place = (x[first] for x in (anchor, body, ids, place))
-            keep = combiner.news(list(zip(anchor.tolist(), body.tolist(), strict=True)), list(zip(ids.tolist(), place.tolist(), strict=True)), many)
+            keep = combiner.news((anchor, body), (ids, place), many)
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (anchor, body, ids, place)], ["anchor", "body", "doc_id", "at"])
 
     return scan
@@ -91,7 +91,7 @@ def _open(length: int, gram: int):
                 order = np.lexsort((place, doc, key))
                 first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
                 many, order = np.diff(np.append(first, len(order))) > 1, order[first]
-                news = combiner.news(key[order].tolist(), list(zip(doc[order].tolist(), place[order].tolist(), strict=True)), many)
+                news = combiner.news((key[order],), (doc[order], place[order]), many)
                 order = order[news]
                 yield _open_rows(key[order], doc[order], place[order], np.ones(len(order), np.int64), True, [content[k] for k in order])
 

@@ -82,6 +82,37 @@ def test_deep_shallow_sort(rng, length, shallow):
     assert new.tolist() == [True] + [a != b for a, b in zip(found, found[1:], strict=False)]
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_with_structure_are_told_apart(spark):
+    """Words that every polynomial modulo a power of two confuses: the windows around them are no repeats."""
+    x = thue_morse(2048)
+    y = x.translate(str.maketrans("ab", "ba"))
+    rows = [(i, " ".join([f"w{k}" for k in range(30)] + [w] + [f"v{k}" for k in range(30)])) for i, w in enumerate((x, y, x))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(df).collect()} == by_words(rows, 50)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(df).collect()} == by_bytes(rows, 100)
+
+
+def test_very_long_text(spark, rng):
+    """Over a million words in one row, which is cut into pieces inside."""
+    base = " ".join(rng.choice("abcdefgh") for _ in range(1_060_000))
+    rows = [(1, base), (2, "x " + base[1000:1400]), (3, base[2_110_000:] + " y " + base[:300])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(df, length=40, gram=16).collect()} == by_words(rows, 40)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(df).collect()} == by_bytes(rows, 100)
+
+
+@pytest.mark.parametrize("crowd", [1, 3])
+def test_crowded_anchors(spark, passages, crowd):
+    """Whatever the number of contexts from which anchors are split, the same bytes go."""
+    df = spark.createDataFrame(passages, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(df, length=60, gram=20, crowd=crowd).collect()}
+    assert got == by_bytes(passages, 60)
+
+
 def test_spans_are_the_removed_runs(spark):
     text = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, text), (2, "a b " + text + " c")], "doc_id long, text string")
