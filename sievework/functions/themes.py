@@ -53,17 +53,21 @@ def first_hits(text: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def classify(text: Column, themes: tuple[Theme, ...] = THEMES) -> Column:
-    """Array of structs (theme, admitted, hits) of the themes with any hit."""
+    """Array of structs (theme, admitted, hits) of the themes with any hit.
+
+    One test of all terms comes first, and the hits of a theme are taken out once.
+    """
     found = []
     text = F.coalesce(text, F.lit(""))
     for t in themes:
         own = text
         for p in t.exclusions:
             own = F.regexp_replace(own, f"(?i){p}", " ")
-        specific, generic = first_hits(own, t.specific), first_hits(own, t.generic)
-        admitted = F.size(specific) > 0
-        if t.generic_admits:
-            admitted = admitted | (F.size(F.array_distinct(F.transform(generic, F.lower))) >= 2)
-        hits = F.concat(specific, generic)
-        found.append(F.when(F.size(hits) > 0, F.struct(F.lit(t.key).alias("theme"), admitted.alias("admitted"), hits.alias("hits"))))
+        hits = F.array(F.struct(first_hits(own, t.specific).alias("s"), first_hits(own, t.generic).alias("g")))
+        generic = lambda h, t=t: (F.size(F.array_distinct(F.transform(h["g"], F.lower))) >= 2) if t.generic_admits else F.lit(False)
+        found.append(F.when(own.rlike("(?i)" + "|".join(f"(?:{p})" for p in (*t.specific, *t.generic))), _told(hits, t.key, generic)))
     return F.array_compact(F.array(*found))
+
+
+def _told(hits: Column, key: str, generic) -> Column:
+    return F.get(F.transform(hits, lambda h: F.struct(F.lit(key).alias("theme"), ((F.size(h["s"]) > 0) | generic(h)).alias("admitted"), F.concat(h["s"], h["g"]).alias("hits"))), F.lit(0))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 
 def first_per_key(rows: DataFrame, keys: list, *order) -> DataFrame:
-    """The first row of each key, and how many others were dropped for it."""
-    w = Window.partitionBy(*keys)
-    return rows.withColumn("dropped", F.count("*").over(w) - 1).withColumn("_n", F.row_number().over(w.orderBy(*order))).where("_n = 1").drop("_n")
+    """The first row of each key, and how many others were dropped for it. A least row and a count combine before the shuffle, so a hot key is no hot task."""
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    by = [F.expr(c) if isinstance(c, str) else c for c in keys]
+    first = F.min_by(whole, F.struct(*[F.col(c) if isinstance(c, str) else c for c in order]))
+    return rows.groupBy(*[c.alias(f"_k{i}") for i, c in enumerate(by)]).agg(first.alias("_first"), (F.count("*") - 1).alias("dropped")).select("_first.*", "dropped")
 
 
 def collapse_copies(rows: DataFrame, keys: list, priority: Column, url: str) -> DataFrame:

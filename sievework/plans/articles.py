@@ -18,14 +18,16 @@ def _quoted(value) -> str:
     return "NULL" if value is None else str(value).lower() if isinstance(value, bool) else str(value) if isinstance(value, (int, float)) else "'" + value.replace("'", "''") + "'"
 
 
-def cases(inputs: tuple[str, ...], outputs: tuple[str, ...], rows: list[tuple]):
+def cases(inputs: tuple[str, ...], outputs: tuple[str, ...], rows: list[tuple], to: tuple[dict, dict] | None = None):
     """A query over all customers, of which each has the row of its key; {w} in texts and answers is its own word."""
 
+    queries, sql = to or (QUERIES, SQL)
+
     def add(f):
         names, n = (*inputs, *outputs), len(rows)
         values = ", ".join("(" + ", ".join([str(i), *map(_quoted, row[len(inputs) :])]) + ")" for i, row in enumerate(rows))
         answers = ", ".join(f"replace({c}, '{{w}}', w) AS {c}" if isinstance(next((r[names.index(c)] for r in rows if r[names.index(c)] is not None), None), str) else c for c in outputs)
-        SQL[f.__name__] = f"SELECT k, {answers} FROM ({_WORDS}) JOIN (VALUES {values}) t(i, {', '.join(outputs)}) ON k % {n} = i"
+        sql[f.__name__] = f"SELECT k, {answers} FROM ({_WORDS}) JOIN (VALUES {values}) t(i, {', '.join(outputs)}) ON k % {n} = i"
 
         def run(spark, sf):
             standin(spark, sf)
@@ -33,7 +35,7 @@ def cases(inputs: tuple[str, ...], outputs: tuple[str, ...], rows: list[tuple]):
             return f(spark.sql(_WORDS).select("k", "w", *own)).select("k", *outputs)
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
-        QUERIES[f.__name__] = run
+        queries[f.__name__] = run
         return run
 
     return add

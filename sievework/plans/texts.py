@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
@@ -125,9 +127,12 @@ def html_visible_text(spark, sf):
     return v.select("page_id", F.length("v").cast("long").alias("n_chars"), F.md5("v").alias("digest"))
 
 
-@query(r"""SELECT page_id, len(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1)) AS n_links, array_to_string(list_distinct(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1))[1:0], '') AS none FROM pages""")
+@query(r"""SELECT page_id, len(l) AS n_links, len(list_distinct(l)) AS n_distinct, count(*) OVER (PARTITION BY len(l)) AS pages_alike FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1) AS l FROM pages)""")
 def page_links(spark, sf):
-    return read_table(spark, sf, "pages").select("page_id", F.size(T.links(F.col("html"))).cast("long").alias("n_links"), F.lit("").alias("none"))
+    """How many links each page has, how many different ones, and how many pages have as many. The links themselves are page_link_rows."""
+    rows = read_table(spark, sf, "pages").select("page_id", T.links(F.col("html")).alias("l")).select("page_id", F.size("l").cast("long").alias("n_links"), F.size(F.array_distinct("l")).cast("long").alias("n_distinct"))
+    alike = rows.groupBy("n_links").agg(F.count("*").alias("pages_alike"))
+    return rows.join(alike, "n_links").select("page_id", "n_links", "n_distinct", "pages_alike")
 
 
 @query(r"""SELECT page_id, unnest(range(len(l))) AS place, unnest(l) AS link FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1) AS l FROM pages)""")
@@ -136,8 +141,16 @@ def page_link_rows(spark, sf):
     return read_table(spark, sf, "pages").select("page_id", F.posexplode(T.links(F.col("html"))).alias("place", "link"))
 
 
-@query()
+_BLOCK_TAGS = "p|div|li|ul|ol|h[1-6]|br|article|nav|footer|header|section|tr|td|th|table|title|body|html|head"
+
+
+@query(rf"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)</?({_BLOCK_TAGS})\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+l AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM b),
+r AS (SELECT page_id, CAST(unnest(range(len(l))) AS INT) AS no, unnest(l) AS line FROM l)
+SELECT page_id, no, length(line) AS n_chars, length(line) >= 110 OR (length(line) >= 45 AND regexp_matches(line, '[.!?]$')) AS is_prose FROM r""")
 def page_block_lines(spark, sf):
+    """The text of each block of each page, in order, and whether it reads as prose."""
     lines = read_table(spark, sf, "pages").select("page_id", F.posexplode(T.block_lines(F.col("html"))).alias("no", "line"))
     prose = (F.length("line") >= 110) | ((F.length("line") >= 45) & F.col("line").rlike(r"[.!?]$"))
     return lines.select("page_id", "no", F.length("line").alias("n_chars"), prose.alias("is_prose"))
@@ -152,7 +165,7 @@ def slug_keys(spark, sf):
 SELECT host, page_id, day FROM h QUALIFY day = max(day) OVER (PARTITION BY host)""")
 def archive_latest_partition(spark, sf):
     pages = read_table(spark, sf, "pages").select(T.host(F.col("url")).alias("host"), "page_id", F.expr("date_add(DATE'2024-01-01', length(html) % 60)").alias("day"))
-    return archived(pages, "host", "day", __import__("datetime").date(2024, 2, 10)).select("host", "page_id", "day")
+    return archived(pages, "host", "day", datetime.date(2024, 2, 10)).select("host", "page_id", "day")
 
 
 @query("SELECT CAST(json_extract(props, '$.k') AS INT) AS k, count(*) AS n FROM events GROUP BY k")

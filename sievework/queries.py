@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import articles, evidence, feeds, identity, lineage, pipelines, published, rollups, texts
+from .plans import articles, evidence, feeds, governance, identity, lineage, pipelines, published, rollups, texts
 
-_PARTS = (evidence, texts, published, lineage, identity, feeds, articles, rollups, pipelines)
+_PARTS = (evidence, texts, published, lineage, identity, feeds, articles, rollups, pipelines, governance)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
