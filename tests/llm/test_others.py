@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import json
+import re
 import zlib
 from urllib.parse import quote
 
@@ -171,6 +172,74 @@ def test_mixing_many_sources(spark):
     assert {r.weight_units for r in out if r.source == "hot"} == {500} and {r.weight_units for r in out if r.source != "hot"} <= {31, 32}
 
 
+def covered_share(text, item):
+    """Coverage of an item by greedy string tiling, by trying everything."""
+    split = lambda t: re.findall("[0-9a-z]+", t.lower())
+    a, b = split(text or ""), split(item or "")
+    return brute_tiles(a, b, max(1, min(5, len(b)))) / len(b) if b else 0.0
+
+
+def test_decontaminate_against_brute_force(spark, rng):
+    """Refrains, items of one to four tokens, rearranged parts, repeated rows: the pairs that trying everything finds."""
+    words = [f"w{k}" for k in range(30)]
+    refrain = words[:6]
+    items = [[rng.choice(words) for _ in range(n)] for n in (1, 2, 3, 4, 5, 8, 20, 30)] + [refrain * 3 + [f"u{k}" for k in range(9)], ["yes", "no"] * 12, ["la"] * 16 + [f"v{k}" for k in range(9)]]
+    rows = []
+    for i in range(60):
+        parts = [[f"x{rng.randint(0, 99)}" for _ in range(rng.randint(0, 6))]]
+        for _ in range(rng.randint(0, 3)):
+            own = rng.choice(items)
+            cut = rng.randint(0, len(own))
+            parts += rng.choice([[own], [own[cut:], own[:cut]], [own[:cut]], [refrain] * 3, [["la"] * 16]])
+        rows.append((i, " ".join(w for p in parts for w in p)))
+    rows.append(rows[5])
+    docs = spark.createDataFrame([(*r, "k", "b") for r in rows], "doc_id long, text string, key string, bits string")
+    bench = spark.createDataFrame([(100 + k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    out = [(r.doc_id, r.item_id) for r in decontaminate(docs, bench).collect()]
+    share = {(d, 100 + k): covered_share(t, " ".join(x)) for d, t in rows for k, x in enumerate(items)}
+    assert {p for p, c in share.items() if c >= 0.6} == set(out)
+    assert sorted(out) == sorted(p for d, _ in rows for p in share if p[0] == d and share[p] >= 0.6)
+
+
+def test_secrets_under_random_layers(rng):
+    """Whatever layers a secret is wrapped in, some span lies over its token, and nothing is found where there is none."""
+    b64 = lambda x: base64.b64encode(x)
+    layers = [b64, lambda x: base64.urlsafe_b64encode(x), lambda x: base64.encodebytes(x).rstrip(b"\n"), lambda x: quote(x, safe="").encode(), lambda x: b64(gzip.compress(x)), lambda x: b64(zlib.compress(x)), lambda x: "".join(f"\\u{c:04x}" for c in x).encode() if max(x) < 128 else b64(x), lambda x: b64(b"\xff\xfe\x01" + x), lambda x: b64(b"\x00".join([b"A=1", x, b"Z=2"]))]
+    for _ in range(150):
+        secret, plain = b"password=hunter2222", b"nothing in here to see"
+        for layer in (rng.choice(layers) for _ in range(rng.randint(1, 4))):
+            secret, plain = layer(secret), layer(plain)
+        text = "see " + secret.decode() + " end"
+        spans = secrets.scan(text)[1]
+        assert any(4 <= s < e <= len(text) - 4 and k == 0 for s, k, e in spans), text
+        assert all(k != 0 for _, k, _ in secrets.scan("see " + plain.decode() + " end")[1])
+
+
+def test_very_long_texts(spark, documents, rng):
+    """Texts of over a million characters are searched, judged and carried whole."""
+    words = [rng.choice(WORDS["de"]) for _ in range(200_000)]
+    item = " ".join(f"item{k}" for k in range(40))
+    long = " ".join(words) + " " + item + " token: abcdef99"
+    docs = documents.where("doc_id < 300").select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame([(7000, long, "de", "s0"), (7001, long, "de", "s0")], "doc_id long, text string, lang string, source string"))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {(r.doc_id, r.n_tiles) for r in decontaminate(docs, bench).collect()} == {(7000, 1), (7001, 1)}
+    assert {r.lang_pred for r in identify_language(docs).where("doc_id >= 7000").collect()} == {"de"}
+    assert [r.n_assign for r in secrets.secret_scan(docs).where("doc_id >= 7000").collect()] == [1, 1]
+    assert [len(r.text) for r in mix_sources(docs).where("doc_id >= 7000").collect()] == [len(long)] * 2
+    pages = docs.selectExpr("doc_id AS page_id", "source AS url", "text AS html")
+    assert audit(records(pages), records(pages.where("page_id != 7001"))).where("number = 7001 AND status = 'missing'").count() == 1
+
+
+def test_repeated_rows(spark, documents):
+    """Rows that stand twice are judged alike; archives that hold a record twice agree with themselves."""
+    twice = documents.unionByName(documents.where("doc_id < 20"))
+    model = language_id.train(documents.select("doc_id", "text", "lang"))
+    out = identify_language(twice, model=model).where("doc_id < 20").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("lang_pred", "score").alias("kinds")).collect()
+    assert len(out) == 20 and all((r.n, r.kinds) == (2, 1) for r in out)
+    pages = records(twice.selectExpr("doc_id AS page_id", "source AS url", "text AS html"))
+    assert audit(pages, pages).count() == 0
+
+
 def test_fixity(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(700)] + [(None, "http://n", None), (5, None, "twice")], "page_id long, url string, html string")
     a = records(pages)
@@ -264,6 +333,7 @@ def test_secret_rows(spark, wide):
 
 def test_pipeline(spark, documents, tmp_path):
     import corpus_pipeline
+    from test_exact_and_near import components
 
     (tmp_path / "sf").mkdir()
     documents.write.parquet(f"{tmp_path}/sf/documents.parquet")
@@ -275,5 +345,10 @@ def test_pipeline(spark, documents, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         assert docs.columns[:5] == documents.columns
         kept.append({r.doc_id for r in docs.select("doc_id").collect()})
+    # Near dedup and decontamination, by brute force over what the stage before kept.
+    before = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/1").collect() if r.doc_id is not None]
+    assert kept[2] - {None} == {d for d, (_, c) in components(before).items() if d == c}
+    before = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/2").collect() if r.doc_id is not None]
+    assert kept[3] - {None} == {d for d, t in before if covered_share(t, leak) < 0.6}
     assert not kept[0] & {1000, 1001, 1002} and 7 in kept[2] and 7 not in kept[3] and kept[3] == kept[4]
     assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/sf").collect()} == kept[4]
