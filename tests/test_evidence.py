@@ -48,7 +48,7 @@ def test_names(spark):
     assert one(spark, T.strip_legal_suffix(F.lit("Foo Holdings Company, Inc.")))[0] == "Foo Holdings"
     assert one(spark, T.strip_legal_suffix(F.lit("Duke Manufacturing Co.")))[0] == "Duke Manufacturing"
     assert one(spark, T.squeeze_initials(F.lit("J E DUNN CONSTRUCTION")))[0] == "JE DUNN CONSTRUCTION"
-    assert one(spark, T.name_tokens(F.lit("Western Express, Inc.")))[0] == ["WESTERN", "EXPRESS"]
+    assert one(spark, T.name_tokens(F.lit("Eastmere Express, Inc.")))[0] == ["EASTMERE", "EXPRESS"]
     places = {"OH": "OH", "Chicago, IL": "IL", "Salt Lake City, UT": "UT", "Foreign Nation": "", "XX": "", None: ""}
     for place, code in places.items():
         assert one(spark, T.state_code(F.lit(place).cast("string")))[0] == code
@@ -66,7 +66,7 @@ def score(spark, a, b):
 
 
 def test_scores(spark):
-    assert score(spark, "Western Express", "SOUTHWESTERN EXPRESS INC") < 0.4
+    assert score(spark, "Eastmere Express", "SOUTHEASTMERE EXPRESS INC") < 0.4
     assert score(spark, "Venture Logistics", "VENTURE TRANSPORT LLC") >= 0.55
     assert score(spark, "Duke Manufacturing", "DUKE MANUFACTURING CO") == 1.0
     assert score(spark, "Acme Logistics", "Bravo Logistics") < 0.55
@@ -74,12 +74,14 @@ def test_scores(spark):
 
 
 def test_resolution(spark):
-    queries = spark.createDataFrame([(1, "Western Express"), (2, "Kenco Group"), (3, "PLS Logistics"), (4, "Anything")], "id long, name string")
-    candidates = spark.createDataFrame([(11, "SOUTHWESTERN EXPRESS INC"), (12, "WESTERN EXPRESS INC"), (13, "KENCO LOGISTIC SERVICES LLC"), (14, "KENCO TRANSPORTATION SERVICES LLC"), (15, "Pls Drywall And Ceilings Inc.")], "id long, name string")
+    queries = spark.createDataFrame([(1, "Eastmere Express"), (2, "Zenko Group"), (3, "QLS Logistics"), (4, "Anything")], "id long, name string")
+    candidates = spark.createDataFrame([(11, "SOUTHEASTMERE EXPRESS INC"), (12, "EASTMERE EXPRESS INC"), (13, "ZENKO LOGISTIC SERVICES LLC"), (14, "ZENKO TRANSPORTATION SERVICES LLC"), (15, "Qls Plaster And Ceilings Inc.")], "id long, name string")
     out = {r.query_id: r for r in resolution.resolve(queries, candidates).collect()}
     assert (out[1].status, out[1].winner_id) == ("resolved", 12)
-    assert out[3].status == "below_threshold" and out[4].status == "no_candidate" and out[3].winner_id is None
-    pair = spark.createDataFrame([(13, "KENCO SERVICES LLC"), (14, "KENCO SERVICES INC")], "id long, name string")
+    # Candidates are there, but none scores enough; without any candidate there is none.
+    assert out[3].status == "below_threshold" and out[4].status == "below_threshold" and out[3].winner_id is None
+    assert {r.status for r in resolution.resolve(queries, candidates.limit(0)).collect()} == {"no_candidate"}
+    pair = spark.createDataFrame([(13, "ZENKO SERVICES LLC"), (14, "ZENKO SERVICES INC")], "id long, name string")
     assert resolution.resolve(queries.where("id = 2"), pair).first().status == "ambiguous"
     assert resolution.resolve(queries.where("id = 2"), pair, accept_multiple=True).first().status == "resolved"
 
@@ -88,6 +90,8 @@ def test_merge_scenario(spark):
     schema = "k string, v string, turn int"
     empty = spark.createDataFrame([], "k string, v string, is_human boolean, is_invalid boolean")
     step = lambda have, rows: {(r.k, r.turn): r.action for r in merge.sync_actions(have, spark.createDataFrame(rows, schema), ["k"], ["v"], "turn").collect()}
+    person = spark.createDataFrame([("alpha", "A", True, False)], empty.schema)
+    assert step(person, [("alpha", "B", 1), ("alpha", "B", 2), ("alpha", "A", 3)]) == {("alpha", 1): "conflict", ("alpha", 2): "conflict", ("alpha", 3): "unchanged"}
     assert step(empty, [("alpha", "a", 1), ("beta", "b", 1)]) == {("alpha", 1): "inserted", ("beta", 1): "inserted"}
     have = spark.createDataFrame([("alpha", "a", False, False), ("beta", "b", True, False), ("bad", "x", False, True)], empty.schema)
     assert step(have, [("alpha", "a", 1), ("alpha", "c", 2), ("beta", "z", 1), ("bad", "y", 1)]) == {("alpha", 1): "unchanged", ("alpha", 2): "updated", ("beta", 1): "conflict", ("bad", 1): "invalid"}
@@ -162,12 +166,12 @@ def test_themes(spark):
     assert themes_of(spark, "AI-first") == {} and themes_of(spark, "plain text") == {}
 
 
-def history(spark, reach="archival", cls="IC1", presence=False, rows=(), valid=True):
+def history(spark, reach="archival", cls="IC1", presence=False, rows=(), valid=True, seen_reach="archival"):
     day = lambda s: datetime.date.fromisoformat(s)
     themes = spark.createDataFrame([("early", day("2026-08-24")), ("late", day("2026-08-31"))], "theme string, since date")
     instruments = spark.createDataFrame([("s", t, cls, presence, reach, 12, None) for t in ("early", "late")], "signal string, theme string, instrument_class string, presence_only boolean, reach string, months int, effective date")
     tried = spark.createDataFrame([("X1", "s", "absent_confirmed", day("2026-09-03"))], "company_id string, signal string, outcome string, seen date")
-    seen = spark.createDataFrame([(f"O{i}", "X1", "early", day(p), day("2026-09-03"), "active_transition", "B", 0.7, valid) for i, p in enumerate(rows)], "observation_id string, company_id string, theme string, published date, seen date, state string, grade string, confidence double, valid boolean")
+    seen = spark.createDataFrame([(f"O{i}", "X1", "early", day(p), day("2026-09-03"), seen_reach, 0, None, "active_transition", "B", 0.7, valid) for i, p in enumerate(rows)], "observation_id string, company_id string, theme string, published date, seen date, reach string, months int, effective date, state string, grade string, confidence double, valid boolean")
     companies = spark.createDataFrame([("X1",)], "company_id string")
     out = temporal.state_history(companies, themes, temporal.week_buckets(spark, "2026-08-24", "2026-09-05"), tried, seen, instruments)
     return {(r.theme, r.bucket_id): (r.status, r.reason, r.state) for r in out.collect()}
@@ -189,6 +193,9 @@ def test_history_evidence(spark):
     out = history(spark, rows=["2026-09-02"])
     assert out["early", "2026-W35"][0] == "null" and out["early", "2026-W36"][0] == "observed"
     assert history(spark, rows=["2026-08-26"], valid=False)["early", "2026-W35"][0] == "null"
+    # A source that shows only what is there now speaks for the week it was read in.
+    out = history(spark, rows=["2026-08-26"], seen_reach="current_only")
+    assert out["early", "2026-W35"][0] == "null" and out["early", "2026-W36"][0] == "observed"
 
 
 def test_sources(spark, tmp_path):
