@@ -9,15 +9,16 @@ signature make buckets.
 1. Documents with one and the same set are merged first (a tree merge over set digests).
 2. In each bucket every member is compared with the smallest one, on full sets. Links join
    documents into components.
-3. The members of buckets that still hold two components are joined by prefixes: with the
+3. The members of buckets that still hold two components are sieved by prefixes: with the
    shingles of all sets in one order, the rarest first, two linked sets share one of the
    first (1 - 6/7) of the smaller and of the first quarter of the larger one (for a threshold of 0.75).
-   Pairs of different components that do are compared on full sets. Documents on one template don't meet
+   A document whose prefix meets no other component goes. Documents on one template don't meet
    by the template: if what is their own is too little to fill the prefix, they are linked.
+   Those left meet in bounded blocks, and only pairs of different components are compared.
 4. Links of both steps make the components, each named by its smallest id.
 
 Buckets are never expanded into all pairs, and no step needs the rows of one key together
-unless they are combined before the shuffle (minima, counts). Shingles are hashed modulo a prime of 61 bits.
+unless they are bounded (blocks) or combined before the shuffle (minima, counts). Shingles are hashed modulo a prime of 61 bits.
 
 A pair at the threshold itself shares no band with a probability of 1e-6 (36 bands of 4
 rows), a closer one with less; all that shares one is compared on full sets.
@@ -32,6 +33,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -175,14 +177,42 @@ def _prefixes(percent: int, total: np.ndarray):
     return scan
 
 
-def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, bands: int = 36, rows: int = 4) -> DataFrame:
+def _block_links(percent: int, width: int = 4096):
+    """Links between different components inside one pair of blocks; at most one per two components."""
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        ids, label = group.doc_id.to_numpy(), group.label.to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in group.shingles]
+        size = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), size)
+        _, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = count[inverse] > 1
+        number = np.cumsum(count > 1) - 1
+        column, owner = number[inverse[shared]], owner[shared]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            x, y = np.searchsorted(column, [lo, lo + width])
+            part = np.zeros((len(sets), width), np.float32)
+            part[owner[x:y], column[x:y] - lo] = 1
+            both += part @ part.T
+        ok = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        a, b = np.nonzero(np.triu(ok & (label[:, None] != label[None, :]), 1))
+        found = pd.DataFrame({"a": ids[a], "b": ids[b], "x": label[a], "y": label[b]})
+        return found.drop_duplicates(["x", "y"])[["a", "b"]]
+
+    return solve
+
+
+def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, bands: int = 36, rows: int = 4, block: int = 256) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id it is linked to), kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = materialise(docs.mapInArrow(_profile(shingle, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"))
     filled = profile.where("n_shingles > 0 AND doc_id IS NOT NULL")
     merged = materialise(tree_merge(filled.select("doc_id", "n_shingles", "d1", "d2"), ["d1", "d2"], "doc_id").select("doc_id", "n_shingles", F.col("keep_id").alias("rep")))
 
-    links = _links(docs, filled, merged.where("doc_id = rep").select("doc_id").distinct(), shingle, percent)
+    links = _links(docs, filled, merged.where("doc_id = rep").select("doc_id").distinct(), shingle, percent, block)
     component = connected_components(links).withColumnRenamed("id", "rep")
     named = merged.join(component, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     rest = profile.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -203,7 +233,7 @@ def _verified(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return materialise(pairs.select("a", "b", "a_set", "b_set").mapInArrow(_verify(percent), "a long, b long"))
 
 
-def _links(docs: DataFrame, profile: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, profile: DataFrame, reps: DataFrame, shingle: int, percent: int, block: int) -> DataFrame:
     """(a, b): links between documents of different sets, enough to connect what is connected."""
     members = profile.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
     # A bucket's smallest member: minima combine before the shuffle.
@@ -224,13 +254,22 @@ def _links(docs: DataFrame, profile: DataFrame, reps: DataFrame, shingle: int, p
     if own.isEmpty():
         return links
     rare = materialise(own.mapInArrow(_prefixes(percent, _frequencies(own)), "shingle long, doc_id long, label long, n long, found boolean"))
-    # Only shingles that stand in the prefixes of two components can add a link.
+    # Only documents with a shingle that stands in the prefixes of two components can have a link to add.
     mixed = rare.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("found").alias("any")).where("x < y AND any").select("shingle")
-    rare = materialise(rare.join(mixed, "shingle", "left_semi"))
-    small, large = (rare.where(w).select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "label", "n"))) for side, w in (("a", "found"), ("b", "true")))
-    met = small.join(large, "shingle").where(F.expr(f"label_a != label_b AND n_a <= n_b AND 100 * n_a >= {percent} * n_b"))
-    more = met.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
-    return links.unionByName(_verified(materialise(more), sets, percent))
+    can = rare.join(mixed, "shingle", "left_semi").select("doc_id").distinct()
+    open_rows = materialise(_unresolved(materialise(labelled.join(can, "doc_id", "left_semi"))))
+    if open_rows.isEmpty():
+        return links
+
+    hubs = open_rows.groupBy("key").agg(F.min("doc_id").alias("a"))
+    near = open_rows.join(hubs, "key").select("a", F.col("doc_id").alias("b")).where("a != b").distinct()
+    family = connected_components(near).select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
+    rows = family.join(open_rows.select("doc_id", "label").distinct(), "doc_id")
+    count = rows.groupBy("family").agg(F.ceil(F.count("*") / block).alias("parts"))
+    placed = rows.join(if_small(count), "family").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
+    placed = placed.select("doc_id", "label", "family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(sets, "doc_id")
+    more = placed.groupBy("family", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
+    return links.unionByName(materialise(more))
 
 
 def _unresolved(rows: DataFrame) -> DataFrame:

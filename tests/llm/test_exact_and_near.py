@@ -54,12 +54,12 @@ def families(rng, n=25):
     return rows
 
 
-@pytest.mark.parametrize("hub_pairs", [1000, 2])
-def test_near_dedup(spark, rng, monkeypatch, hub_pairs):
+@pytest.mark.parametrize("hub_pairs, block", [(1000, 256), (2, 4)])
+def test_near_dedup(spark, rng, monkeypatch, hub_pairs, block):
     monkeypatch.setattr(near, "HUB_PAIRS", hub_pairs)
     rows = [*families(rng), (1001, None), (1003, ""), (1005, "Solo Words"), (1007, "solo words")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    out = near_dedup(df).collect()
+    out = near_dedup(df, block=block).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == components(rows)
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
@@ -196,3 +196,13 @@ def test_awkward_rows(spark, wide):
     assert lines.where("doc_id IS NULL AND n_removed = 0").count() == 1 and lines.where("doc_id = 5 AND n_removed = 0").count() == 2
     assert set(df.columns) <= set(lines.columns)
     assert near_dedup(df).where("doc_id = 5 AND component_id = 5 AND kept").count() == 2
+
+
+def test_very_long_texts(spark, rng):
+    """Texts of over a million characters, one of them a single line, are compared whole."""
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(160_000)]
+    a, b, c = " ".join(words), " ".join([*words[:-1], "other"]), "\n".join(" ".join(words[i : i + 10]) for i in range(0, 40_000, 10))
+    df = spark.createDataFrame([(1, a), (2, b), (3, a), (4, c), (5, c + "\nand one more line of its own")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+    assert {r.doc_id: r.keep_id for r in exact_dedup(df).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+    assert {r.doc_id: r.n_removed for r in line_dedup(df).collect()} == {1: 0, 2: 0, 3: 1, 4: 0, 5: 4000}
