@@ -43,27 +43,27 @@ lgpl-2.0-or-later|2|free software foundation|gnu library general public {l} as p
 agpl-3.0-or-later|2|free software foundation|gnu affero general public {l} as published by the free software foundation (?:either )?{v}3(?: 0)? of the {l} or at your option any later version
 gpl|2|merchantability|this program is distributed in the hope that it will be useful but without any warranty
 gpl|2|verbatim|everyone is permitted to copy and distribute verbatim copies of this {l} document but changing it is not allowed
-gpl|2|share and change|the licenses for most software are designed to take away your freedom to share and change it
-lgpl|2|library|this library is free software you can redistribute it and or modify it
-gpl|2|redistribute it|this program is free software you can redistribute it and or modify it
+gpl|2|freedom|the licenses for most software are designed to take away your freedom to share and change it
+lgpl|2|library redistribute|this library is free software you can redistribute it and or modify it
+gpl|2|redistribute|this program is free software you can redistribute it and or modify it
 agpl-3.0|2|network server|specifically designed to ensure cooperation with the community in the case of network server software
 apache-2.0|2|apache|licensed under the apache {l} {v}2(?: 0)? the {l} you may not use this file except in compliance with the {l}
-apache-2.0|2|as is|unless required by applicable law or agreed to in writing software distributed under the {l} is distributed on an as is basis
+apache-2.0|2|basis applicable|unless required by applicable law or agreed to in writing software distributed under the {l} is distributed on an as is basis
 apache-1.1|2|apache|this product includes software developed by the apache software foundation
 apache-1.0|2|apache|this product includes software developed by the apache group
-mit|2|free of charge|permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
-mit|2|notice shall be included|the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
-mit|2|as is|the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+mit|2|granted charge|permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+mit|2|substantial portions|the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit|2|merchantability|the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
 x11|2|x consortium|the name of the x consortium shall not be used in advertising
-ncsa|2|neither the names|neither the names of [^ ]+(?: [^ ]+){0,8} nor the names of its contributors may be used to endorse or promote products derived from this software
+ncsa|2|names contributors|neither the names of [^ ]+(?: [^ ]+){0,8} nor the names of its contributors may be used to endorse or promote products derived from this software
 bsd-2-clause|2|redistribution|redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
 bsd-3-clause|2|endorse|neither the name of [^ ]+(?: [^ ]+){0,12} may be used to endorse or promote products derived from this software without specific prior written permission
 bsd-4-clause|2|advertising|all advertising materials mentioning features or use of this software must display the following acknowledg[e]?ment
-bsd|2|as is|this software is provided by the copyright holders and contributors as is and any express or implied warranties
-isc|2|permission to use|permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice
-0bsd|2|permission to use|permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted
-hpnd|2|permission to use|permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose
-postgresql|2|permission to use|permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement
+bsd|2|contributors warranties|this software is provided by the copyright holders and contributors as is and any express or implied warranties
+isc|2|permission|permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice
+0bsd|2|permission|permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted
+hpnd|2|permission|permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose
+postgresql|2|permission|permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement
 mpl-1.1|2|mozilla|the contents of this file are subject to the mozilla public {l} {v}1 1
 mpl-1.0|2|mozilla|the contents of this file are subject to the mozilla public {l} {v}1 0
 mpl-2.0|2|mozilla|this source code form is subject to the terms of the mozilla public {l} v 2 0
@@ -73,16 +73,16 @@ cddl-1.0|2|common development|subject to the terms of the common development and
 epl-1.0|2|eclipse|made available under the terms of the eclipse public {l} v1 0
 epl-2.0|2|eclipse|made available under the terms of the eclipse public {l} (?:v 2 0|2 0|v2 0)
 edl-1.0|2|eclipse|eclipse distribution {l} v ?1 0
-zlib|2|origin of this software|the origin of this software must not be misrepresented
-zlib|2|altered source|altered source versions must be plainly marked as such
+zlib|2|misrepresented|the origin of this software must not be misrepresented
+zlib|2|altered|altered source versions must be plainly marked as such
 libpng|2|png reference|png reference library {l}
 bsl-1.0|2|boost|distributed under the boost software {l} {v}1 0
 bsl-1.0|2|machine executable|machine executable object code generated by a source language processor
 unlicense|2|unencumbered|this is free and unencumbered software released into the public domain
 wtfpl|2|fuck|do what the fuck you want to(?: public {l})?
-cc0-1.0|2|waived all|(?:has|have) waived all copyright and related or neighboring rights
+cc0-1.0|2|waived|(?:has|have) waived all copyright and related or neighboring rights
 cc0-1.0|2|dedicated|dedicated (?:the|this) work to the public domain
-artistic-1.0|2|artistic control|maintains some semblance of artistic control over the development of the package
+artistic-1.0|2|artistic|maintains some semblance of artistic control over the development of the package
 artistic-2.0|2|artistic|everyone is permitted to copy and distribute verbatim copies of this {l} document but changing it is not allowed artistic
 ofl-1.1|2|font software|this font software is licensed under the sil open font {l} {v}1 1
 ofl-1.0|2|font software|this font software is licensed under the sil open font {l} {v}1 0
@@ -98,7 +98,7 @@ ijg|2|jpeg|this software is based in part on the work of the independent jpeg gr
 unicode|2|unicode|permission is hereby granted free of charge to any person obtaining a copy of the unicode data files
 w3c|2|w3c|w3c software (?:and document )?notice and {l}
 sspl-1.0|2|service source|offering the program as a service source code
-busl-1.1|2|change date|effective on the change date
+busl-1.1|2|effective|effective on the change date
 elastic-2.0|2|managed service|you may not provide the software to third parties as a hosted or managed service
 commons-clause|2|commons clause|commons clause {l} condition
 odbl-1.0|2|open database|made available under the open database {l}
@@ -270,7 +270,7 @@ cecill|4|cecill|cecill(?: b| c)?(?: {l})?
 lppl|4|latex|latex project public {l}
 public-domain|5|public domain|(?:in|into|to) the public domain
 dual|5|dual|dual licensed
-proprietary|5|all rights reserved|all rights reserved
+proprietary|5|rights reserved|all rights reserved
 proprietary|5|proprietary|proprietary and confidential
 copyright|5|copyright|copyright (?:c )?(?:19|20)[0-9][0-9]
 no-warranty|5|kind|without warrant(?:y|ies) of any kind

@@ -16,6 +16,8 @@ along, those named like the added ones being replaced; an empty table gives no r
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,16 +32,15 @@ _DETECTION = "STRUCT<start: INT, less: INT, tier: INT, ord: INT, label: STRING>"
 _RUN = 1000
 
 
-def _array(values: list[Column]) -> Column:
-    return F.array(*values)
-
-
-def _rule_column() -> Column:
-    return _array([F.struct(F.lit(k).alias("ord"), F.lit(t).alias("tier"), F.lit(label).alias("label"), _array([F.lit(w) for w in words]).alias("words"), F.lit(p).alias("pattern")) for k, t, label, words, p in rules()])
+def _table(found: list[tuple[int, int, str, list[str], str]]) -> Column:
+    """Rules as one literal array."""
+    names = ("ord", "tier", "label", "words", "pattern")
+    return F.from_json(F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in found])), "array<struct<ord: int, tier: int, label: string, words: array<string>, pattern: string>>")
 
 
-def _base_column() -> Column:
-    return _array([F.struct(F.lit(k).alias("ord"), F.lit(4).alias("tier"), F.lit(label).alias("label"), _array([F.lit(w) for w in phrase.split()]).alias("words"), F.lit(spaced(phrase)).alias("pattern")) for k, (label, phrase) in enumerate(BASE)])
+def base_rules() -> list[tuple[int, int, str, list[str], str]]:
+    """The base phrases as rules of the tier of names, each with its first word as keyword."""
+    return [(k, 4, label, phrase.split()[:1], spaced(phrase)) for k, (label, phrase) in enumerate(BASE)]
 
 
 def _intervals(hits: str) -> str:
@@ -64,12 +65,12 @@ def license_scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # Two characters beyond ASCII have ASCII letters in lower case; they are words like any other here, and only A-Z may turn into a-z.
     plain = F.lower(F.replace(F.replace(text, F.lit("K"), F.lit("é")), F.lit("İ"), F.lit("é")))
-    keywords = sorted({w for _, _, _, words, _ in rules() for w in words} | {w for _, phrase in BASE for w in phrase.split()})
+    keywords = sorted({w for _, _, _, words, _ in [*rules(), *base_rules()] for w in words})
     split = docs.select(F.struct(*kept).alias("doc"), F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)).alias("words"))
-    gated = split.select("doc", F.size("words").alias("n_words"), F.array_intersect("words", _array([F.lit(w) for w in keywords])).alias("gates"), "words")
+    gated = split.select("doc", F.size("words").alias("n_words"), F.array_intersect("words", F.split(F.lit(" ".join(keywords)), " ")).alias("gates"), "words")
     gated = gated.select("doc", "n_words", "gates", F.expr("IF(size(gates) > 0, concat(' ', array_join(words, '  '), ' '), '')").alias("norm"))
-    tried = "filter({}, r -> size(array_except(r.words, gates)) = 0 AND norm RLIKE r.pattern)"
-    ruled = gated.withColumns({"rules": _rule_column(), "phrases": _base_column()})
+    tried = "filter(slice({0}, 1, IF(size(gates) > 0, size({0}), 0)), r -> size(array_except(r.words, gates)) = 0 AND norm RLIKE r.pattern)"
+    ruled = gated.withColumns({"rules": _table(rules()), "phrases": _table(base_rules())})
     hits = ruled.select("doc", "n_words", "norm", F.expr(tried.format("rules")).alias("hits"), F.expr(tried.format("phrases")).alias("spoken"))
     found = hits.select("doc", "n_words", F.expr(_intervals("hits")).alias("found"), F.expr(_intervals("spoken")).alias("base"))
     seen = "transform({}, d -> named_struct('start', d.start, 'end', -d.less, 'label', d.label, 'rule', d.ord, 'tier', d.tier))"
@@ -99,7 +100,7 @@ def license_summary(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def oracle() -> str:
     """The same rows in SQL: each pattern on its own, detections kept unless a covering one of the same or a higher priority exists."""
     q = lambda x: "'" + x.replace("'", "''") + "'"
-    table = [(False, k, t, label, words, p) for k, t, label, words, p in rules()] + [(True, k, 4, label, phrase.split(), spaced(phrase)) for k, (label, phrase) in enumerate(BASE)]
+    table = [(False, *r) for r in rules()] + [(True, *r) for r in base_rules()]
     values = ",\n".join(f"({base}, {k}, {t}, {q(label)}, [{', '.join(map(q, words))}], {q(p)})" for base, k, t, label, words, p in table)
     confidence = ", ".join(map(str, CONFIDENCE))
     return rf"""
