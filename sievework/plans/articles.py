@@ -245,25 +245,6 @@ def article_body(rows):
     return rows.select("k").join(body, "k", "left").na.fill(0, ["kept"]).na.fill(False, ["label"])
 
 
-@cases(("text",), ("signals", "weak", "leadership"), [
-    ("WMS Analyst at {w}", "warehouse_systems", "", False),
-    ("Warehouse Associate - WMS a plus", "", "", False),
-    ("Director of Analytics, BI-Weekly pay", "data_analytics", "", True),
-    ("BI developer", "data_analytics", "", False),
-    ("AI Weiwei exhibit guide", "", "", False),
-    ("AI engineer for conveyor controls", "data_analytics,warehouse_systems", "", False),
-    ("AWS at {w}", "", "cloud", False),
-    ("AWS migration engineer", "cloud", "", False),
-    ("conveyor belt mechanic", "", "", False),
-])
-def posting_classify(rows):
-    """Signals of a posting: terms with what they need and what vetoes them, a weak tier, and roles that never count."""
-    from ..functions.postings import classify_posting
-
-    c = classify_posting(F.col("text"))
-    return rows.withColumns({"signals": F.array_join(c["signals"], ","), "weak": F.array_join(c["weak"], ","), "leadership": c["leadership"]})
-
-
 @cases(("excerpt",), ("terms",), [("x; matched: erp, {w} , WMS", "erp|{w}|WMS"), ("nothing here", ""), ("matched: one", "one")])
 def matched_terms(rows):
     return rows.withColumn("terms", F.array_join(F.filter(F.transform(F.split(F.regexp_extract("excerpt", r"matched:\s*(.*)$", 1), ","), lambda x: F.trim(x)), lambda x: x != ""), "|"))

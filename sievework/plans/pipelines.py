@@ -71,10 +71,10 @@ def pipeline_carrier_registry(rows):
 
 
 @pipeline([
-    ('{"jobs":[{"title":"WMS Analyst {w}","location":{"name":"A"}},{"title":"wms analyst {w} ","location":{"name":"a"}},{"title":"WMS Analyst","location":{"name":"B"}},{"title":"Warehouse Associate, WMS","location":{"name":"C"}}]}', "warehouse_systems: 2 weak_clue"),
-    ('{"jobs":[{"title":"Director of Analytics"},{"title":"Data Engineer"},{"title":"Forklift driver"}]}', "data_analytics: 2 committed_action"),
+    ('{"jobs":[{"title":"WMS Analyst {w}","location":{"name":"A"}},{"title":"wms analyst {w} ","location":{"name":"a"}},{"title":"WMS Analyst","location":{"name":"B"}},{"title":"Warehouse Associate, WMS","location":{"name":"C"}}]}', "warehouse_systems_automation_hiring: 2 weak_clue"),
+    ('{"jobs":[{"title":"Director of Analytics"},{"title":"Data Engineer"},{"title":"Forklift driver"}]}', "data_analytics_ai_hiring: 2 committed_action"),
     ('{"jobs":[]}', None),
-    ('{"jobs":[{"title":"BI developer {w}"},{"title":"AI engineer"},{"title":"Data analyst"}]}', "data_analytics: 3 repeated_pattern"),
+    ('{"jobs":[{"title":"BI developer {w}"},{"title":"AI engineer"},{"title":"Data analyst"}]}', "data_analytics_ai_hiring: 3 repeated_pattern"),
 ])
 def pipeline_job_postings(rows):
     """Job boards: one shape, duplicates of title and place once, signals, strength."""
