@@ -49,6 +49,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 COUNTER_BITS = 20
 #: Pairs of one document that share a copy of its set.
 HUB_PAIRS = 1000
+#: Shingles of one side of a pair of blocks that a task compares, unless one set alone has more (16 MB).
+SHINGLES_PER_BLOCK = 2_000_000
 
 
 def shingle_sets(batch: pa.RecordBatch, size: int):
@@ -191,7 +193,7 @@ def _block_links(percent: int, width: int = 4096):
         column, owner = number[inverse[shared]], owner[shared]
         order = np.argsort(column, kind="stable")
         column, owner = column[order], owner[order]
-        both = np.zeros((len(sets), len(sets)), np.float32)
+        both = np.zeros((len(sets), len(sets)))  # sums of whole numbers: 32 bits would round 100 times the common shingles of large sets
         for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
             x, y = np.searchsorted(column, [lo, lo + width])
             part = np.zeros((len(sets), width), np.float32)
@@ -265,7 +267,9 @@ def _links(docs: DataFrame, profile: DataFrame, reps: DataFrame, shingle: int, p
     near = open_rows.join(hubs, "key").select("a", F.col("doc_id").alias("b")).where("a != b").distinct()
     family = connected_components(near).select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
     rows = family.join(open_rows.select("doc_id", "label").distinct(), "doc_id")
-    count = rows.groupBy("family").agg(F.ceil(F.count("*") / block).alias("parts"))
+    # A block has `block` sets and SHINGLES_PER_BLOCK shingles on average, whichever is less.
+    weight = rows.join(sets.select("doc_id", (F.octet_length("shingles") / 8).alias("n")), "doc_id")
+    count = weight.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / SHINGLES_PER_BLOCK)).alias("parts"))
     placed = rows.join(if_small(count), "family").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
     placed = placed.select("doc_id", "label", "family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(sets, "doc_id")
     more = placed.groupBy("family", "i", "j").applyInPandas(_block_links(percent), "a long, b long")

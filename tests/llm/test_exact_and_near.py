@@ -7,6 +7,7 @@ import re
 import string
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,15 @@ def test_templated_documents(spark, own):
     assert out == components(rows)
 
 
+def test_block_links_at_the_threshold_of_large_sets():
+    """100 times 700,005 common shingles is no 32-bit float; 4/3 as many in the union is exactly 0.75."""
+    both, more = np.arange(700_005), np.arange(700_005, 933_340)
+    a, b = np.concatenate([both, more[:100_000]]), np.concatenate([both, more[100_000:]])
+    group = lambda x, y: pd.DataFrame({"doc_id": [1, 2], "label": [1, 2], "shingles": [z.astype(np.uint64).tobytes() for z in (x, y)]})
+    assert len(near._block_links(75)(group(a, b))) == 1
+    assert len(near._block_links(75)(group(a, np.append(b, 10**7)))) == 0
+
+
 def test_superminhash_estimates(rng):
     a = np.random.default_rng(1).integers(0, 2**63, 400, dtype=np.uint64)
     b = np.concatenate([a[:300], np.random.default_rng(2).integers(0, 2**63, 100, dtype=np.uint64)])
