@@ -206,17 +206,20 @@ def fit(texts: list[str], labels: list[str], *, bits: int = 15, dim: int = 16, e
     return model
 
 
-def training_sample(docs: DataFrame, sample: int, excerpt: int = 4096) -> DataFrame:
+def training_sample(docs: DataFrame, sample: int, excerpt: int = 4096, pieces: int = 16) -> DataFrame:
     """(doc_id, text, lang) of about `sample` documents for each language, by a hash of the id; held-out rows never.
 
-    Of a text longer than `excerpt` characters, so many from a place that the hash chooses. So no more than languages x sample rows
-    of bounded size reach the driver, whatever the table holds.
+    A text longer than `excerpt` characters is cut into `pieces` even parts and gives a piece of each, at a place that the hash chooses, so the whole of it
+    is drawn from. No more than languages x sample rows of bounded size reach the driver, whatever the table holds.
     """
     rows = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
     n = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    place = F.expr(f"CAST(1 + pmod(xxhash64(doc_id, 1), greatest(1, length(text) - {excerpt} + 1)) AS int)")
-    return rows.join(if_small(n), "lang").where(share < F.lit(sample) / F.col("n")).select("doc_id", F.substring("text", place, F.lit(excerpt)).alias("text"), "lang")
+    size = excerpt // pieces
+    part = f"(length(text) DIV {pieces})"
+    drawn = F.expr(f"transform(sequence(0, {pieces - 1}), i -> substring(text, CAST(1 + i * {part} + pmod(xxhash64(doc_id, i), {part} - {size} + 1) AS int), {size}))")
+    short = F.length("text") <= excerpt
+    return rows.join(if_small(n), "lang").where(share < F.lit(sample) / F.col("n")).select("doc_id", F.when(short, F.col("text")).otherwise(F.array_join(drawn, "\n")).alias("text"), "lang")
 
 
 def train(docs: DataFrame, *, sample: int = 400, excerpt: int = 4096, **options) -> LanguageModel | None:

@@ -59,6 +59,15 @@ def test_language_rejects(spark, documents, langs):
     assert sum(r.rejected for r in out if r.doc_id < 5000) <= 2
 
 
+def test_training_draws_from_the_whole_text(spark):
+    """Pieces of a long text come from all of its parts; a short text is taken whole."""
+    long = "".join(chr(0x4E00 + k // 100) for k in range(80_000))
+    a, b = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    rows = language_id.training_sample(spark.createDataFrame([(a, long, "x"), (b, "kurz", "x")], "doc_id long, text string, lang string"), 10).collect()
+    text = {r.doc_id: r.text for r in rows}
+    assert text[b] == "kurz" and len(text[a]) == 4096 + 15 and all(0 <= ord(p[0]) - 0x4E00 - 50 * i < 50 for i, p in enumerate(text[a].split("\n")))
+
+
 def test_language_edges(spark, documents):
     assert identify_language(documents.limit(0)).count() == 0
     unlabelled = documents.withColumn("lang", F.lit(None).cast("string"))
