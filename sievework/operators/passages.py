@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import passages as P
+from ..functions import people as N
 from ..functions.text import host
 
 #: Lines that end an article, and hosts of wires.
@@ -14,20 +15,57 @@ SPEAKER = r"[A-Z][A-Z.'’\-]{1,20}(?:\s+[A-Z][A-Z.'’\-]{1,20}){0,3}:"
 WIRES = ("prnewswire.com", "businesswire.com", "globenewswire.com")
 
 
-def roster(lines: DataFrame, page: str, no: str, line: str, company_words: Column) -> DataFrame:
-    """(page, no, name, title, key, layout) of the people of a page, each once: name and title on one line, name before title, title before name."""
+#: Confidence by layout; how near a confirmed person a low-grade one must stand; how many of each a page gives.
+CONFIDENCE = {"joined": 0.85, "name_then_title": 0.9, "title_then_name": 0.75, "low_grade_role": 0.3, "low_grade_untitled": 0.25}
+NEIGHBOUR_LINES, MAX_PEOPLE, MAX_LOW_GRADE = 8, 40, 10
+
+
+def roster(lines: DataFrame, page: str, no: str, line: str, company_words: Column, admit_untitled: bool = False) -> DataFrame:
+    """(page, no, name, title, key, relevance, layout, confidence, refused) of the names that lines give: the people of a page, and who is refused and why (refused is blank for people).
+
+    In this order a line gives: name and title joined; a name before a title; a name behind a title; in the low-grade tier a name beside a label that is shaped like a role but not on the list of titles,
+    and on pages known as rosters a bare name. A person's first reading counts, whatever its tier. A low-grade reading stands only near a
+    confirmed person, and is refused where the name is a menu's label. Lines of a page are numbered by `no` without gaps.
+    """
     w = Window.partitionBy(page).orderBy(no)
-    rows = lines.withColumns({"next": F.coalesce(F.lead(line).over(w), F.lit("")), "last": F.coalesce(F.lag(line).over(w), F.lit(""))})
-    left, right = F.trim(F.regexp_extract(line, r"^(.+?)\s*(?:,|\||–|—)\s+(.+)$", 1)), F.trim(F.regexp_extract(line, r"^(.+?)\s*(?:,|\||–|—)\s+(.+)$", 2))
-    whole = P.is_name(F.col(line), company_words)
-    layout = (
-        F.when((left != "") & P.is_name(left, company_words) & P.is_title(right), F.struct(left.alias("name"), right.alias("title"), F.lit("joined").alias("layout")))
-        .when(whole & P.is_title(F.col("next")), F.struct(F.col(line).alias("name"), F.col("next").alias("title"), F.lit("name_then_title").alias("layout")))
-        .when(whole & P.is_title(F.col("last")), F.struct(F.col(line).alias("name"), F.col("last").alias("title"), F.lit("title_then_name").alias("layout")))
+    rows = lines.select(page, no, F.col(line).alias("line"), company_words.alias("own"))
+    rows = rows.withColumns({"next": F.coalesce(F.lead("line").over(w), F.lit("")), "last": F.coalesce(F.lag("line").over(w), F.lit(""))})
+    pair = F.split("line", N.JOINED, 2)
+    rows = rows.withColumns({"left": F.trim(F.coalesce(F.get(pair, F.lit(0)), F.lit(""))), "right": F.trim(F.coalesce(F.get(pair, F.lit(1)), F.lit("")))})
+    shaped = lambda c: (F.col(c) != "") & N.is_title_shaped(F.col(c)) & ~N.is_name(F.col(c), F.col("own"))
+    label = F.when(shaped("next"), F.col("next")).when(shaped("last"), F.col("last")).otherwise(F.lit(""))
+    entry = lambda name, title, layout, refused="": F.struct(N.bare_name(F.col(name)).alias("name"), F.trim(title).alias("title"), F.lit(layout).alias("layout"), F.lit(refused).alias("refused"))
+    untitled = entry("line", F.lit(""), "low_grade_untitled") if admit_untitled else entry("line", F.lit(""), "", "name_without_adjacent_title")
+    named = N.is_name(F.col("line"), F.col("own"))
+    beside = F.when(label == "", untitled).when(label.rlike(N.ROLE_SHAPED), entry("line", label, "low_grade_role")).otherwise(entry("line", label, "", "adjacent_label_not_role_shaped"))
+    found = (
+        F.when((F.col("right") != "") & N.is_name(F.col("left"), F.col("own")) & N.is_title(F.col("right")), entry("left", F.col("right"), "joined"))
+        .when(named & N.is_title(F.col("next")), entry("line", F.col("next"), "name_then_title"))
+        .when(named & N.is_title(F.col("last")), entry("line", F.col("last"), "title_then_name"))
+        .when(named, beside)
     )
-    found = rows.select(page, no, layout.alias("p")).where("p IS NOT NULL").select(page, no, "p.*").withColumn("key", P.title_key(F.col("title"))["key"])
-    first = Window.partitionBy(page, F.lower("name")).orderBy(no)
-    return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    rows = rows.select(page, no, found.alias("p")).where("p IS NOT NULL").select(page, no, "p.*")
+    low = F.startswith("layout", F.lit("low_grade"))
+    rows = rows.withColumn("refused", F.when((F.col("refused") == "") & low & N.is_label(F.col("name")), "low_grade_name_is_label").otherwise(F.col("refused")))
+    # The first reading of a person, confirmed or not.
+    same = Window.partitionBy(page, "refused", N.person_key(F.col("name"))).orderBy(no)
+    rows = rows.withColumn("refused", F.when((F.col("refused") == "") & (F.row_number().over(same) > 1), "duplicate_person").otherwise(F.col("refused")))
+    confirmed = F.when((F.col("refused") == "") & ~low, F.col(no))
+    before = F.max(confirmed).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    behind = F.min(confirmed).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    near = F.coalesce(F.col(no) - before <= NEIGHBOUR_LINES, F.lit(False)) | F.coalesce(behind - F.col(no) <= NEIGHBOUR_LINES, F.lit(False))
+    rows = rows.withColumn("near", near)
+    rows = rows.withColumn("refused", F.when((F.col("refused") == "") & low & ~F.col("near"), "low_grade_no_roster_neighbour").otherwise(F.col("refused")))
+    turn = F.row_number().over(Window.partitionBy(page, low, "refused").orderBy(no))
+    over = turn > F.when(low, MAX_LOW_GRADE).otherwise(MAX_PEOPLE)
+    rows = rows.withColumn("refused", F.when((F.col("refused") == "") & over, F.when(low, "suppressed_by_low_grade_cap").otherwise("suppressed_by_cap")).otherwise(F.col("refused")))
+    key = N.title_key(F.col("title"))
+    out = rows.withColumns({"low": low, "key": key["key"], "relevance": key["relevance"], "confidence": F.coalesce(*[F.when(F.col("layout") == k, v) for k, v in CONFIDENCE.items()])})
+    unsure = F.col("low") | (F.col("layout") == "")
+    return out.select(
+        page, no, "name", "title", F.when(F.col("title") == "", "unconfirmed").when(unsure, "other").otherwise(F.col("key")).alias("key"),
+        F.when(unsure, "unconfirmed").otherwise(F.col("relevance")).alias("relevance"), "layout", "confidence", "refused",
+    )
 
 
 def answers(text: Column, person: Column, least: int = 90, most: int = 700) -> Column:

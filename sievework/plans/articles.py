@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import passages as P
-from ..functions.themes import classify
 from ..operators import passages as O
 from .standin import standin
 
@@ -101,18 +100,6 @@ def multi_subject_docs(rows):
     return rows.withColumn("why", P.several_subjects(F.col("body"), F.col("title"), F.col("url")))
 
 
-@cases(("text",), ("executive", "employee", "announcement"), [
-    ("At {w} we were on spreadsheets, so it is underway", "active_transition", "legacy_constraint", "active_transition"),
-    ("{w} is siloed and outdated; we plan to change", "legacy_constraint", "legacy_constraint", "target_state"),
-    ("Our goal is a better {w}", "target_state", "unknown", "target_state"),
-    ("Manual work at {w}", "legacy_constraint", "legacy_constraint", "unknown"),
-    ("Nothing of note at {w}", "unknown", "unknown", "unknown"),
-])
-def state_cues_by_source(rows):
-    """One text reads differently by who speaks: the order of the states is the source's."""
-    return rows.withColumns({s: P.state_of(F.col("text"), s) for s in ("executive", "employee", "announcement")})
-
-
 @cases(("reason",), ("theme", "cue", "tier"), [
     ("The {w} unit ships. A software error stopped it.", "digital_transformation_process", "software", "strong"),
     ("Batch record was not kept; {w} lot.", "erp_core_systems", "Batch record", "strong"),
@@ -127,37 +114,6 @@ def process_cause(rows):
     return rows.withColumn("c", P.process_cause(F.col("reason"))).select("k", "c.*")
 
 
-@cases(("text",), ("kinds",), [
-    ("{w} deployed a new warehouse management system across nine sites last year. Short one.", "action"),
-    ("{w} says it is embracing machine learning in all of its plants and offices.", "self"),
-    ("{w} plans to deploy a new ERP in its plants over the coming two years, sources hint.", "intent"),
-    ("{w} is widely regarded as a leader in the trade of pipes and of steel tubes.", "journalist"),
-    ("{w} deployed forty new trucks of an older make across nine sites last year.", ""),
-    ("Another firm plans to deploy a new ERP in its plants over the coming two years.", ""),
-    ("{w} deployed telematics in all of its trucks this spring, it is betting on it. {w} will upgrade its WMS in the spring of the year after next.", "action,intent"),
-])
-def reported_actions(rows):
-    """What an article reports: actions, the company's own words, its intent, and the reporter's framing."""
-    return rows.withColumn("kinds", F.array_join(F.transform(P.reported(F.col("text"), F.array("w")), lambda r: r["kind"]), ","))
-
-
-@cases(("text",), ("spine", "voice"), [
-    ("{w} runs on spreadsheets and an ERP", "erp_core_systems", "digital_transformation_process,erp_core_systems"),
-    ("The homegrown system of {w} and its analytics", "data_analytics_ai", "data_analytics_ai,erp_core_systems"),
-    ("An API at {w}", "", ""),
-    ("An API and an integration at {w}", "systems_integration", "systems_integration"),
-    ("After post-merger integration {w} kept one API", "", ""),
-    ("AWS and Azure at {w}", "", ""),
-    ("ransomware, SCADA and telematics hit {w}", "cybersecurity,ot_modernization,transportation_fleet_systems", "cybersecurity,ot_modernization,transportation_fleet_systems"),
-    ("zero trust and warehouse robotics, workforce management at {w}", "cybersecurity,warehouse_automation,workforce_enablement", "cybersecurity,warehouse_automation,workforce_enablement"),
-    ("cloud migration and digital transformation", "cloud_infrastructure_migration,digital_transformation_process", "cloud_infrastructure_migration,digital_transformation_process"),
-])
-def theme_classify_tiered(rows):
-    """The vocabulary alone and together with buyers' own words; a lone generic term admits nothing."""
-    spine = F.array_sort(F.transform(F.filter(classify(F.col("text")), lambda t: t["admitted"]), lambda t: t["theme"]))
-    return rows.withColumns({"spine": F.array_join(spine, ","), "voice": F.array_join(P.voice_themes(F.col("text")), ",")})
-
-
 _Q = "We moved every order of the company off paper and into one system, and it shows"
 _S = "It was slow and painful work for us all at first"
 
@@ -185,39 +141,6 @@ def quote_attribution(rows):
     })
 
 
-@cases(("line",), ("key", "relevance", "title", "name"), [
-    ("Chief Executive Officer", "ceo", "primary", True, False),
-    ("Senior Vice President of Global Operations", "vp_operations", "primary", True, False),
-    ("Director, Supply Chain", "vp_supply_chain", "primary", True, False),
-    ("She is our CFO", "cfo", "secondary", False, False),
-    ("Vice President", "other", "excluded", False, True),
-    ("Ann B. {w}, PhD", "other", "excluded", False, True),
-    ("Our Team", "other", "excluded", False, False),
-    ("Acme Works", "other", "excluded", False, False),
-    ("President", "president", "primary", True, False),
-    ("the lower case", "other", "excluded", False, False),
-])
-def label_classifiers(rows):
-    """Lines of a leadership page: known titles, and names that aren't labels or the company."""
-    line, key = F.col("line"), P.title_key(F.col("line"))
-    return rows.withColumns({"key": key["key"], "relevance": key["relevance"], "title": P.is_title(line), "name": P.is_name(line, F.array(F.lit("ACME"), F.lit("WORKS")))})
-
-
-@cases(("page",), ("people",), [
-    ("Our Team|Ann Lee|Chief Executive Officer|Bo Ray|CFO", "Ann Lee=ceo/name_then_title|Bo Ray=cfo/name_then_title"),
-    ("CEO|Ann Lee|text here|Bo Ray, President", "Ann Lee=ceo/title_then_name|Bo Ray=president/joined"),
-    ("Ann Lee|Chief Executive Officer|Ann Lee|President", "Ann Lee=ceo/name_then_title"),
-    ("Ann Lee|no title here|x", ""),
-    ("Ann {w}|COO", "Ann {w}=coo/name_then_title"),
-])
-def roster_pairs(rows):
-    """Names and titles on neighbouring lines: on one line, name before title, title before name; the first reading of a person stays."""
-    lines = rows.select("k", F.posexplode(F.split("page", r"\|")).alias("no", "line"))
-    found = O.roster(lines, "k", "no", "line", F.array(F.lit("ACME"), F.lit("WORKS")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", F.concat("name", F.lit("="), "key", F.lit("/"), "layout").alias("t")))), lambda x: x["t"]), "|")
-    return rows.select("k").join(found.groupBy("k").agg(text.alias("people")), "k", "left").na.fill("", ["people"])
-
-
 @cases(("text",), ("answers",), [
     ("OUTLET: How was it? ANN LEE: We moved all orders into one system, and that took more than a year of hard work by all of our people. OUTLET: And then? LEE: Next we will do the same for the plants that we have bought in the south of the land over the last years.", 2),
     ("ANN LEE: One label is a heading, not a transcript, however long the text behind it may be, so nothing counts.", 0),

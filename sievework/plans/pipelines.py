@@ -137,7 +137,7 @@ def pipeline_seller_pages(rows):
 def pipeline_executives(rows):
     """Leadership pages: people by neighbouring lines; who is missing has left only if the page was read with success."""
     lines = rows.select("k", F.posexplode(F.split("body", r"\|")).alias("no", "line"))
-    people = O.roster(lines, "k", "no", "line", F.array(F.lit("ACME")))
+    people = O.roster(lines, "k", "no", "line", F.array(F.lit("ACME"))).where("refused = '' AND layout NOT LIKE 'low_grade%'")
     proposed = people.select(F.col("k").alias("company_id"), F.col("name").alias("name_key"), "title")
     stored = rows.select(F.col("k").alias("company_id"), F.lit("Bo Ray").alias("name_key"), F.lit("President").alias("title"), F.lit("active").alias("status"), F.lit(None).cast("string").alias("review_status"))
     actions = merge.sync_executives(stored, proposed, ["title"], proposed.select("company_id").distinct()).where("action != 'kept'").withColumnRenamed("company_id", "k")
@@ -191,7 +191,7 @@ def pipeline_trade_press(rows):
     """Reported actions in articles on one subject that are no reprints, less what the company has claimed itself (telematics)."""
     r = rows.select("k", "w", F.substring_index("body", "|", 1).alias("title"), F.substring_index("body", "|", -1).alias("text"))
     r = r.where((P.reprint(F.col("text"), F.col("title")) == "") & (P.several_subjects(F.col("text"), F.col("title"), F.lit("u")) == ""))
-    acts = r.select("k", F.explode(F.filter(P.reported(F.col("text"), F.array("w")), lambda x: x["kind"] == "action")).alias("a"))
+    acts = r.select("k", F.explode(F.filter(P.reported(F.col("text"), F.col("w")), lambda x: x["kind"] == "action")).alias("a"))
     themes = acts.select("k", F.explode(F.filter(classify(F.col("a.sentence")), lambda t: t["admitted"])).alias("t")).select("k", F.col("t.theme").alias("theme")).distinct()
     claimed = rows.select("k", F.lit("transportation_fleet_systems").alias("theme"))
     return _joined(themes.join(claimed, ["k", "theme"], "left_anti"), F.col("theme"), "theme")
@@ -215,7 +215,7 @@ def pipeline_employee_reviews(rows):
     r = rows.select("k", "w", feeds.review_page(F.col("body")).alias("r"))
     texts = F.filter("r.reviews", lambda x: F.length(x) >= 40)
     r = r.where(overlap_score(T.name_tokens(F.concat("w", F.lit(" Quill"))), T.name_tokens(F.col("r.declared_name"))) >= 0.55).withColumn("texts", texts).where("size(texts) >= 5")
-    each = r.select("k", P.state_of(F.array_join("texts", " || "), "employee").alias("state"), F.explode("texts").alias("text")).select("k", "state", F.explode(P.voice_themes(F.col("text"))).alias("theme"))
+    each = r.select("k", P.state_of(F.array_join("texts", " || "), "employee")["state"].alias("state"), F.explode("texts").alias("text")).select("k", "state", F.explode(P.voice_themes(F.col("text"))).alias("theme"))
     themes = each.groupBy("k", "state", "theme").agg(F.count("*").alias("n")).where("n >= 2")
     return _joined(themes, F.concat("theme", F.lit(": "), "n", F.lit(" reviews, "), "state"), "theme")
 

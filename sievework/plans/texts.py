@@ -59,12 +59,6 @@ def theme_refusals(spark, sf):
     return _classified(spark, sf).groupBy("theme").agg(F.count_if(~F.col("admitted")).alias("refused"), F.count_if("admitted").alias("admitted"))
 
 
-@query()
-def theme_classify_spine(spark, sf):
-    """The real vocabulary. Over invented prose it hardly fires; look-ahead keeps it out of the other engine's SQL."""
-    return _classified(spark, sf, THEMES).select("doc_id", "theme", "admitted", "n_hits")
-
-
 @query(_T + """SELECT d.source, h.theme, count(*) AS evidence_count, min(d.doc_id) AS first_id, array_to_string(list_sort(list(CAST(d.doc_id AS VARCHAR)))[1:4], ';') AS ids FROM h JOIN documents d ON h.doc_id = d.doc_id WHERE admitted GROUP BY ALL""")
 def claim_builder_by_theme(spark, sf):
     rows = _classified(spark, sf).where("admitted").select("source", "theme", "doc_id", F.col("doc_id").cast("string").alias("id"))
@@ -120,42 +114,6 @@ def page_title(spark, sf):
     return read_table(spark, sf, "pages").select("page_id", T.page_title(F.col("html")).alias("title"))
 
 
-@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS h FROM pages),
-b AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(h, '<[^>]*>', ' ', 'g'), '&amp;', '&', 'g'), '\s+', ' ', 'g')) AS v FROM a) SELECT page_id, length(v) AS n_chars, md5(v) AS digest FROM b""")
-def html_visible_text(spark, sf):
-    v = read_table(spark, sf, "pages").select("page_id", T.visible_text(F.col("html")).alias("v"))
-    return v.select("page_id", F.length("v").cast("long").alias("n_chars"), F.md5("v").alias("digest"))
-
-
-@query(r"""SELECT page_id, len(l) AS n_links, len(list_distinct(l)) AS n_distinct, count(*) OVER (PARTITION BY len(l)) AS pages_alike FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1) AS l FROM pages)""")
-def page_links(spark, sf):
-    """How many links each page has, how many different ones, and how many pages have as many. The links themselves are page_link_rows."""
-    rows = read_table(spark, sf, "pages").select("page_id", T.links(F.col("html")).alias("l")).select("page_id", F.size("l").cast("long").alias("n_links"), F.size(F.array_distinct("l")).cast("long").alias("n_distinct"))
-    alike = rows.groupBy("n_links").agg(F.count("*").alias("pages_alike"))
-    return rows.join(alike, "n_links").select("page_id", "n_links", "n_distinct", "pages_alike")
-
-
-@query(r"""SELECT page_id, unnest(range(len(l))) AS place, unnest(l) AS link FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1) AS l FROM pages)""")
-def page_link_rows(spark, sf):
-    """A row for each link of each page, in order; pages without links have none."""
-    return read_table(spark, sf, "pages").select("page_id", F.posexplode(T.links(F.col("html"))).alias("place", "link"))
-
-
-_BLOCK_TAGS = "p|div|li|ul|ol|h[1-6]|br|article|nav|footer|header|section|tr|td|th|table|title|body|html|head"
-
-
-@query(rf"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS h FROM pages),
-b AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)</?({_BLOCK_TAGS})\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM a),
-l AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM b),
-r AS (SELECT page_id, CAST(unnest(range(len(l))) AS INT) AS no, unnest(l) AS line FROM l)
-SELECT page_id, no, length(line) AS n_chars, length(line) >= 110 OR (length(line) >= 45 AND regexp_matches(line, '[.!?]$')) AS is_prose FROM r""")
-def page_block_lines(spark, sf):
-    """The text of each block of each page, in order, and whether it reads as prose."""
-    lines = read_table(spark, sf, "pages").select("page_id", F.posexplode(T.block_lines(F.col("html"))).alias("no", "line"))
-    prose = (F.length("line") >= 110) | ((F.length("line") >= 45) & F.col("line").rlike(r"[.!?]$"))
-    return lines.select("page_id", "no", F.length("line").alias("n_chars"), prose.alias("is_prose"))
-
-
 @query(r"SELECT page_id, regexp_replace(substring(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), 1, 40), '^_+|_+$', '', 'g') AS slug FROM pages")
 def slug_keys(spark, sf):
     return read_table(spark, sf, "pages").select("page_id", T.slug(F.col("url"), 40).alias("slug"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.markup import unescape
 from ..functions.text import visible_text
 
 #: How an error record that is served as a success begins; the forms that a filing of an incident has; the day the rule took effect.
@@ -135,7 +136,7 @@ def search_results(payloads: DataFrame) -> DataFrame:
     """(id, rank, title, url, description, age); marks are taken out of the texts, results without url are dropped."""
     schema = "web struct<results:array<struct<title:string,url:string,description:string,age:string,page_age:string>>>"
     rows = payloads.select("id", F.posexplode(F.from_json("body", schema)["web"]["results"]).alias("rank", "r")).where("coalesce(r.url, '') != ''")
-    plain = lambda c: F.trim(F.regexp_replace(F.replace(F.regexp_replace(_text(F.col(c)), "<[^>]+>", ""), F.lit("&amp;"), F.lit("&")), r"\s+", " "))
+    plain = lambda c: F.trim(F.regexp_replace(unescape(F.regexp_replace(_text(F.col(c)), "<[^>]+>", "")), r"\s+", " "))
     return rows.select("id", "rank", plain("r.title").alias("title"), "r.url", plain("r.description").alias("description"), F.coalesce(F.nullif("r.age", F.lit("")), "r.page_age", F.lit("")).alias("age"))
 
 
