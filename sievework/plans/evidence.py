@@ -209,6 +209,33 @@ def resolve_candidates(spark, sf):
     return resolution.resolve(*_names(spark, sf))
 
 
+def _customers(spark, sf):
+    c = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    form = F.get(F.array(*[F.lit(x) for x in (" Freight Inc.", " Zebra Trucking", " LLC", " West East North")]), (F.col("id") % 4).cast("int"))
+    return c, c.where("id % 7 != 3").select("id", F.concat("name", form).alias("name"))
+
+
+@query("""WITH q AS (SELECT c_custkey AS id, string_split(upper(regexp_replace(c_name, '[^A-Za-z0-9]+', ' ', 'g')), ' ') AS t FROM customer),
+c AS (SELECT id, list_concat(t, CASE id % 4 WHEN 0 THEN ['FREIGHT'] WHEN 1 THEN ['ZEBRA', 'TRUCKING'] WHEN 2 THEN [] ELSE ['WEST', 'EAST', 'NORTH'] END) AS t,
+      CASE id % 4 WHEN 0 THEN 0.35 WHEN 1 THEN 1.35 WHEN 2 THEN 0.0 ELSE 3.0 END AS more FROM q WHERE id % 7 <> 3),
+p AS (SELECT q.id AS query_id, c.id AS candidate_id, round(greatest(0.0, len(list_intersect(q.t, c.t)) / len(q.t) - 0.35 * (len(q.t) - len(list_intersect(q.t, c.t)) + more) / (len(q.t) + more)), 4) AS score FROM q JOIN c ON len(list_intersect(q.t, c.t)) > 0),
+g AS (SELECT query_id, max(score) AS score FROM p GROUP BY query_id), r AS (SELECT g.query_id, g.score, count(*) FILTER (p.score >= 0.55 AND p.score >= g.score - CAST(0.12 AS DOUBLE)) AS ties, min(candidate_id) FILTER (p.score = g.score) AS win FROM g JOIN p USING (query_id) GROUP BY g.query_id, g.score)
+SELECT query_id, CASE WHEN score < 0.55 THEN 'below_threshold' WHEN ties > 1 THEN 'ambiguous' ELSE 'resolved' END AS status, CASE WHEN score >= 0.55 AND ties = 1 THEN win END AS winner_id, CASE WHEN score >= 0.55 THEN score END AS score, ties FROM r""")
+def resolve_common_word(spark, sf):
+    """All customers against registered names, though one word stands in every name: it is joined for no query."""
+    return resolution.resolve(*_customers(spark, sf))
+
+
+@query("""WITH q AS (SELECT c_custkey AS id, string_split(upper(regexp_replace(c_name, '[^A-Za-z0-9]+', ' ', 'g')), ' ') AS t FROM customer), f AS (SELECT t, count(*) AS df FROM (SELECT unnest(t) AS t FROM q WHERE id % 7 <> 3) GROUP BY t),
+e AS (SELECT id, unnest(t) AS t, len(t) AS n FROM q) SELECT f.t, f.df, count(*) AS joined FROM e JOIN f USING (t) JOIN (SELECT id, min(df) AS least FROM e JOIN f USING (t) GROUP BY id) m ON m.id = e.id AND f.df = m.least
+WHERE e.n = 2 AND (f.df < (SELECT max(df) FROM f)) GROUP BY f.t, f.df""")
+def resolution_prefixes(spark, sf):
+    """The tokens by which customers look for candidates, with their frequencies: the word that all names have is not among them."""
+    q, c = (resolution.token_sets(x) for x in _customers(spark, sf))
+    df = c.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    return resolution.query_prefixes(q, df, resolution.FLOOR).join(df, "t").groupBy("t", "df").agg(F.count("*").alias("joined"))
+
+
 @query("""SELECT p_partkey, CASE WHEN p_type LIKE 'PROMO BURNISHED%' THEN 'burnished' WHEN p_type LIKE 'PROMO%' THEN 'promo' WHEN p_type LIKE 'STANDARD%' THEN 'standard' WHEN p_type LIKE 'S%' THEN 'small' END AS mapped FROM part""")
 def naics_longest_prefix(spark, sf):
     rules = [("S", "small"), ("PROMO", "promo"), ("PROMO BURNISHED", "burnished"), ("STANDARD", "standard")]

@@ -86,6 +86,27 @@ def test_resolution(spark):
     assert resolution.resolve(queries.where("id = 2"), pair, accept_multiple=True).first().status == "resolved"
 
 
+def test_resolution_loses_no_match(spark):
+    """Against the scores of all pairs: weak words, repeated names, names that are one word that most have, names without tokens."""
+    import random
+
+    rng = random.Random(2)
+    words = ["Best"] * 12 + [f"W{k}" for k in range(12)] + ["Freight", "Logistics", "Supply", "Inc", "Group"]
+    name = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))
+    queries = spark.createDataFrame([(i, name()) for i in range(80)] + [(90, "Best"), (91, ""), (92, None), (93, "Freight"), (94, "Unheard Of")], "id long, name string")
+    candidates = spark.createDataFrame([(i, name()) for i in range(150)], "id long, name string")
+    best = {}
+    for r in resolution.scored_pairs(queries, candidates).collect():
+        best.setdefault(r.query_id, []).append((r.score, r.candidate_id))
+    for r in resolution.resolve(queries, candidates).collect():
+        own = best.get(r.query_id, [])
+        top = max([s for s, _ in own], default=0)
+        ties = [c for s, c in own if s >= 0.55 and s >= top - 0.12]
+        status = "below_threshold" if top < 0.55 else "ambiguous" if len(ties) > 1 else "resolved"
+        assert (r.status, r.ties, r.score) == (status, len(ties), top if top >= 0.55 else None)
+        assert r.winner_id == (min(c for s, c in own if s == top) if status == "resolved" else None)
+
+
 def test_merge_scenario(spark):
     schema = "k string, v string, turn int"
     empty = spark.createDataFrame([], "k string, v string, is_human boolean, is_invalid boolean")
