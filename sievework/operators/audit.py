@@ -22,6 +22,32 @@ def strata_counts(rows: DataFrame, strata: dict[str, Column]) -> DataFrame:
     return counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("stratum"), F.coalesce(F.col(k), F.lit(0)).alias("n")) for k in strata])).alias("s")).select("s.*")
 
 
+def draw_strata(rows: DataFrame, id_col: str, strata: dict[str, tuple[Column, int]], drawn: DataFrame | None = None, seed: int = SEED) -> DataFrame:
+    """(stratum, turn, and the row's columns): of each stratum the stated number of rows in the order of MD5(seed, id), without replacement.
+
+    Strata may overlap: they draw in the order given, and a row that an earlier stratum has drawn, or that `drawn` (ids of earlier draws) has, is passed over.
+    What is drawn depends on the ids alone, not on how rows are dealt out. Each stratum sends as many rows as all strata up to it draw together,
+    found by ranks that are cut in each task first; only those are compared with each other.
+    """
+    fresh = rows if drawn is None else rows.join(drawn.select(F.col(drawn.columns[0]).alias(id_col)).distinct(), id_col, "left_anti")
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+    member = F.array_compact(F.array(*[F.when(inside, F.struct(F.lit(k).alias("no"), F.lit(name).alias("stratum"))) for k, (name, (inside, _)) in enumerate(strata.items())]))
+    offered = fresh.select("*", order.alias("_order"), F.explode(member).alias("_s")).select(*rows.columns, "_order", "_s.*")
+    need = [sum(n for _, n in list(strata.values())[: k + 1]) for k in range(len(strata))]
+    rank = F.row_number().over(Window.partitionBy("no").orderBy("_order", id_col))
+    limit = F.element_at(F.array(*map(F.lit, need)), F.col("no") + 1)
+    short = offered.withColumn("_rank", rank).where((F.col("_rank") <= max(need, default=0)) & (F.col("_rank") <= limit))
+    # In turn: what the strata before have drawn goes, and the first rows of what is left are drawn. These are sum(need) rows at most.
+    found, gone = None, None
+    for k, (_, n) in enumerate(strata.values()):
+        left = short.where(F.col("no") == k)
+        left = left if gone is None else left.join(gone, id_col, "left_anti")
+        own = left.withColumn("turn", F.row_number().over(Window.partitionBy("no").orderBy("_order", id_col))).where(F.col("turn") <= n)
+        found = own if found is None else found.unionByName(own)
+        gone = found.select(id_col).distinct()
+    return found.select("stratum", "turn", *rows.columns)
+
+
 def gate(verdicts: DataFrame, by: str, small: int = 20) -> DataFrame:
     """Precision, exclusion and the verdict per key: any wrong entity, or too much exclusion, fails."""
     g = verdicts.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "supported").alias("supported"), F.count_if(F.col("verdict") == "excluded").alias("excluded"), F.count_if(F.col("verdict") == "wrong_entity").alias("wrong_entity"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import passages as P
 from ..functions import people as N
-from ..functions.text import host
+from ..functions.names import COMMON_WORDS, distinctive
+from ..functions.text import host, name_tokens
 
 #: Lines that end an article, and hosts of wires.
 END_OF_ARTICLE = r"(?i)^(recommended reading|editor\W?s?\W{0,2}\s*picks|filed under\b.*|related (?:articles?|stories)|more from\b.*|topics covered|most popular|read next|trending now|keep up with the story.*)$"
@@ -108,3 +109,77 @@ def page_owner(url: Column, own_host: Column) -> Column:
     h = host(url)
     own = (h == own_host) | F.endswith(h, F.concat(F.lit("."), own_host))
     return F.when(own, F.when(url.rlike(P.ANNOUNCEMENT_URL), "own_newsroom").otherwise("standing_page")).when(h.isin(*WIRES), "wire").otherwise("third_party")
+
+
+# Personal names and titles in prose, people who speak for others, how far around a person these and the company's name are looked for.
+PERSON = r"[A-Z][a-z]+(?:\s+[A-Z]\.?)?(?:\s+[A-Z][A-Za-z'’\-]+){1,2}"
+PROSE_TITLE = (
+    r"(?:chief\s+(?:[a-z]{2,20}\s+){1,4}officer|C[EIOFTM]O|president|(?:senior\s+|executive\s+)?vice\s+president|"
+    r"(?:S|E)?VP(?:\s+of\s+[a-z]{3,20}(?:\s+[a-z]{3,20})?)?|(?:senior\s+|managing\s+|executive\s+)?director(?:\s+of\s+[a-z]{3,20}(?:\s+[a-z]{3,20})?)?|"
+    r"head\s+of\s+[a-z]{3,20}(?:\s+[a-z]{3,20})?|general\s+manager|founder|co-founder|owner|principal)"
+)
+OUTSIDER = r"(?i)\b(analyst|research|consultan|advisory|partner at|professor|association|institute|council|attorney|counsel|economist)\b"
+OUTSIDER_WINDOW, COMPANY_WINDOW, MAX_SPEAKERS = 130, 260, 6
+#: Shapes in this order: who comes first in it, the name (1) or the title, and whether the company is named in the shape itself.
+SHAPES = (
+    ("name_thefirms_title", "({person}),\\s+(?:the\\s+)?(?:firm|company|contractor|carrier|builder)(?:'s|’s)\\s+({title})", True, False),
+    ("name_title_at_co", "({person}),\\s+({title})\\s+(?:at|of|for|with)\\s+(?:[\\w,.\\- ]{{0,40}}\\s)?{company}", True, True),
+    ("co_title_name", "{company}(?:'s|’s)\\s+({title}),?\\s+({person})", False, True),
+    ("name_co_title", "({person}),\\s+{company}(?:'s|’s)\\s+({title})", True, True),
+)
+
+
+def company_pattern(name: Column) -> Column:
+    """How prose writes a company: its first two distinctive words with little between them, or the first alone unless the language uses it anyway; null without one."""
+    core = distinctive(name_tokens(name))
+    phrase = F.array_join(F.slice(core, 1, 2), r"[\w&.,'’\-]*\s*")
+    alone = F.when(F.lower(F.get(core, F.lit(0))).isin(*COMMON_WORDS), phrase).otherwise(F.concat(phrase, F.lit("|"), F.get(core, F.lit(0))))
+    return F.when(F.size(core) > 0, F.concat(F.lit("(?i:"), alone, F.lit(")")))
+
+
+def speakers(text: Column, company: Column) -> Column:
+    """Array of (name, title, shape, refused) of the people that a text asserts to be officers of the company; `refused` says why another is not, and is blank for them.
+
+    Each shape is read through the text with its place: somebody quoted near the name for another body (an analyst, counsel, an institute) refuses it, and where the shape says only "the firm's",
+    the company's own name must stand near. A person's first mention counts, shapes in their order; at most six are kept.
+    """
+    known = company_pattern(company)
+    mark = lambda s: F.replace(F.replace(s, F.lit("\x01"), F.lit("")), F.lit("\x02"), F.lit(""))
+
+    def of(shape, rx, name_first, inside):
+        pattern = F.concat(*[F.lit(p) if p != "{company}" else known for p in _cut(rx.format(person=PERSON, title=PROSE_TITLE, company="{company}"))])
+        parts = F.split(F.regexp_replace(text, F.concat(F.lit("("), pattern, F.lit(")")), F.lit("\x01$1\x02")), "\x01")
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: i < F.size(parts))
+
+        def one(i):
+            whole = F.substring_index(F.get(parts, i), "\x02", 1)
+            before = mark(F.array_join(F.slice(parts, 1, i), ""))
+            behind = mark(F.concat(F.substring(F.get(parts, i), F.length(whole) + 1, 10_000_000), F.array_join(F.slice(parts, i + 2, F.size(parts)), "")))
+            around = lambda n: F.concat(F.substring(before, -n, n), whole, F.substring(behind, 1, n))
+            first, second = (F.call_function("regexp_extract", whole, F.concat(F.lit("^(?:"), pattern, F.lit(")$")), F.lit(g)) for g in (1, 2))
+            name, title = (first, second) if name_first else (second, first)
+            squeeze = lambda c: F.regexp_replace(F.regexp_replace(c, r"\s+", " "), "^[ ,]+|[ ,]+$", "")
+            title = F.trim(F.regexp_replace(squeeze(title), r"(?i)\s+(and|or|of|the|for|at)$", ""))
+            refused = F.when(around(OUTSIDER_WINDOW).rlike(OUTSIDER), "speaks for another")
+            if not inside:
+                refused = refused.when(~F.regexp_like(around(COMPANY_WINDOW), known), "company not named near")
+            return F.struct(squeeze(name).alias("name"), title.alias("title"), F.lit(shape).alias("shape"), refused.otherwise("").alias("refused"))
+
+        return F.filter(F.transform(places, one), lambda p: (F.size(F.split(p["name"], " ")) >= 2) & (F.length(p["name"]) <= 60))
+
+    def told(every):
+        # A refused mention doesn't stand in the way of a later one.
+        first = F.filter(every, lambda p, i: (p["refused"] != "") | ~F.exists(F.slice(every, 1, i), lambda q: (q["refused"] == "") & (F.lower(q["name"]) == F.lower(p["name"]))))
+        return F.concat(F.slice(F.filter(first, lambda p: p["refused"] == ""), 1, MAX_SPEAKERS), F.filter(first, lambda p: p["refused"] != ""))
+
+    none = F.array().cast("array<struct<name:string,title:string,shape:string,refused:string>>")
+    # Every shape has a title in it, and most texts have none.
+    some = F.coalesce(text.rlike(PROSE_TITLE), F.lit(False)) & known.isNotNull()
+    return F.when(some, F.get(F.transform(F.array(F.concat(*[of(*s) for s in SHAPES])), told), F.lit(0))).otherwise(none)
+
+
+def _cut(pattern: str) -> list[str]:
+    parts = []
+    for k, p in enumerate(pattern.split("{company}")):
+        parts += ["{company}"] * (k > 0) + [p] * (p != "")
+    return parts

@@ -149,26 +149,6 @@ def name_in_text(rows):
     return rows.withColumn("found", F.coalesce(F.concat(F.get(good, F.lit(0)), F.lit(" "), surname(full)), F.lit("")))
 
 
-@cases(("text",), ("speakers",), [
-    ('"It works," said senior project manager Jo Peel of {w}.', "Jo Peel (senior project manager)"),
-    ("Ann Lee, Chief Information Officer at {w}, agreed.", "Ann Lee (Chief Information Officer)"),
-    ("{w} grew, said nobody in particular.", ""),
-    ("Ann Lee, President, and Bo Ray, Vice President, met; said director Ann Lee.", "Ann Lee (President)|Bo Ray (Vice President)"),
-], (QUERIES, SQL))
-def speakers(rows):
-    """People that a text introduces with a title, in either order; the first title of a person stays."""
-    word = r"(?:[Pp]resident|[Oo]fficer|[Mm]anager|[Dd]irector|CEO|CIO)"
-    person = r"[A-Z][a-z]+ [A-Z][a-z]+"
-    before = F.regexp_extract_all("text", F.lit(rf"(?:said|says|adds|added)\s+((?:[a-z]+\s+){{0,4}}{word})\s+({person})"), F.lit(0))
-    behind = F.regexp_extract_all("text", F.lit(rf"\b({person}), ((?:[A-Z][a-z]+ ){{0,3}}{word})\b"), F.lit(0))
-    one = F.transform(behind, lambda m: F.struct(F.regexp_extract(m, rf"^({person}), ", 1).alias("name"), F.regexp_extract(m, rf"^{person}, (.+)$", 1).alias("title")))
-    two = F.transform(before, lambda m: F.struct(F.regexp_extract(m, rf"({person})$", 1).alias("name"), F.regexp_extract(m, rf"^\S+\s+(.+?)\s+{person}$", 1).alias("title")))
-    every = F.concat(one, two)
-    names = F.transform(every, lambda x: x["name"])
-    first = F.filter(every, lambda x, i: F.array_position(names, x["name"]) == i + 1)
-    return rows.withColumn("speakers", F.array_join(F.transform(first, lambda x: F.concat(x["name"], F.lit(" ("), x["title"], F.lit(")"))), "|"))
-
-
 _A = '<a href="/jobs/{}">{}</a>'
 
 
@@ -186,11 +166,3 @@ def inline_postings(rows):
     hrefs = F.transform(good, lambda p: p["href"])
     once = F.filter(good, lambda p, i: F.array_position(hrefs, p["href"]) == i + 1)
     return rows.withColumn("titles", F.when(F.size(once) >= 3, F.array_join(F.transform(once, lambda p: p["text"]), "|")).otherwise(""))
-
-
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '4841;4842' WHEN c_custkey % 3 = 1 THEN '5551' ELSE '' END AS codes FROM customer")
-def nested_codes(spark, sf):
-    """Values of one key wherever it stands in a JSON text, in order."""
-    standin(spark, sf)
-    body = F.when(F.col("c_custkey") % 3 == 0, '{"a":{"naics":"4841"},"b":[{"c":{"naics" : "4842"}}],"naics2":"9"}').when(F.col("c_custkey") % 3 == 1, '{"naics":"5551"}').otherwise('{"x":[]}')
-    return spark.table("customer").select("c_custkey", F.array_join(F.regexp_extract_all(body, F.lit(r'"naics"\s*:\s*"(\d+)"'), F.lit(1)), ";").alias("codes"))

@@ -38,16 +38,14 @@ def archived(pages: DataFrame, key: str, day: str, today) -> DataFrame:
 
 
 def write_export(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
+    """CSV files with a header, quoted where needed, that begin with the mark by which spreadsheets know UTF-8. Parts of it can be put together in any order of files."""
+    first, *rest = df.columns
+    df.select(F.col(first).alias(f"\ufeff{first}"), *rest).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_version(df: DataFrame, path: str, column: str, value: str) -> None:
-    """Append one version partition; a version that exists is never written again."""
-    spark = df.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={value}")
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        raise ValueError(f"{column}={value} exists and is append-only")
-    df.drop(column).write.parquet(f"{path}/{column}={value}")
+def read_export(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """An export as it was written, with the given types."""
+    return spark.read.option("header", True).option("escape", '"').option("enforceSchema", True).option("multiLine", True).schema(schema).csv(path)
 
 
 def read_feed(spark: SparkSession, rows: DataFrame, column: str, schema: str) -> DataFrame:

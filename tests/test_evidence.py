@@ -225,9 +225,6 @@ def test_sources(spark, tmp_path):
     assert tables.read_table(spark, str(tmp_path), "t", df.schema).count() == 1
     with pytest.raises(ValueError, match="declared"):
         tables.read_table(spark, str(tmp_path), "t", spark.createDataFrame([], "k string").schema)
-    tables.write_version(df, f"{tmp_path}/v", "derivation_id", "DR-0001")
-    with pytest.raises(ValueError, match="append-only"):
-        tables.write_version(df, f"{tmp_path}/v", "derivation_id", "DR-0001")
     feed = tables.read_feed(spark, spark.createDataFrame([('{"a": 1}',), ("oops",)], "j string"), "j", "a int")
     assert {(r.a, r.unreadable) for r in feed.collect()} >= {(1, False)}
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sievework.streaming.merge_stream import breaker, first_within, merge_batches
+from sievework.streaming.merge_stream import breaker, first_within, merge_batches, weekly_counts
 
 
 def drain(writer, name):
@@ -35,3 +35,12 @@ def test_merge_batches(spark, tmp_path):
     for epoch in range(2):
         apply(spark.createDataFrame([("a", "2", 1), ("b", "2", 1), ("c", "1", 1)], "k string, v string, turn int"), epoch)
         assert {(r.k, r.v) for r in kept[-1].collect()} == {("a", "2"), ("b", "1"), ("c", "1")}
+
+
+def test_weekly_counts(spark, tmp_path):
+    """Weeks run from Monday; a week is told once the watermark has passed it."""
+    df = spark.createDataFrame([("a", "2024-01-01"), ("a", "2024-01-07"), ("a", "2024-01-08"), ("b", "2024-01-07"), ("z", "2024-03-01")], "k string, d string").withColumn("ts", F.to_timestamp("d"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = weekly_counts(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), "k", "ts").select(F.col("week.start").cast("date").cast("string").alias("week"), "k", "count")
+    drain(stream.writeStream.format("memory").outputMode("append").option("checkpointLocation", f"{tmp_path}/c3"), "weeks")
+    assert sorted(tuple(r) for r in spark.table("weeks").collect()) == [("2024-01-01", "a", 2), ("2024-01-01", "b", 1), ("2024-01-08", "a", 1)]
