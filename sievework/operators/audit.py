@@ -102,3 +102,36 @@ def artifact_rows(files: DataFrame, name: str, body: str) -> DataFrame:
     problems = F.array_compact(F.array(*[F.when(broken, F.lit(text)) for broken, text in gaps]))
     verdict = F.when((counts["wrong_entity"] > 0) | (counts["excluded"] / n > F.col("threshold_applied")), "fail").otherwise("pass")
     return a.select("harness_id", "version", name, rate(counts["supported"], n).alias("precision_rate"), exclusion.alias("exclusion_rate"), verdict.alias("verdict"), F.array_join(problems, "; ").alias("problems"))
+
+
+#: Verdicts of a person on a row, those that mean it should not be there, and the fields that a downgrade may change.
+JUDGEMENTS = ("supported", "overgraded", "unsupported", "wrong_entity")
+EXCLUDED = ("unsupported", "wrong_entity")
+DOWNGRADES = ("signal_strength", "organizational_state", "source_grade", "confidence_0_1")
+
+
+def judge_rows(rows: DataFrame, verdicts: DataFrame, key: str, today: str) -> DataFrame:
+    """The rows with a person's verdicts applied, and `refused`: why a verdict was not (blank else). A verdict on a key that no row has gives a row of nulls that says so.
+
+    verdicts has key, verdict, auditor, notes and the DOWNGRADES, null where nothing changes; one verdict a row. `supported` changes nothing but the record of the review; `overgraded` must lower
+    something; a row that should not exist is not parked here at a lower grade, but recorded invalid elsewhere. What a person has judged is accepted, released,
+    and theirs from then on; the stamp joins earlier notes.
+    """
+    v = verdicts.select(F.col(key).alias("_key"), "verdict", "auditor", "notes", *[F.col(c).alias(f"_{c}") for c in DOWNGRADES])
+    lowered = F.expr(" OR ".join(f"_{c} IS NOT NULL" for c in DOWNGRADES))
+    both = rows.join(v, F.col(key) == F.col("_key"), "full")
+    refused = (
+        F.when(F.col("verdict").isNull() & F.col("_key").isNotNull() | (F.col("verdict").isNotNull() & ~F.col("verdict").isin(*JUDGEMENTS)), "no such verdict")
+        .when(F.col(key).isNull() & F.col("_key").isNotNull(), "no such row")
+        .when(F.col("verdict").isin(*EXCLUDED), "record it invalid instead")
+        .when((F.col("verdict") == "overgraded") & ~lowered, "overgraded must lower something")
+        .otherwise("")
+    )
+    done = both.withColumn("refused", refused).withColumn("_done", F.col("verdict").isNotNull() & (F.col("refused") == ""))
+    stamp = F.concat(F.lit(f"[{today} audit by "), F.coalesce("auditor", F.lit("")), F.lit("; verdict "), F.col("verdict"), F.lit("] "), F.coalesce("notes", F.lit("")))
+    new = {c: F.when(F.col("_done"), F.coalesce(F.col(f"_{c}"), F.col(c))).otherwise(F.col(c)) for c in DOWNGRADES if c in rows.columns}
+    new |= {"audit_verdict": F.when(F.col("_done"), F.col("verdict")).otherwise(F.col("audit_verdict")), "review_source": F.when(F.col("_done"), "human").otherwise(F.col("review_source"))}
+    new |= {"review_status": F.when(F.col("_done"), "accepted").otherwise(F.col("review_status")), "publication_state": F.when(F.col("_done"), "released").otherwise(F.col("publication_state"))}
+    new |= {"reviewer_notes": F.when(F.col("_done"), F.trim(F.concat_ws(" ", F.nullif(F.trim("reviewer_notes"), F.lit("")), F.trim(stamp)))).otherwise(F.col("reviewer_notes"))}
+    named = F.coalesce(F.col(key), F.col("_key")).alias(key)
+    return done.select(named, *[new.get(c, F.col(c)).alias(c) for c in rows.columns if c != key], "refused")

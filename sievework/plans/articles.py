@@ -100,20 +100,6 @@ def multi_subject_docs(rows):
     return rows.withColumn("why", P.several_subjects(F.col("body"), F.col("title"), F.col("url")))
 
 
-@cases(("reason",), ("theme", "cue", "tier"), [
-    ("The {w} unit ships. A software error stopped it.", "digital_transformation_process", "software", "strong"),
-    ("Batch record was not kept; {w} lot.", "erp_core_systems", "Batch record", "strong"),
-    ("The firmware of {w} is new. The housing did not hold.", "digital_transformation_process", "firmware", "weak"),
-    ("The software of {w} found it as designed.", None, None, None),
-    ("A manufacturing defect in {w}.", "digital_transformation_process", "manufacturing defect", "weak_symptom"),
-    ("Human error and missing change control at {w}.", "systems_integration", "change control", "strong"),
-    ("Cracked housing of {w}.", None, None, None),
-])
-def process_cause(rows):
-    """A process is blamed in the sentence that tells of the failure, or weakly where the failure stands elsewhere."""
-    return rows.withColumn("c", P.process_cause(F.col("reason"))).select("k", "c.*")
-
-
 _Q = "We moved every order of the company off paper and into one system, and it shows"
 _S = "It was slow and painful work for us all at first"
 

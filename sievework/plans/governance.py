@@ -147,22 +147,3 @@ def name_in_text(rows):
     pairs = F.regexp_extract_all("text", F.concat(F.lit(r"\b([A-Z][a-z]+)\.?\s+(?:[A-Z]\.?\s+)?\Q"), surname(full), F.lit(r"\E\b")), F.lit(1))
     good = F.filter(pairs, lambda c: (F.length(c) >= 2) & (F.startswith(F.lit("Edward"), c) | F.startswith(c, F.lit("Edward"))))
     return rows.withColumn("found", F.coalesce(F.concat(F.get(good, F.lit(0)), F.lit(" "), surname(full)), F.lit("")))
-
-
-_A = '<a href="/jobs/{}">{}</a>'
-
-
-@cases(("html",), ("titles",), [
-    ("".join(_A.format(i, t) for i, t in enumerate(("Plant Engineer", "Data Analyst II", "Truck Driver", "View jobs"))), "Plant Engineer|Data Analyst II|Truck Driver"),
-    (_A.format(1, "Plant Engineer") + _A.format(2, "Data Analyst"), ""),
-    ("".join(_A.format(1, t) for t in ("Plant Engineer", "Plant Engineer again")) + _A.format(2, "Data Analyst") + _A.format(3, "About our Driver"), ""),
-    ("<p>{w}</p>", ""),
-], (QUERIES, SQL))
-def inline_postings(rows):
-    """Anchors of a careers page that read as postings: three or more of different addresses, or none at all."""
-    anchors = F.regexp_extract_all("html", F.lit(r'(?is)<a\b[^>]*href="[^"]*"[^>]*>.*?</a>'), F.lit(0))
-    parts = F.transform(anchors, lambda a: F.struct(F.regexp_extract(a, r'href="([^"]*)"', 1).alias("href"), F.trim(F.regexp_replace(a, "<[^>]+>", " ")).alias("text")))
-    good = F.filter(parts, lambda p: p["href"].rlike(r"/jobs?/") & F.length(p["text"]).between(8, 90) & ~p["text"].rlike(r"(?i)^(learn more|join|all |view|see |about|our |search)") & p["text"].rlike(r"(?i)\b(engineer|analyst|driver|manager|technician)\b"))
-    hrefs = F.transform(good, lambda p: p["href"])
-    once = F.filter(good, lambda p, i: F.array_position(hrefs, p["href"]) == i + 1)
-    return rows.withColumn("titles", F.when(F.size(once) >= 3, F.array_join(F.transform(once, lambda p: p["text"]), "|")).otherwise(""))

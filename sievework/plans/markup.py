@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup as M
 from ..functions import text as T
+from ..sources import feeds
 from .planted import planted, quoted
 from .standin import standin
 
@@ -137,3 +138,56 @@ def consent_boxes(spark, sf):
     standin(spark, sf)
     r = spark.sql(planted(BOXES, **_PAGES)).select("k", M.remove_elements(F.col("text")).alias("r"))
     return r.select(F.col("k").alias("page_id"), F.col("r.removed").cast("long").alias("removed"), F.length("r.html").cast("long").alias("n_chars"), F.md5("r.html").alias("digest"))
+
+
+LISTS = (
+    "<a href='/jobs/12'>Plant Engineer, Reno</a><a href=\"/jobs/13?x=1\">Data Analyst II</a><a href='/jobs/14'>Truck Driver (Class A)</a><a href='/jobs/14'>again Driver</a>", '<a href="/careers/all-jobs">View all jobs</a><a href="/jobs/1">Learn more</a>',
+    "<a href='/openings/a.pdf'>Plant Manager form, 1</a><a href='https://{w}.example/job-77'>Night Dispatcher - Erie</a>", '<a href="/positions/9"><b>Senior</b>&nbsp;Buyer &amp; Planner</a><a href="/about">Estimator, Ohio</a>',
+    "<a href='?job=5'>Welder / Fitter</a><a href='?jobid=6'>Short</a><a href='?req=7'>Field Nurse | Days</a>", "<a href='https://x.example/jobs/501/Job?m=1'>  Requisition Title  AI Systems&#x20;Engineer </a><a href='https://x.example/jobs/501/other'>again</a>",
+    '<a class="z" href="https://x.example/jobs/77/estimator/job?in=1"><span>External Job Title</span> Estimator II</a>', '<a href="https://x.example/jobs/78/t">Title</a><a href="https://x.example/jobs/79/u">Job title: Foreman</a>',
+    "nothing for {w}", "<a href='/career/crane-operator'>Crane Operator 2</a>" * 2,
+)
+_LISTED = planted(LISTS, more=", url", **_PAGES)
+
+
+@query(rf"""WITH {_NAMES}, p AS ({_LISTED}),
+m AS (SELECT k, url, unnest(range(len(a))) AS i, unnest(a) AS href, unnest(b) AS body FROM (SELECT k, url, regexp_extract_all(text, {quoted(feeds.INLINE_ANCHOR)}, 1) AS a, regexp_extract_all(text, {quoted(feeds.INLINE_ANCHOR)}, 2) AS b FROM p)),
+c AS (SELECT k, url, i, href, regexp_replace(body, '<[^>]+>', ' ', 'g') AS body FROM m), t AS (SELECT k, url, i, href AS raw, trim(regexp_replace({unescape_sql('body')}, '\s+', ' ', 'g')) AS title FROM c, e),
+j AS (SELECT * FROM t WHERE regexp_matches(raw, {quoted(feeds.INLINE_HREF)}) AND length(title) BETWEEN 8 AND 90 AND NOT regexp_matches(title, {quoted(feeds.INLINE_NAV)}) AND NOT regexp_matches(title, {quoted(feeds.INLINE_LEADING_NAV)})
+      AND contains(title, ' ') AND regexp_matches(title, {quoted(feeds.INLINE_ROLE)}) AND NOT regexp_matches(raw, {quoted(feeds.INLINE_FILE)})),
+u AS (SELECT k, i AS place, title, regexp_replace(url, '#.*$', '') AS bare, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) AS scheme, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS site, raw AS href FROM j),
+{_RESOLVED[_RESOLVED.index("q AS (SELECT *, regexp_replace(bare"):].replace("r AS (SELECT k, place, CASE", "r AS (SELECT k, place, title, CASE")},
+s AS (SELECT k, place, title, string_split(link, '?')[1] AS link FROM r), d AS (SELECT *, row_number() OVER (PARTITION BY k, link ORDER BY place) AS turn FROM s),
+f AS (SELECT *, count(*) OVER (PARTITION BY k) AS n, count(*) FILTER (regexp_matches(title, {quoted(feeds.INLINE_QUALIFIER)})) OVER (PARTITION BY k) AS q FROM d WHERE turn = 1)
+SELECT k AS page_id, title, link AS url, left(string_split(link, '/')[-1], 40) AS job_id FROM f WHERE n >= 3 AND q * 2 >= n""".replace("s AS (SELECT *, CASE WHEN path", "z AS (SELECT *, CASE WHEN path").replace("AS walked FROM s)", "AS walked FROM z)"))
+def inline_postings(spark, sf):
+    """The postings that pages list themselves; a page with fewer than three, or with titles that name no place or level, is navigation."""
+    standin(spark, sf)
+    jobs = spark.sql(_LISTED).select("k", F.explode(feeds.inline_jobs(F.col("text"), F.col("url"))).alias("j"))
+    return jobs.select(F.col("k").alias("page_id"), "j.title", "j.url", "j.job_id")
+
+
+@query(rf"""WITH {_NAMES}, p AS ({_LISTED}), m AS (SELECT k, unnest(range(len(a))) AS i, unnest(a) AS link, unnest(b) AS job_id, unnest(c) AS body FROM (SELECT k, regexp_extract_all(text, {quoted(feeds.ICIMS_ANCHOR)}, 1) AS a,
+regexp_extract_all(text, {quoted(feeds.ICIMS_ANCHOR)}, 2) AS b, regexp_extract_all(text, {quoted(feeds.ICIMS_ANCHOR)}, 3) AS c FROM p)), x AS (SELECT *, regexp_replace(body, '<[^>]+>', ' ', 'g') AS plain FROM m),
+t AS (SELECT k, i, string_split(link, '?')[1] AS url, job_id, trim(regexp_replace(regexp_replace({unescape_sql('plain')}, {quoted(feeds.ICIMS_LABEL)}, ''), '\s+', ' ', 'g')) AS title FROM x, e)
+SELECT k AS page_id, title, url, job_id FROM t WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY k, job_id ORDER BY i) = 1""")
+def results_page_postings(spark, sf):
+    """The postings of pages of results, one for each number, under their own titles."""
+    standin(spark, sf)
+    jobs = spark.sql(_LISTED).select("k", F.explode(feeds.icims_jobs(F.col("text"))).alias("j"))
+    return jobs.select(F.col("k").alias("page_id"), "j.title", "j.url", "j.job_id")
+
+
+#: A careers page that links to postings, with what was archived of them, and a paged list of requisitions, both made from whole pages.
+_ARCHIVES = """SELECT page_id AS id, 'paylocity' AS board, to_json(named_struct('careers', concat(html, '<a href="https://recruiting.paylocity.com/Recruiting/Jobs/Details/', page_id, '">a</a> recruiting.paylocity.com/Recruiting/Jobs/Details/900000007',
+ ' recruiting.paylocity.com/Recruiting/Jobs/Details/', page_id, ' recruiting.paylocity.com/Recruiting/Jobs/Details/900000008'), 'details', map(CAST(page_id AS STRING), concat('{"jobTitle" : "Planner &amp; Buyer ', page_id, '"}'), '900000007', '<title>Zeta - Shift Lead - Nights</title>', '900000008', '<title>X - Job Not Found</title>'))) AS body FROM pages WHERE page_id % 2 = 0
+ UNION ALL SELECT page_id, 'adp', concat('{"jobRequisitions":[{"requisitionTitle":" Clerk ', page_id, ' ","requisitionLocations":[{"nameCode":{"shortName":"Reno"}}],"postDate":"2024-05-06T00:00","itemID":"', page_id, '"},{"requisitionTitle":"Lead","itemID":5}],"meta":{"totalNumber":', page_id, '}}') FROM pages WHERE page_id % 2 = 1"""
+
+
+@query("""SELECT page_id AS id, 'paylocity' AS board, concat('Planner & Buyer ', page_id) AS title, '' AS location, '' AS posted, concat('https://recruiting.paylocity.com/Recruiting/Jobs/Details/', page_id) AS url, CAST(page_id AS VARCHAR) AS job_id, false AS truncated FROM pages WHERE page_id % 2 = 0
+UNION ALL SELECT page_id, 'paylocity', 'Shift Lead - Nights', '', '', 'https://recruiting.paylocity.com/Recruiting/Jobs/Details/900000007', '900000007', false FROM pages WHERE page_id % 2 = 0
+UNION ALL SELECT page_id, 'adp', concat('Clerk ', page_id), 'Reno', '2024-05-06', CAST(page_id AS VARCHAR), CAST(page_id AS VARCHAR), page_id > 40 FROM pages WHERE page_id % 2 = 1 UNION ALL SELECT page_id, 'adp', 'Lead', '', '', '5', '5', page_id > 40 FROM pages WHERE page_id % 2 = 1""")
+def linked_postings(spark, sf):
+    """Postings behind links of a careers page, those that are gone left out, and those of a paged list, marked where more exist than were read."""
+    standin(spark, sf)
+    return feeds.postings(spark.sql(_ARCHIVES), 40).drop("place")

@@ -231,3 +231,31 @@ def roster_pairs(spark, sf):
     """People of each page: names beside titles in three layouts, the low-grade tier near confirmed people, and everybody refused with the reason."""
     found = O.roster(_lines(spark, sf), "k", "no", "line", F.array(F.upper("w"), F.lit("WORKS")), admit_untitled=True)
     return found.select("k", "no", "name", "title", "layout", "key", "relevance", "confidence", "refused")
+
+
+REASONS = (
+    "The {w} unit ships. A software error stopped it.", "Batch record was not kept; {w} lot.", "The firmware of {w} is new. The housing did not hold.", "The software of {w} found it as designed.", "A manufacturing defect in {w}.",
+    "Human error and missing change control at {w}.", "Cracked housing of {w}.", "Equipment failure in analytics and an ERP.", "An equipment malfunction; nothing else.", "Sensor fine. Mislabeled lots were not found.",
+    "Allergen control was inadequate, labels missing.", "Sterilization cycle out of specification", "Product may contain undeclared milk", "labelling mix-up; a data entry clerk", "The algorithm works. Traceability works.",
+    "CAPA not in compliance with the quality control process", "Manufacturing defects and a training gap", "missing required net weight label", "Environmental monitoring, nonconforming; SCADA", "equipment failure. A defect.",
+)
+
+
+@query(rf"""WITH d AS ({planted(REASONS, '. ')}),
+s AS (SELECT k * 100000 + no AS k, k AS doc, no, text FROM (SELECT k, unnest(range(len(l))) AS no, unnest(l) AS text FROM (
+      SELECT k, list_transform(string_split(regexp_replace(text, '([.!?;])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)) AS l FROM d)) WHERE text <> '' AND regexp_matches(text, {quoted(P.PROCESS_CAUSE)})),
+{themes_sql('s', THEMES, 'h')},
+b AS (SELECT x.k, min(h.theme) AS theme FROM s x JOIN h ON h.k = x.k AND admitted GROUP BY x.k),
+c AS (SELECT s.*, CASE {' '.join(f"WHEN regexp_matches(text, {quoted(rx)}) THEN {quoted(t)}" for rx, t in P.CAUSES)} ELSE b.theme END AS theme,
+      CASE {' '.join(f"WHEN regexp_matches(text, {quoted(rx)}) THEN regexp_extract(text, {quoted(rx)})" for rx, _ in P.CAUSES)} ELSE
+      coalesce((SELECT arg_min(regexp_extract(o.own, o.rx), o.generic::INT * 1000 + o.turn) FROM (SELECT *, row_number() OVER () AS turn FROM h_x) o WHERE o.k = s.k AND o.theme = b.theme AND regexp_matches(o.own, o.rx)), '') END AS cue,
+      regexp_matches(text, {quoted(P.FAILED)}) AS failed FROM s LEFT JOIN b USING (k)),
+f AS (SELECT doc, min(no) FILTER (failed) AS blamed, min(no) FILTER (theme IS NOT NULL) AS weak FROM c GROUP BY doc),
+t AS (SELECT d.k, d.text, x.theme AS strong_theme, x.cue AS strong_cue, y.theme AS weak_theme, y.cue AS weak_cue FROM d LEFT JOIN f ON f.doc = d.k LEFT JOIN c x ON x.doc = d.k AND x.no = f.blamed LEFT JOIN c y ON y.doc = d.k AND y.no = f.weak AND regexp_matches(d.text, {quoted(P.FAILED)}))
+SELECT k, CASE WHEN strong_theme IS NOT NULL THEN strong_theme WHEN weak_theme IS NOT NULL THEN weak_theme WHEN regexp_matches(text, {quoted(P.SYMPTOM)}) THEN 'digital_transformation_process' END AS theme,
+  CASE WHEN strong_theme IS NOT NULL THEN 'strong' WHEN weak_theme IS NOT NULL THEN 'weak' WHEN regexp_matches(text, {quoted(P.SYMPTOM)}) THEN 'weak_symptom' END AS tier,
+  CASE WHEN strong_theme IS NOT NULL THEN strong_cue WHEN weak_theme IS NOT NULL THEN weak_cue WHEN regexp_matches(text, {quoted(P.SYMPTOM)}) THEN regexp_extract(text, {quoted(P.SYMPTOM)}) END AS cue FROM t""")
+def process_cause(spark, sf):
+    """The process that each text blames: in the sentence that tells of the failure, weakly where the failure stands elsewhere, or as a bare symptom."""
+    standin(spark, sf)
+    return spark.sql(planted(REASONS, ". ")).select("k", P.process_cause(F.col("text")).alias("c")).select("k", "c.theme", "c.tier", "c.cue")

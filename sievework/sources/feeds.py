@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.markup import unescape
+from ..functions.markup import resolve, unescape
 from ..functions.text import visible_text
 
 #: How an error record that is served as a success begins; the forms that a filing of an incident has; the day the rule took effect.
@@ -145,18 +145,101 @@ BOARDS = {
     "greenhouse": ("jobs array<struct<title:string,location:struct<name:string>,updated_at:string,absolute_url:string,id:bigint>>", "jobs", ("title", "location.name", "updated_at", "absolute_url", "id")),
     "lever": ("postings array<struct<text:string,categories:struct<location:string>,createdAt:string,hostedUrl:string,id:string>>", "postings", ("text", "categories.location", "createdAt", "hostedUrl", "id")),
     "workday": ("jobPostings array<struct<title:string,locationsText:string,postedOn:string,externalPath:string,bulletFields:array<string>>>, total bigint", "jobPostings", ("title", "locationsText", "postedOn", "externalPath", "bulletFields[0]")),
+    "adp": ("jobRequisitions array<struct<requisitionTitle:string,requisitionLocations:array<struct<nameCode:struct<shortName:string>>>,postDate:string,itemID:string>>, meta struct<totalNumber:bigint>", "jobRequisitions", ("requisitionTitle", "requisitionLocations[0].nameCode.shortName", "postDate", "itemID", "itemID")),
 }
 
 
+# How anchors of postings look on boards made of markup, labels that a board sets before titles, and what a careers page's own list must be.
+ICIMS_ANCHOR = r"""(?s)<a[^>]+href="(https://[^"]*?/jobs/(\d+)/[^"]+)"[^>]*>(.*?)</a>"""
+ICIMS_LABEL = r"(?i)^\s*(external\s+job|requisition|job|position)?\s*title\b\s*"
+PAYLOCITY_LINK = r"recruiting\.paylocity\.com/Recruiting/Jobs/Details/(\d+)"
+INLINE_MIN = 3
+INLINE_ANCHOR = r"""(?is)<a\b[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
+INLINE_HREF = r"""(?i)(/jobs?/[^/"']+|/careers?/[^/"']{4,}|/positions?/|/openings?/|/opportunit|[?&](?:job|jobid|req|posting)=|/job-|/employment/[^/"']{4,})"""
+INLINE_NAV = (
+    r"(?i)^(careers?|jobs?|home|about|contact|apply now|view all|search (?:jobs|roles|careers)|open positions|join (?:our|the) team|benefits|benefits (?:and|&) perks|internships?|"
+    r"culture|why [a-z .&]+|learn more|read more|apply|details|see all jobs|explore (?:paths|open positions)|locations|life at [a-z .&]+|our culture|key roles|"
+    r"early career professionals|experienced professionals|veterans|training|opportunities|career opportunities|recent graduates|student program)$"
+)
+INLINE_ROLE = (
+    r"(?i)\b(manager|engineer|technician|specialist|driver|analyst|director|supervisor|coordinator|associate|clerk|operator|mechanic|superintendent|estimator|accountant|"
+    r"developer|architect|planner|scheduler|foreman|electrician|welder|nurse|representative|lead|intern|administrator|assistant|dispatcher|controller|buyer|"
+    r"inspector|laborer|apprentice|officer|recruiter|designer|scientist|programmer)\b"
+)
+INLINE_QUALIFIER = r"[,|()\-–/]|\d"
+INLINE_LEADING_NAV = r"(?i)^(learn more|join|all |view|see |information|why |our |about|meet |explore|search)"
+INLINE_FILE = r"(?i)\.(pdf|jpe?g|png|docx?)$"
+
+_JOB = "struct<title:string,location:string,posted:string,url:string,job_id:string>"
+
+
+def _job(title: Column, url: Column, job_id: Column) -> Column:
+    blank = F.lit("")
+    return F.struct(title.alias("title"), blank.alias("location"), blank.alias("posted"), url.alias("url"), job_id.alias("job_id"))
+
+
+def _squeezed(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def _first_by(jobs: Column, field: str) -> Column:
+    """The first job of each value of a field."""
+    return F.get(F.transform(F.array(jobs), lambda js: F.filter(js, lambda j, i: ~F.exists(F.slice(js, 1, i), lambda k: k[field] == j[field]))), F.lit(0))
+
+
+def icims_jobs(page: Column) -> Column:
+    """The postings of a results page, one for each number, without the label of the column that stands before a title."""
+    anchors = F.regexp_extract_all(page, F.lit(ICIMS_ANCHOR), F.lit(0))
+    part = lambda a, g: F.regexp_extract(a, ICIMS_ANCHOR, g)
+    title = lambda a: _squeezed(F.regexp_replace(unescape(F.regexp_replace(part(a, 3), "<[^>]+>", " ")), ICIMS_LABEL, ""))
+    jobs = F.transform(anchors, lambda a: _job(title(a), F.substring_index(part(a, 1), "?", 1), part(a, 2)))
+    return _first_by(F.filter(jobs, lambda j: j["title"] != ""), "job_id")
+
+
+def paylocity_jobs(archive: Column) -> Column:
+    """The postings that a careers page links to, by the pages archived of them: JSON of the page and of a map from number to page. One that is gone is left out."""
+    a = F.from_json(archive, "careers string, details map<string,string>")
+    ids = F.array_distinct(F.regexp_extract_all(a["careers"], F.lit(PAYLOCITY_LINK), F.lit(1)))
+
+    def one(i):
+        page = F.coalesce(F.try_element_at(a["details"], i), F.lit(""))
+        named = F.trim(unescape(F.regexp_extract(page, r'"jobTitle"\s*:\s*"([^"]+)"', 1)))
+        headed = F.regexp_replace(F.trim(unescape(F.regexp_replace(F.regexp_extract(page, r"(?s)<title>(.*?)</title>", 1), "<[^>]+>", ""))), r"^[^-]*-\s*", "")
+        return _job(F.when(named != "", named).otherwise(headed), F.concat(F.lit("https://recruiting.paylocity.com/Recruiting/Jobs/Details/"), i), i)
+
+    return F.filter(F.transform(ids, one), lambda j: (j["title"] != "") & ~F.startswith(F.lower(j["title"]), F.lit("job not found")))
+
+
+def inline_jobs(page: Column, base: Column) -> Column:
+    """The postings that a careers page lists itself: three different addresses or more of job-like anchors, half of them at least with a place or level; else none, as it is navigation."""
+    anchors = F.transform(F.regexp_extract_all(page, F.lit(INLINE_ANCHOR), F.lit(0)), lambda a: F.struct(
+        F.regexp_extract(a, INLINE_ANCHOR, 1).alias("href"), _squeezed(unescape(F.regexp_replace(F.regexp_extract(a, INLINE_ANCHOR, 2), "<[^>]+>", " "))).alias("text"),
+    ))
+    job_like = lambda a: (
+        a["href"].rlike(INLINE_HREF) & F.length(a["text"]).between(8, 90) & ~a["text"].rlike(INLINE_NAV) & ~a["text"].rlike(INLINE_LEADING_NAV)
+        & F.contains(a["text"], F.lit(" ")) & a["text"].rlike(INLINE_ROLE) & ~a["href"].rlike(INLINE_FILE)
+    )
+    url = lambda a: F.substring_index(resolve(base, a["href"]), "?", 1)
+    jobs = _first_by(F.transform(F.filter(anchors, job_like), lambda a: _job(a["text"], url(a), F.substring(F.substring_index(url(a), "/", -1), 1, 40))), "url")
+    qualified = lambda js: F.size(F.filter(js, lambda j: j["title"].rlike(INLINE_QUALIFIER)))
+    listed = lambda js: F.when((F.size(js) >= INLINE_MIN) & (qualified(js) * 2 >= F.size(js)), js).otherwise(F.array().cast(f"array<{_JOB}>"))
+    return F.get(F.transform(F.array(jobs), listed), F.lit(0))
+
+
 def postings(payloads: DataFrame, limit: int) -> DataFrame:
-    """(id, board, place, title, location, posted, url, job_id, truncated): one shape of all boards. payloads has id, board and body."""
+    """(id, board, place, title, location, posted, url, job_id, truncated): one shape of all seven boards. payloads has id, board, body and, for lists on a company's own page, its url."""
     parts = []
     for board, (schema, jobs, fields) in BOARDS.items():
         page = payloads.where(F.col("board") == board).withColumn("p", F.from_json("body", schema))
-        total = F.coalesce("p.total", F.size(f"p.{jobs}")) if "total" in schema else F.size(f"p.{jobs}")
+        total = F.coalesce("p.total", F.size(f"p.{jobs}")) if "total bigint" in schema else F.coalesce("p.meta.totalNumber", F.size(f"p.{jobs}")) if "meta" in schema else F.size(f"p.{jobs}")
         rows = page.select("id", "board", (total > limit).alias("truncated"), F.posexplode(F.slice(F.col(f"p.{jobs}"), 1, limit)).alias("place", "j"))
         title, location, posted, url, job = (F.trim(_text(F.expr(f"j.{f}"))) for f in fields)
         parts.append(rows.select("id", "board", "place", title.alias("title"), location.alias("location"), F.substring(posted, 1, 10).alias("posted"), url.alias("url"), job.alias("job_id"), "truncated"))
+    base = F.col("url") if "url" in payloads.columns else F.lit("")
+    for board, found in (("icims", icims_jobs(F.col("body"))), ("paylocity", paylocity_jobs(F.col("body"))), ("inline", inline_jobs(F.col("body"), base))):
+        page = payloads.where(F.col("board") == board).withColumn("js", found)
+        rows = page.select("id", "board", (F.size("js") > limit).alias("truncated"), F.posexplode(F.slice("js", 1, limit)).alias("place", "j"))
+        parts.append(rows.select("id", "board", "place", "j.title", "j.location", "j.posted", "j.url", "j.job_id", "truncated"))
     return reduce(DataFrame.unionByName, parts)
 
 
