@@ -5,7 +5,9 @@ import gzip
 import hashlib
 import json
 import re
+import time
 import zlib
+from fractions import Fraction
 from urllib.parse import quote
 
 import numpy as np
@@ -16,7 +18,7 @@ from sievework.llm import language_id, secrets
 from sievework.llm.decontamination import decontaminate, greedy_tiles
 from sievework.llm.fixity import audit, damaged, leaves, records
 from sievework.llm.language_id import identify_language, with_language
-from sievework.llm.mixing import mix_sources
+from sievework.llm.mixing import exact_units, mix_sources
 
 WORDS = {"en": "the and with from this that there which would could".split(), "de": "der die und nicht eine sich auch werden über schön".split(), "fr": "les des que pour dans être où même très une".split()}
 
@@ -146,39 +148,79 @@ def brute_round(units, total):
     return {b: t for t, b in enumerate(owners)}
 
 
-@pytest.mark.parametrize("weights, size", [(None, 20), ({"s0": 0.5, "s1": 0.3, "s2": 0.1, "s3": 0.1}, 20), ({"s0": 0.7, "s1": 0.2999, "s2": 0.0001}, 10_000)])
-def test_mixing(spark, documents, weights, size):
-    clash = documents.selectExpr("*", "'clash' AS slot", "7 AS src", "8 AS `rank`", "9 AS doc", "10 AS n", "11 AS phases", "12 AS u")
-    out = mix_sources(clash, weights=weights, units=size, block=8, range_rows=50).collect()
-    assert len(out) == documents.count() and all((r.src, r["rank"], r.doc, r.n, r.phases, r.u) == (7, 8, 9, 10, 11, 12) for r in out)
-    units, blocks, places = {r.source or "": r.weight_units for r in out}, {}, set()
-    if weights:
-        assert all(units[s] == max(1, round(w * size)) for s, w in weights.items())
-    total = sum(units.values())
-    expected = brute_round(units, total)
+def check_schedule(out, weights, total, block):
+    """Each block in its window, each slot used once, and each source less than one block from its own weight (not from rounded units) at every slot while it lasts."""
+    blocks, places = {}, set()
     for r in out:
         src = r.source or ""
         blocks[src, r.block] = r.slot
         places.add((src, r.block, r.place))
-        assert r.release <= r.slot < r.deadline and 0 <= r.place < 8
-        assert r.slot == r.block // units[src] * total + expected[src, r.block % units[src]]
+        assert r.release <= r.slot < r.deadline and 0 <= r.place < block
     assert len(places) == len(out) and len(set(blocks.values())) == len(blocks)
-    count = {s: 0 for s in units}
-    for s, _ in blocks:
-        count[s] += 1
-    # While a source lasts, it is less than a block away from its share at every slot.
-    for s, u in units.items():
-        done, own = 0, {slot for (x, _), slot in blocks.items() if x == s}
-        for t in range(max(own) + 1):
-            assert abs(done - t * u / total) < 1
-            done += t in own
+    for s, w in weights.items():
+        own, done = sorted(slot for (x, _), slot in blocks.items() if x == s), 0
+        for t in range(own[-1] + 2 if own else 0):
+            assert abs(done - Fraction(str(w)) / total * t) < 1, (s, t)
+            done += done < len(own) and own[done] == t
+    return blocks
+
+
+@pytest.mark.parametrize("weights", [None, {"s0": 0.5, "s1": 0.3, "s2": 0.1, "s3": 0.1}, {"s0": 0.7, "s1": 0.2999, "s2": 0.0001}, {"s0": 2, "s1": 1, "s2": 0, "gone": 7}])
+def test_mixing(spark, documents, weights):
+    clash = documents.selectExpr("*", "'clash' AS slot", "7 AS src", "8 AS `rank`", "9 AS doc", "10 AS n", "11 AS phases", "12 AS u")
+    out = mix_sources(clash, weights=weights, scale=20, block=8, range_rows=50).collect()
+    assert len(out) == documents.count() and all((r.src, r["rank"], r.doc, r.n, r.phases, r.u) == (7, 8, 9, 10, 11, 12) for r in out)
+    found = {r.source or "": r.weight_units for r in out if r.weight_units}
+    given = {s: w for s, w in (weights or found).items() if w and s in {r.source or "" for r in out}}
+    # A source without weight is no part of the mixture.
+    left = [r for r in out if (r.source or "") not in given]
+    assert all(r.slot is None and r.weight_units is None for r in left)
+    out = [r for r in out if (r.source or "") in given]
+    total = sum(Fraction(str(w)) for w in given.values())
+    assert {s: Fraction(u, sum(found.values())) for s, u in found.items()} == {s: Fraction(str(w)) / total for s, w in given.items()}
+    blocks = check_schedule(out, given, total, 8)
+    round_of = sum(found.values())
+    if round_of <= 1000:
+        expected = brute_round(found, round_of)
+        assert all(t == b // found[s] * round_of + expected[s, b % found[s]] for (s, b), t in blocks.items())
     assert mix_sources(documents.limit(0)).count() == 0
 
 
+def test_mixing_weights_of_many_decimals(spark):
+    """Five decimals over rounds of 100,000 slots: no drift from the weights themselves."""
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "element_at(array('a', 'b', 'c'), CAST(1 + id % 3 AS int)) AS source")
+    weights = {"a": 0.66666, "b": 0.33333, "c": 0.00001}
+    out = mix_sources(docs, weights=weights, block=1).where("slot < 29000").select("source", "slot").collect()
+    assert len(out) == 29000
+    for s, w in weights.items():
+        own = {r.slot for r in out if r.source == s}
+        done = 0
+        for t in range(29000):
+            assert abs(done - Fraction(str(w)) * t) < 1
+            done += t in own
+
+
+def test_mixing_rounded_weights():
+    """Weights that need more slots than allowed: largest remainders, one unit at least, none for nothing."""
+    assert exact_units({"a": 0.123456789, "b": 0.876543211, "c": 0.0}, 1000, 1000) == {"a": 123, "b": 877}
+    assert exact_units({"a": 1e-12, "b": 1.0}, 1000, 1000) == {"a": 1, "b": 1000} and exact_units({"a": 1 / 3000, "b": 2 / 3, "c": 0.333}, 10_000) == {"a": 1, "b": 2000, "c": 999} and exact_units({"a": 0.0}, 10) == {}
+
+
 def test_mixing_many_sources(spark):
-    docs = spark.range(3000).selectExpr("id AS doc_id", "IF(id < 2000, 'hot', concat('s', id % 300)) AS source")
-    out = mix_sources(docs, weights={"hot": 0.05, **{f"s{i}": 0.95 / 300 for i in range(300)}}, block=1).select("source", "weight_units").distinct().collect()
-    assert {r.weight_units for r in out if r.source == "hot"} == {500} and {r.weight_units for r in out if r.source != "hot"} <= {31, 32}
+    docs = spark.range(3000).selectExpr("id AS doc_id", "IF(id < 1500, 'hot', concat('s', id % 1500)) AS source")
+    weights = {"hot": 0.5, **{f"s{i}": 1 / 3000 for i in range(1500)}}
+    mix_sources(docs.limit(10), weights={"hot": 1.0}).count()  # the session's first run
+    start = time.time()
+    out = mix_sources(docs, weights=weights, block=1).select("source", "slot", "weight_units").collect()
+    assert time.time() - start < 60 and len({r.slot for r in out}) == 3000
+    assert len({r.weight_units for r in out if r.source != "hot"}) == 1
+
+
+def test_mixing_rows_without_id(spark):
+    """Null ids and one repeated id: the rows differ, so they spread over the ranges of their source, and each has a place of its own."""
+    docs = spark.range(4000).selectExpr("IF(id % 2 = 0, NULL, 7L) AS doc_id", "'s' AS source", "concat('t', id) AS text")
+    out = mix_sources(docs, block=16, range_rows=100).collect()
+    assert len({(r.slot, r.place) for r in out}) == 4000 and max(r.block for r in out) == 249
 
 
 def covered_share(text, item):
