@@ -40,66 +40,6 @@ def cases(inputs: tuple[str, ...], outputs: tuple[str, ...], rows: list[tuple],
     return add
 
 
-_LONG = "This paragraph goes on about how the {w} plant was built, who built it, and what was learned from it. " * 2
-
-
-@cases(("lines", "title", "url"), ("refusal",), [
-    ("|".join([_LONG] * 4), "{w} opens", "https://x.com/news/a", ""),
-    ("|".join([_LONG] * 4), "Latest News Releases", "https://x.com/a", "index title"),
-    ("|".join([_LONG] * 4), "{w} opens", "https://x.com/newsroom/", "index url"),
-    (_LONG, "{w} opens", "https://x.com/a", "too short"),
-    ("|".join(["A headline about {w} of ninety characters or so that stands alone and goes no further"] * 9), "t", "u", "no paragraph"),
-])
-def article_shape(rows):
-    """Whether block lines read as one article, or why not."""
-    return rows.withColumn("refusal", P.article_refusal(F.split("lines", r"\|"), F.col("title"), F.col("url")))
-
-
-@cases(("hits", "title"), ("subject",), [("ERP|erp ", "plain", False), ("ERP|analytics", "plain", True), ("Analytics", "New analytics at {w}", True), ("ERP", "", False), ("ERP", "{w} news", False)])
-def theme_subject(rows):
-    """A theme named once is no subject, unless in the headline."""
-    return rows.withColumn("subject", P.is_subject(F.split("hits", r"\|"), F.col("title")))
-
-
-@cases(("text", "title"), ("verdict",), [
-    ("CHICAGO, May 1 /PRNewswire/ -- {w} opens. By Ann Lee", "t", "wire"),
-    ("The following press release came from {w}.", "t", "label"),
-    ("{w} opens a plant. Sponsored content", "t", "unsigned"),
-    ("By Ann Lee. {w} opens a plant. Sponsored content", "t", ""),
-    ("{w} opens. About Zeta Works: a maker of things", "t", "unsigned"),
-    ("{w} opens. For more information, contact us", "By Ann Lee", ""),
-    ("A reported article on {w}", "t", ""),
-])
-def wire_verdict(rows):
-    """Reprinted press releases: by wire, by label, or by boilerplate that no reporter signs."""
-    return rows.withColumn("verdict", P.reprint(F.col("text"), F.col("title")))
-
-
-@cases(("text", "title", "url", "quoted"), ("kind",), [
-    ("text", "t", "https://x.com/opinion/a", "yes", "ST-EXECCOLUMN"),
-    ("This op-ed on {w}", "t", "u", "no", "ST-EXECCOLUMN"),
-    ("more", "By Ann {w}", "u", "yes", "ST-EXECCOLUMN"),
-    ("At a conference, {w} said", "t", "u", "yes", "ST-EXECPANEL"),
-    ("{w} said", "t", "u", "yes", "ST-EXECQUOTE-REPORTED"),
-    ("At a conference", "t", "u", "no", "ST-PRESSPROFILE"),
-])
-def article_type(rows):
-    people = F.array(F.concat(F.lit("Ann "), "w"))
-    return rows.withColumn("kind", P.article_kind(F.col("text"), F.col("title"), F.col("url"), people, F.col("quoted") == "yes"))
-
-
-@cases(("body", "title", "url"), ("why",), [
-    ("Acme Inc and {w} LLC", "t", "https://x.com/rankings/1", "list url"),
-    ("Acme Inc and {w} LLC", "Top 40 firms", "u", "list title"),
-    ("Acme Inc, {w} LLC, Beta Corp, Gamma Group, Delta Builders, Omega Associates", "t", "u", "many organisations"),
-    ("Acme Inc, {w} LLC, Beta Corp, Acme  Inc, Acme Inc, Acme Inc", "t", "u", ""),
-    ("plain words about {w}", "t", "u", ""),
-])
-def multi_subject_docs(rows):
-    """Documents without a single subject: lists, rankings, features of many organisations."""
-    return rows.withColumn("why", P.several_subjects(F.col("body"), F.col("title"), F.col("url")))
-
-
 _Q = "We moved every order of the company off paper and into one system, and it shows"
 _S = "It was slow and painful work for us all at first"
 
@@ -138,22 +78,6 @@ def qa_passages(rows):
     return rows.withColumn("answers", F.size(O.answers(F.col("text"), F.lit("Ann Lee"))))
 
 
-_PROSE = "The {w} plant was opened by a crowd of people who had come from afar to see how it works and to hear what its makers say."
-
-
-@cases(("page",), ("kept", "label"), [
-    (f"Home|News|{_PROSE}|Menu|{_PROSE}|Recommended Reading|{_PROSE}", 2, False),
-    (f"Home|ANN LEE:|{_PROSE}|BOB RAY:|News", 2, True),
-    ("Home|News", 0, False),
-    (f"Recommended Reading|{_PROSE}", 1, False),
-])
-def article_body(rows):
-    """Prose lines up to the end marker, which counts once prose has begun; a speaker's label stays where prose follows it."""
-    lines = rows.select("k", F.posexplode(F.split("page", r"\|")).alias("no", "line"))
-    body = O.body_lines(lines, "k", "no", "line").groupBy("k").agg(F.count("*").alias("kept"), F.bool_or(F.col("line").rlike("^[A-Z .]+:$")).alias("label"))
-    return rows.select("k").join(body, "k", "left").na.fill(0, ["kept"]).na.fill(False, ["label"])
-
-
 @cases(("excerpt",), ("terms",), [("x; matched: erp, {w} , WMS", "erp|{w}|WMS"), ("nothing here", ""), ("matched: one", "one")])
 def matched_terms(rows):
     return rows.withColumn("terms", F.array_join(F.filter(F.transform(F.split(F.regexp_extract("excerpt", r"matched:\s*(.*)$", 1), ","), lambda x: F.trim(x)), lambda x: x != ""), "|"))

@@ -189,17 +189,6 @@ def xlsx_like_header_sniff(spark, sf):
     return feeds.sniffed(rows, "sheet", "row_no", "cells", {"company": ("company", "employer name", "company name"), "day": ("notice date", "received", "date")})
 
 
-_DATED = """SELECT page_id AS id, CASE page_id % 6 WHEN 0 THEN concat('<script type="application/ld+json">{"datePublished": "2024-05-', 10 + page_id % 20, 'T01:02"}</script>') WHEN 1 THEN '<meta property="article:published_time" content="2023-02-30"><meta name="date" content="2023-02-28">'
- WHEN 2 THEN '<meta content="2022-11-05T00:00Z" property="article:published_time">' WHEN 3 THEN '<time class="t" datetime="2021-01-09">' WHEN 4 THEN 'May 5, 2020 and 2020-05-05' ELSE '{"datePublished": "yesterday it was", "datePublished":"2019-09-09T"}' END AS html FROM pages"""
-
-
-@query("SELECT page_id AS id, CASE page_id % 6 WHEN 0 THEN concat('2024-05-', 10 + page_id % 20) WHEN 1 THEN '2023-02-28' WHEN 2 THEN '2022-11-05' WHEN 3 THEN '2021-01-09' WHEN 4 THEN '' ELSE '2019-09-09' END AS published FROM pages")
-def published_date(spark, sf):
-    """Only what the markup states; a date in prose is no publication date, and an impossible one is passed over."""
-    standin(spark, sf)
-    return spark.sql(_DATED).select("id", feeds.published_date(F.col("html")).alias("published"))
-
-
 _REVIEWS = """SELECT s_suppkey AS id, concat('<div itemtype="http://schema.org/Organization" x> <meta itemprop="name" content="', s_name, '"/><meta itemprop="ratingValue" content=" 3.', s_suppkey % 10, '">', CASE WHEN s_suppkey % 2 = 0 THEN '<meta itemprop="reviewCount"  content="12">' ELSE '' END, '<p itemprop="reviewBody" a="b">old <b>tools</b></p><p itemprop="reviewBody"> </p>', '<span itemprop="reviewBody">fine &amp; good</span>') AS html FROM supplier"""
 
 
@@ -211,16 +200,6 @@ def review_pages(spark, sf):
     return r.select("id", "r.declared_name", "r.rating", "r.review_count", F.array_join("r.reviews", "|").alias("reviews"))
 
 
-_CAREERS = """SELECT page_id AS id, concat('<a href="https://', CASE page_id % 5 WHEN 0 THEN 'acme.wd5.myworkdayjobs.com/x' WHEN 1 THEN 'careers-acme.icims.com' WHEN 2 THEN 'boards.greenhouse.io/acme' WHEN 3 THEN 'example.com/myworkdayjobs' ELSE 'jobs.lever.co/a"> <a href="https://x.icims.com' END, '">jobs</a>') AS html FROM pages"""
-
-
-@query("SELECT page_id AS id, CASE page_id % 5 WHEN 0 THEN 'workday' WHEN 1 THEN 'icims' WHEN 2 THEN 'greenhouse' WHEN 4 THEN 'icims' END AS system FROM pages")
-def fingerprints(spark, sf):
-    """The applicant system that a careers page uses, by the host it names."""
-    standin(spark, sf)
-    return spark.sql(_CAREERS).select("id", feeds.applicant_system(F.col("html")).alias("system"))
-
-
 _ARTIFACT = "SELECT s_suppkey AS id, concat('H', s_suppkey) AS harness_id, concat('v1.', s_suppkey % 7) AS version, 10 + s_suppkey % 5 AS sampled, s_suppkey % 4 AS excluded, s_suppkey % 3 AS wrong_entity FROM supplier"
 
 

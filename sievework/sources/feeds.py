@@ -298,17 +298,20 @@ def sniffed(rows: DataFrame, key: str, row_no: str, cells: str, synonyms: dict[s
     return out.select(key, row_no, *[pick(names).alias(column) for column, names in synonyms.items()])
 
 
+#: Where markup states a date of publication, the most trustworthy place first.
+DATE_PATTERNS = (
+    r'(?i)"datePublished"\s*:\s*"([^"]{8,40})"',
+    r"""(?i)property=["']article:published_time["']\s+content=["']([^"']+)""",
+    r"""(?i)content=["']([^"']+)["']\s+property=["']article:published_time["']""",
+    r"""(?i)name=["'](?:pubdate|publish-date|date)["']\s+content=["']([^"']+)""",
+    r"""(?i)<time[^>]+datetime=["']([^"']+)""",
+)
+
+
 def published_date(html: Column) -> Column:
     """The ISO date that a page's markup states, in this order: JSON-LD, article:published_time (either order of attributes), a date meta, a time element; blank if none."""
-    patterns = (
-        r'(?i)"datePublished"\s*:\s*"([^"]{8,40})"',
-        r"""(?i)property=["']article:published_time["']\s+content=["']([^"']+)""",
-        r"""(?i)content=["']([^"']+)["']\s+property=["']article:published_time["']""",
-        r"""(?i)name=["'](?:pubdate|publish-date|date)["']\s+content=["']([^"']+)""",
-        r"""(?i)<time[^>]+datetime=["']([^"']+)""",
-    )
     day = lambda x: F.try_to_timestamp(F.nullif(F.regexp_extract(x, r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")), F.lit("yyyy-MM-dd")).cast("date").cast("string")
-    first = [F.get(F.filter(F.transform(F.regexp_extract_all(html, F.lit(p), F.lit(1)), day), lambda d: d.isNotNull()), F.lit(0)) for p in patterns]
+    first = [F.get(F.filter(F.transform(F.regexp_extract_all(html, F.lit(p), F.lit(1)), day), lambda d: d.isNotNull()), F.lit(0)) for p in DATE_PATTERNS]
     return F.coalesce(*first, F.lit(""))
 
 
@@ -320,10 +323,34 @@ def review_page(html: Column) -> Column:
     return F.struct(name.alias("declared_name"), meta("ratingValue").alias("rating"), meta("reviewCount").alias("review_count"), texts.alias("reviews"))
 
 
-#: Hosts of applicant systems, in the order they are looked for.
-ATS_HOSTS = (("workday", r"[\w-]+\.wd\d+\.myworkdayjobs\.com"), ("icims", r"[\w-]+\.icims\.com"), ("greenhouse", r"boards(?:-api)?\.greenhouse\.io"), ("lever", r"jobs\.lever\.co"), ("paylocity", r"recruiting\.paylocity\.com"), ("adp", r"workforcenow\.adp\.com"))
+#: Hosts of applicant systems, in the order they are looked for, with the part that names the tenant; and the systems whose postings can be read.
+ATS_FINGERPRINTS = (
+    ("workday", r"([a-z0-9-]+)\.(wd\d+)\.myworkdayjobs\.com"),
+    ("icims", r"(?<![a-z0-9.-])(?!login\.|www\.|secure\.)([a-z0-9-]+)\.icims\.com"),
+    ("paylocity", r"recruiting\.paylocity\.com"),
+    ("greenhouse", r"(?:boards|job-boards)(?:-api)?\.greenhouse\.io/(?:embed/job_board\?for=)?([a-z0-9_-]+)"),
+    ("lever", r"jobs\.lever\.co/([a-z0-9_-]+)"),
+    ("smartrecruiters", r"careers\.smartrecruiters\.com/([a-zA-Z0-9_-]+)"),
+    ("jobvite", r"jobs\.jobvite\.com/([a-z0-9_-]+)"),
+    ("ultipro", r"([a-z0-9-]+)\.(?:recruiting\d*\.)?ultipro\.com"),
+    ("adp", r"workforcenow\.adp\.com/[^\"'\s]*?cid=([0-9a-f]{8}-[0-9a-f-]{27})"),
+    ("adp", r"(?:workforcenow|recruiting)\.adp\.com"),
+    ("paycom", r"paycomonline\.net"),
+    ("dayforce", r"([a-z0-9-]+)\.dayforcehcm\.com"),
+    ("taleo", r"([a-z0-9-]+)\.taleo\.net"),
+    ("brassring", r"([a-z0-9-]+)\.brassring\.com"),
+    ("jazzhr", r"([a-z0-9-]+)\.applytojob\.com"),
+    ("bamboohr", r"([a-z0-9-]+)\.bamboohr\.com"),
+    ("applicantpro", r"([a-z0-9-]+)\.applicantpro\.com"),
+    ("isolved", r"([a-z0-9-]+)\.isolvedhire\.com"),
+    ("clearcompany", r"([a-z0-9-]+)\.clearcompany\.com"),
+    ("tenstreet", r"(?:tenstreet\.com|intelliapp\.driverapponline\.com)"),
+    ("driverreach", r"([a-z0-9-]+)\.driverreach\.com"),
+)
+READABLE_ATS = ("workday", "icims", "paylocity", "greenhouse", "lever", "adp", "inline")
 
 
 def applicant_system(html: Column) -> Column:
-    """The first applicant system whose host a page names; null if none."""
-    return F.coalesce(*[F.when(html.rlike(rf"(?i)\b{host}\b"), F.lit(name)) for name, host in ATS_HOSTS])
+    """Struct (system, tenant, readable) of the first applicant system whose host a page names; null if none. A product's name alone is no host."""
+    entry = lambda name, rx: F.struct(F.lit(name).alias("system"), (F.regexp_extract(html, f"(?i){rx}", 1) if "([" in rx else F.lit("")).alias("tenant"), F.lit(name in READABLE_ATS).alias("readable"))
+    return F.coalesce(*[F.when(html.rlike(f"(?i){rx}"), entry(name, rx)) for name, rx in ATS_FINGERPRINTS])
