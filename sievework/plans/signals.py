@@ -27,6 +27,11 @@ POSTINGS = (
 )
 
 
+def edges(column: str) -> str:
+    """A text in which accented Latin letters are marks that count as part of a word, as they do for edges of words here; the other engine's edges know ASCII only. Patterns have no such letters."""
+    return f"regexp_replace({column}, '[\\x{{C0}}-\\x{{D6}}\\x{{D8}}-\\x{{F6}}\\x{{F8}}-\\x{{24F}}]', '_', 'g')"
+
+
 def _terms() -> str:
     """The table of terms as VALUES, without the look-ahead that a word's edge makes idle."""
     rows = [
@@ -38,7 +43,7 @@ def _terms() -> str:
 
 
 SQL["posting_classify"] = rf"""
-WITH d AS ({planted(POSTINGS)}),
+WITH d AS (SELECT k, {edges('text')} AS text FROM ({planted(POSTINGS)})),
 t(i, j, signal, rx, requires, blocks, weak, said_requires, said_blocks) AS (VALUES {_terms()}),
 m AS (SELECT k, t.*, regexp_extract(text, rx) AS term, regexp_extract(text, {quoted(postings.EXCLUSIONS)}) AS excluded,
       blocks <> '' AND regexp_matches(text, blocks) AS blocked, requires = '' OR regexp_matches(text, requires) AS met FROM d JOIN t ON regexp_matches(text, rx)),
@@ -83,7 +88,7 @@ def themes_sql(source: str, themes, name: str) -> str:
     """CTEs that end in `name` (k, theme, admitted, n_hits): the vocabulary over the rows (k, text) of `source`, pattern by pattern."""
     rows = ",\n".join(f"({quoted(t.key)}, {tier}, {str(t.generic_admits).lower()}, {quoted('|'.join(t.exclusions) and '(?i)' + '|'.join(t.exclusions))}, {quoted('(?i)' + plain(p))})" for t in themes for tier, ps in (("false", t.specific), ("true", t.generic)) for p in ps)
     return f"""{name}_t(theme, generic, admits, blanked, rx) AS (VALUES {rows}),
-{name}_x AS (SELECT k, t.*, CASE WHEN blanked = '' THEN text ELSE regexp_replace(text, blanked, ' ', 'g') END AS own FROM {source} JOIN {name}_t t ON regexp_matches(text, rx)),
+{name}_x AS (SELECT k, t.*, CASE WHEN blanked = '' THEN text ELSE regexp_replace(text, blanked, ' ', 'g') END AS own FROM (SELECT k, {edges('text')} AS text FROM {source}) JOIN {name}_t t ON regexp_matches(text, rx)),
 {name} AS (SELECT k, theme, bool_or(NOT generic) OR (bool_and(admits) AND count(DISTINCT lower(regexp_extract(own, rx))) FILTER (generic) >= 2) AS admitted, count(*) AS n_hits FROM {name}_x WHERE regexp_matches(own, rx) GROUP BY k, theme)"""
 
 
