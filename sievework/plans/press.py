@@ -66,7 +66,7 @@ _TOLD = f"SELECT k, w, text, CASE k % 3 WHEN 0 THEN 'New ERP and analytics' WHEN
 
 
 @query(f"""WITH d AS ({_TOLD}), {themes_sql('d', THEMES, 'h')},
-s AS (SELECT x.k, x.theme, count(DISTINCT lower(trim(regexp_extract(own, rx)))) AS terms, bool_or(d.title <> '' AND contains(lower(d.title), lower(trim(regexp_extract(own, rx))))) AS titled FROM h_x x JOIN d ON d.k = x.k WHERE regexp_matches(own, rx) GROUP BY x.k, x.theme)
+s AS (SELECT x.k, x.theme, count(DISTINCT regexp_replace(lower(regexp_extract(own, rx)), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')) AS terms, bool_or(d.title <> '' AND contains(lower(d.title), regexp_replace(lower(regexp_extract(own, rx)), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g'))) AS titled FROM h_x x JOIN d ON d.k = x.k WHERE regexp_matches(own, rx) GROUP BY x.k, x.theme)
 SELECT s.k, s.theme, terms >= 2 OR titled AS subject FROM s JOIN h ON h.k = s.k AND h.theme = s.theme WHERE admitted""")
 def theme_subject(spark, sf):
     """Each admitted theme of each document, and whether it is its subject: two different terms, or one that the title has."""

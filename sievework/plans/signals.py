@@ -9,6 +9,7 @@ from ..functions import people as N
 from ..functions import postings
 from ..functions import text as T
 from ..functions.themes import THEMES, classify
+from ..operators import coverage
 from ..operators import passages as O
 from .markup import _BLOCK_TAGS, _NAMES, unescape_sql
 from .planted import planted, quoted
@@ -264,3 +265,42 @@ def process_cause(spark, sf):
     """The process that each text blames: in the sentence that tells of the failure, weakly where the failure stands elsewhere, or as a bare symptom."""
     standin(spark, sf)
     return spark.sql(planted(REASONS, ". ")).select("k", P.process_cause(F.col("text")).alias("c")).select("k", "c.theme", "c.tier", "c.cue")
+
+
+_OWNED = planted(REMARKS, more=", source")
+
+
+@query(f"WITH d AS ({_OWNED}), {themes_sql('d', THEMES, 'h')} SELECT theme, count(*) FILTER (NOT admitted) AS refused, count(*) FILTER (admitted) AS admitted FROM h GROUP BY theme")
+def theme_refusals(spark, sf):
+    """How often each theme was seen and not admitted, as only a lone generic term showed it."""
+    standin(spark, sf)
+    t = spark.sql(_OWNED).select(F.explode(classify(F.col("text"))).alias("t")).select("t.theme", "t.admitted")
+    return t.groupBy("theme").agg(F.count_if(~F.col("admitted")).alias("refused"), F.count_if("admitted").alias("admitted"))
+
+
+@query(f"""WITH d AS ({_OWNED}), {themes_sql('d', THEMES, 'h')} SELECT d.source, h.theme, count(*) AS evidence_count, min(d.k) AS first_id, array_to_string(list_sort(list(CAST(d.k AS VARCHAR)))[1:4], ';') AS ids
+FROM h JOIN d ON h.k = d.k WHERE admitted GROUP BY ALL""")
+def claim_builder_by_theme(spark, sf):
+    """A claim for each source and theme: how much evidence, and the first ids."""
+    standin(spark, sf)
+    rows = spark.sql(_OWNED).select("source", "k", F.explode(F.filter(classify(F.col("text")), lambda t: t["admitted"])).alias("t")).select("source", "t.theme", F.col("k").alias("doc_id"), F.col("k").cast("string").alias("id"))
+    groups = rows.groupBy("source", "theme").agg(F.count("*").alias("evidence_count"), F.min("doc_id").alias("first_id"))
+    return coverage.with_first(groups, rows, ["source", "theme"], "id", 4).select("source", "theme", "evidence_count", "first_id", F.array_join("_first", ";").alias("ids"))
+
+
+#: Three reviews for each employer: documents with remarks, of which those under 40 characters say nothing.
+@query(f"""WITH d AS (SELECT * FROM ({planted(REMARKS)}) WHERE length(text) >= 40), {themes_sql('d', THEMES, 'h')}, {themes_sql('d', P.BUYER_VOICE, 'v')},
+x AS (SELECT k, theme, regexp_replace(lower(regexp_extract(own, rx)), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g') AS term FROM (FROM h_x UNION ALL FROM v_x) WHERE regexp_matches(own, rx)),
+a AS (SELECT DISTINCT k, theme FROM (FROM h UNION ALL FROM v) WHERE admitted)
+SELECT a.k // 3 AS employer, a.theme, count(DISTINCT a.k) AS reviews, count(DISTINCT x.term) AS terms, count(DISTINCT a.k) >= 2 OR count(DISTINCT x.term) >= 2 AS admitted FROM a JOIN x ON x.k = a.k AND x.theme = a.theme GROUP BY 1, 2""")
+def review_theme_admission(spark, sf):
+    """Themes of the reviews of each employer: one counts if two reviews or two different terms show it."""
+    standin(spark, sf)
+    rows = spark.sql(planted(REMARKS)).where(F.length("text") >= 40)
+    # A theme's terms are those of both vocabularies, in the reviews that admit it by either.
+    both = F.concat(classify(F.col("text"), THEMES), classify(F.col("text"), P.BUYER_VOICE))
+    hits = rows.select("k", F.explode(both).alias("t")).select("k", "t.theme", "t.admitted", "t.hits")
+    per = hits.groupBy("k", "theme").agg(F.bool_or("admitted").alias("any"), F.flatten(F.collect_list("hits")).alias("hits")).where("any")
+    each = per.select(F.expr("k DIV 3").alias("employer"), "theme", "k", F.explode("hits").alias("hit"))
+    g = each.groupBy("employer", "theme").agg(F.count_distinct("k").alias("reviews"), F.count_distinct(F.lower("hit")).alias("terms"))
+    return g.withColumn("admitted", (F.col("reviews") >= 2) | (F.col("terms") >= 2))

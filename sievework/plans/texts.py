@@ -54,18 +54,6 @@ def theme_classify(spark, sf):
     return _classified(spark, sf).where("admitted").select("doc_id", "theme", "n_hits")
 
 
-@query(_T + "SELECT theme, count(*) FILTER (NOT admitted) AS refused, count(*) FILTER (admitted) AS admitted FROM h GROUP BY theme")
-def theme_refusals(spark, sf):
-    return _classified(spark, sf).groupBy("theme").agg(F.count_if(~F.col("admitted")).alias("refused"), F.count_if("admitted").alias("admitted"))
-
-
-@query(_T + """SELECT d.source, h.theme, count(*) AS evidence_count, min(d.doc_id) AS first_id, array_to_string(list_sort(list(CAST(d.doc_id AS VARCHAR)))[1:4], ';') AS ids FROM h JOIN documents d ON h.doc_id = d.doc_id WHERE admitted GROUP BY ALL""")
-def claim_builder_by_theme(spark, sf):
-    rows = _classified(spark, sf).where("admitted").select("source", "theme", "doc_id", F.col("doc_id").cast("string").alias("id"))
-    groups = rows.groupBy("source", "theme").agg(F.count("*").alias("evidence_count"), F.min("doc_id").alias("first_id"))
-    return coverage.with_first(groups, rows, ["source", "theme"], "id", 4).select("source", "theme", "evidence_count", "first_id", F.array_join("_first", ";").alias("ids"))
-
-
 @query(_T + """SELECT theme, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'es') AS es FROM h JOIN documents d ON h.doc_id = d.doc_id WHERE admitted GROUP BY theme""")
 def theme_matrix(spark, sf):
     langs = ["en", "de", "fr", "es"]
@@ -275,12 +263,3 @@ def export_with_status(spark, sf):
 
 _REVIEW = r"""WITH r AS (SELECT conv_id, turn, regexp_matches(text, '(^|\s)the(\s|$)') AS a, regexp_matches(text, '(^|\s)and(\s|$)') AS b FROM conversations WHERE length(text) >= 40), t AS (SELECT conv_id, count(*) FILTER (a OR b) AS reviews, CAST(bool_or(a) AS INT) + CAST(bool_or(b) AS INT) AS terms FROM r GROUP BY conv_id)
 SELECT conv_id, reviews, terms, reviews >= 2 OR terms >= 2 AS admitted FROM t WHERE reviews > 0"""
-
-
-@query(_REVIEW)
-def review_theme_admission(spark, sf):
-    """A theme counts if two reviews or two different terms show it; reviews under 40 characters say nothing."""
-    rows = read_table(spark, sf, "conversations").where(F.length("text") >= 40)
-    hit = [F.col("text").rlike(rf"(^|\s){w}(\s|$)") for w in ("the", "and")]
-    g = rows.groupBy("conv_id").agg(F.count_if(hit[0] | hit[1]).alias("reviews"), sum(F.coalesce(F.bool_or(h), F.lit(False)).cast("int") for h in hit).alias("terms"))
-    return g.where("reviews > 0").withColumn("admitted", (F.col("reviews") >= 2) | (F.col("terms") >= 2))
