@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 from ..functions import markup as M
 from ..functions import text as T
 from ..sources import feeds
+from ..sources.tables import read_table
 from .planted import planted, quoted
-from .standin import standin
 
 QUERIES, SQL = {}, {}
 
 
+def pages(spark, sf) -> None:
+    read_table(spark, sf, "pages").createOrReplaceTempView("pages")
+
+
 def query(sql: str):
     def add(f):
         QUERIES[f.__name__], SQL[f.__name__] = f, sql
@@ -64,7 +68,7 @@ a AS (SELECT k, regexp_replace(regexp_replace(regexp_replace(text, '(?is)<(scrip
 b AS (SELECT k, trim(regexp_replace({unescape_sql('h')}, '\s+', ' ', 'g')) AS v FROM a, e) SELECT k AS page_id, length(v) AS n_chars, md5(v) AS digest FROM b""")
 def html_visible_text(spark, sf):
     """The text of each page, with references of every kind set into it."""
-    standin(spark, sf)
+    pages(spark, sf)
     v = spark.sql(planted(REFERENCES, **_PAGES)).select("k", T.visible_text(F.col("text")).alias("v"))
     return v.select(F.col("k").alias("page_id"), F.length("v").cast("long").alias("n_chars"), F.md5("v").alias("digest"))
 
@@ -80,7 +84,7 @@ r AS (SELECT page_id, CAST(unnest(range(len(l))) AS INT) AS no, unnest(l) AS lin
 SELECT page_id, no, length(line) AS n_chars, length(line) >= 110 OR (length(line) >= 45 AND regexp_matches(line, '[.!?]$')) AS is_prose FROM r""")
 def page_block_lines(spark, sf):
     """The text of each block of each page, in order, and whether it reads as prose."""
-    standin(spark, sf)
+    pages(spark, sf)
     lines = spark.sql(planted(REFERENCES, **_PAGES)).select(F.col("k").alias("page_id"), F.posexplode(T.block_lines(F.col("text"))).alias("no", "line"))
     prose = (F.length("line") >= 110) | ((F.length("line") >= 45) & F.col("line").rlike(r"[.!?]$"))
     return lines.select("page_id", "no", F.length("line").alias("n_chars"), prose.alias("is_prose"))
@@ -96,27 +100,30 @@ w AS (SELECT *, list_reduce(list_prepend('', string_split(full_path, '/')[2:]),
 r AS (SELECT k, place, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href ^@ '//' THEN scheme || ':' || href WHEN href = '' THEN bare WHEN href ^@ '#' THEN bare || href
       WHEN href ^@ '?' THEN page || href ELSE site || walked || tail END AS link FROM w)"""
 _ANCHORED = planted(ANCHORS, more=", url", **_PAGES)
-_LINKS = f"WITH {_NAMES}, p AS ({_ANCHORED}), " + _RESOLVED.replace("{href}", unescape_sql("raw"))
-
+_HREFS = f"WITH {_NAMES}, p AS (SELECT page_id AS k, url, html AS text FROM pages), " + _RESOLVED[: _RESOLVED.index(",\nq AS (")].replace("{href}", unescape_sql("raw"))
 
-def _links(spark, sf):
-    standin(spark, sf)
-    return spark.sql(_ANCHORED).select(F.col("k").alias("page_id"), M.links(F.col("text"), F.col("url")).alias("l"))
 
-
-@query(_LINKS + """, c AS (SELECT k, count(*) AS n_links, count(DISTINCT link) AS n_distinct FROM r GROUP BY k), a AS (SELECT p.k AS page_id, coalesce(n_links, 0) AS n_links, coalesce(n_distinct, 0) AS n_distinct FROM p LEFT JOIN c USING (k))
+@query(_HREFS + """, c AS (SELECT k, count(*) AS n_links, count(DISTINCT href) AS n_distinct FROM u GROUP BY k), a AS (SELECT p.k AS page_id, coalesce(n_links, 0) AS n_links, coalesce(n_distinct, 0) AS n_distinct FROM p LEFT JOIN c USING (k))
 SELECT *, count(*) OVER (PARTITION BY n_links) AS pages_alike FROM a""")
 def page_links(spark, sf):
     """How many links each page has, how many different ones, and how many pages have as many. The links themselves are page_link_rows."""
-    rows = _links(spark, sf).select("page_id", F.size("l").cast("long").alias("n_links"), F.size(F.array_distinct("l")).cast("long").alias("n_distinct"))
+    rows = read_table(spark, sf, "pages").select("page_id", M.hrefs(F.col("html")).alias("l")).select("page_id", F.size("l").cast("long").alias("n_links"), F.size(F.array_distinct("l")).cast("long").alias("n_distinct"))
     alike = rows.groupBy("n_links").agg(F.count("*").alias("pages_alike"))
     return rows.join(alike, "n_links").select("page_id", "n_links", "n_distinct", "pages_alike")
 
 
-@query(_LINKS + " SELECT k AS page_id, place, link FROM r")
+@query(_HREFS + " SELECT k AS page_id, place, href AS link FROM u")
 def page_link_rows(spark, sf):
-    """A row for each link of each page, in order, as the page sees it; pages without links have none."""
-    return _links(spark, sf).select("page_id", F.posexplode("l").alias("place", "link")).withColumn("place", F.col("place").cast("long"))
+    """A row for each link of each page, in order, as the page states it; pages without links have none."""
+    return read_table(spark, sf, "pages").select("page_id", F.posexplode(M.hrefs(F.col("html"))).alias("place", "link")).withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"WITH {_NAMES}, p AS ({_ANCHORED}), " + _RESOLVED.replace("{href}", unescape_sql("raw")) + " SELECT k AS page_id, place, link FROM r")
+def resolved_links(spark, sf):
+    """A row for each link of each page, in order, where it leads from there: anchors of every form are set into the pages."""
+    pages(spark, sf)
+    found = spark.sql(_ANCHORED).select(F.col("k").alias("page_id"), M.links(F.col("text"), F.col("url")).alias("l"))
+    return found.select("page_id", F.posexplode("l").alias("place", "link")).withColumn("place", F.col("place").cast("long"))
 
 
 @query(rf"""WITH RECURSIVE p AS ({planted(BOXES, **_PAGES)}),
@@ -135,7 +142,7 @@ h AS (SELECT t.k, string_agg(CASE WHEN n.inside THEN '' ELSE t.txt END || CASE W
 SELECT h.k AS page_id, (SELECT count(*) FROM g WHERE g.k = h.k AND g.i >= 0) AS removed, length(h.html) AS n_chars, md5(h.html) AS digest FROM h""")
 def consent_boxes(spark, sf):
     """Pages without their consent boxes, nested ones included: what each box holds goes with it, wrappers of the page stay."""
-    standin(spark, sf)
+    pages(spark, sf)
     r = spark.sql(planted(BOXES, **_PAGES)).select("k", M.remove_elements(F.col("text")).alias("r"))
     return r.select(F.col("k").alias("page_id"), F.col("r.removed").cast("long").alias("removed"), F.length("r.html").cast("long").alias("n_chars"), F.md5("r.html").alias("digest"))
 
@@ -162,7 +169,7 @@ f AS (SELECT *, count(*) OVER (PARTITION BY k) AS n, count(*) FILTER (regexp_mat
 SELECT k AS page_id, title, link AS url, left(string_split(link, '/')[-1], 40) AS job_id FROM f WHERE n >= 3 AND q * 2 >= n""".replace("s AS (SELECT *, CASE WHEN path", "z AS (SELECT *, CASE WHEN path").replace("AS walked FROM s)", "AS walked FROM z)"))
 def inline_postings(spark, sf):
     """The postings that pages list themselves; a page with fewer than three, or with titles that name no place or level, is navigation."""
-    standin(spark, sf)
+    pages(spark, sf)
     jobs = spark.sql(_LISTED).select("k", F.explode(feeds.inline_jobs(F.col("text"), F.col("url"))).alias("j"))
     return jobs.select(F.col("k").alias("page_id"), "j.title", "j.url", "j.job_id")
 
@@ -173,7 +180,7 @@ t AS (SELECT k, i, string_split(link, '?')[1] AS url, job_id, trim(regexp_replac
 SELECT k AS page_id, title, url, job_id FROM t WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY k, job_id ORDER BY i) = 1""")
 def results_page_postings(spark, sf):
     """The postings of pages of results, one for each number, under their own titles."""
-    standin(spark, sf)
+    pages(spark, sf)
     jobs = spark.sql(_LISTED).select("k", F.explode(feeds.icims_jobs(F.col("text"))).alias("j"))
     return jobs.select(F.col("k").alias("page_id"), "j.title", "j.url", "j.job_id")
 
@@ -189,5 +196,5 @@ UNION ALL SELECT page_id, 'paylocity', 'Shift Lead - Nights', '', '', 'https://r
 UNION ALL SELECT page_id, 'adp', concat('Clerk ', page_id), 'Reno', '2024-05-06', CAST(page_id AS VARCHAR), CAST(page_id AS VARCHAR), page_id > 40 FROM pages WHERE page_id % 2 = 1 UNION ALL SELECT page_id, 'adp', 'Lead', '', '', '5', '5', page_id > 40 FROM pages WHERE page_id % 2 = 1""")
 def linked_postings(spark, sf):
     """Postings behind links of a careers page, those that are gone left out, and those of a paged list, marked where more exist than were read."""
-    standin(spark, sf)
+    pages(spark, sf)
     return feeds.postings(spark.sql(_ARCHIVES), 40).drop("place")

@@ -317,6 +317,6 @@ def pipeline_local_records(rows):
     warn = names.where(N.starts_with_name(N.clean_site(F.col("company"), tuple(T.STATE_CODES), facility=True), F.array("w"))).groupBy("k").agg(F.count("*").alias("warn"))
     permit = F.split(F.get("p", F.lit(1)), r"\|")
     contractor = N.starts_with_name(F.get(permit, F.lit(0)), F.array("w")) & F.contains(F.coalesce(F.get(permit, F.lit(1)), F.lit("")), F.lit("CONTRACTOR"))
-    system = F.coalesce(feeds.applicant_system(F.get("p", F.lit(2))), F.lit("none"))
+    system = F.coalesce(feeds.applicant_system(F.get("p", F.lit(2)))["system"], F.lit("none"))
     out = parts.join(warn, "k", "left")
     return out.select("k", F.format_string("council 0, permits %d as contractor, stack %s, warn %d", contractor.cast("int"), system, F.coalesce("warn", F.lit(0))).alias("claim"))
