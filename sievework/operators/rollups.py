@@ -161,25 +161,29 @@ def first_variant(results: DataFrame, by: str, order: str) -> DataFrame:
     return g.select(by, F.col("won.variant").alias("variant"), F.col("won.hits").alias("hits"), "tried", outcome.alias("outcome"))
 
 
-def allocate_with_floor(spark, sizes: dict[str, int], total: int, floor: int) -> DataFrame:
-    """(key, n, allotted): proportional allotment by largest remainders, where no stratum gets less than the floor (or all it has).
+def allocate_with_floor(sizes: DataFrame, total: int, floor: int) -> DataFrame:
+    """(key, n, allotted): proportional allotment by largest remainders, where no stratum gets less than the floor (or all it has). Sizes have (key, n).
 
-    Strata that fall short are set to the floor and the rest is dealt anew, until none does; a few strata, so the rounds run here.
+    Strata that fall short are set to the floor and the rest is dealt anew, until none does: a fold over the strata in one row, as many rounds at most as there are strata. A stratum is
+    one number, so this is no more than the strata themselves, whatever stands behind them. Ties of remainders go by key, and none gets more than it has.
     """
-    fixed: dict[str, int] = {}
-    while True:
-        rest = {k: v for k, v in sizes.items() if k not in fixed}
-        room, whole = total - sum(fixed.values()), sum(rest.values())
-        dealt = {k: min(v, v * room // whole) if whole and room > 0 else 0 for k, v in rest.items()}
-        turn = sorted(rest, key=lambda k: (-((rest[k] * room) % whole) if whole else 0, k))
-        while turn and sum(dealt.values()) < min(room, whole):
-            for k in turn:
-                if dealt[k] < rest[k] and sum(dealt.values()) < min(room, whole):
-                    dealt[k] += 1
-        short = {k: min(floor, sizes[k]) for k in rest if dealt[k] < min(floor, sizes[k])}
-        if not short:
-            return spark.createDataFrame([(k, n, (fixed | dealt)[k]) for k, n in sizes.items()], "key string, n long, allotted long")
-        fixed |= short
+    give = f"least(x.n, CAST({floor} AS BIGINT))"
+    open_, room = "filter(s, x -> x.fixed < 0)", f"(CAST({total} AS BIGINT) - aggregate(s, 0L, (a, x) -> a + greatest(x.fixed, 0L)))"
+    whole = f"aggregate({open_}, 0L, (a, x) -> a + x.n)"
+    # What is left after whole shares goes to the largest remainders: a stratum's turn is the number of those before it.
+    share = "CASE WHEN r.room <= 0 OR r.whole = 0 THEN 0L ELSE least(x.n, x.n * r.room DIV r.whole) END"
+    rest = "CASE WHEN r.whole = 0 THEN 0L ELSE x.n * greatest(r.room, 0L) % r.whole END"
+    dealt = f"""transform(r.open, x -> named_struct('key', x.key, 'n', x.n, 'share', {share}, 'rest', {rest}))"""
+    more = "greatest(least(r.room, r.whole), 0L) - aggregate(d, 0L, (a, y) -> a + y.share)"
+    turn = "size(filter(d, z -> z.share < z.n AND (z.rest > y.rest OR z.rest = y.rest AND z.key < y.key)))"
+    one = f"""transform(array(named_struct('open', {open_}, 'room', {room}, 'whole', {whole})), r -> transform(array({dealt}), d ->
+        transform(d, y -> named_struct('key', y.key, 'n', y.n, 'own', y.share + IF(y.share < y.n AND {turn} < {more}, 1L, 0L))))[0])[0]"""
+    short = f"map_from_entries(transform(filter({one}, y -> y.own < least(y.n, CAST({floor} AS BIGINT))), y -> struct(y.key, y.own)))"
+    step = f"transform(array({short}), m -> transform(s, x -> named_struct('key', x.key, 'n', x.n, 'fixed', IF(x.fixed < 0 AND map_contains_key(m, x.key), {give}, x.fixed))))[0]"
+    strata = sizes.agg(F.array_sort(F.collect_list(F.struct(F.col("key").cast("string").alias("key"), F.col("n").cast("long").alias("n"), F.lit(-1).cast("long").alias("fixed")))).alias("s"))
+    settled = strata.withColumn("s", F.expr(f"aggregate(sequence(1, greatest(size(s), 1)), s, (s, i) -> {step})"))
+    last = settled.select("s", F.expr(f"map_from_entries(transform({one}, y -> struct(y.key, y.own)))").alias("m"))
+    return last.select(F.explode("s").alias("x"), "m").select("x.key", "x.n", F.expr("IF(x.fixed >= 0, x.fixed, element_at(m, x.key))").alias("allotted"))
 
 
 def clean_text(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import week_id
+from ..functions.dates import week_id, week_start
 
 #: Ranks of retrospective reach, classes that license an absence, days in five years.
 REACH_RANK = {"current_only": 0, "bounded": 1, "archival": 2}
@@ -58,3 +58,12 @@ def state_history(companies: DataFrame, themes: DataFrame, buckets: DataFrame, a
     status = F.when(F.col("reason") == "observed", "observed").when(F.col("reason").startswith("absence_licensed"), "absent").otherwise("null")
     seen_only = lambda c: F.when(F.col("reason") == "observed", F.col(c))
     return out.select("company_id", "theme", "bucket_id", status.alias("status"), "reason", seen_only("state").alias("state"), F.coalesce(seen_only("evidence"), F.lit(0)).alias("evidence_count"), seen_only("lowest_grade").alias("lowest_grade"))
+
+
+def weeks_between(days: DataFrame, day: str) -> DataFrame:
+    """(bucket_id, bucket_start, bucket_end, n): every week from that of the first day to that of the last, with its number of rows; weeks without any have 0."""
+    counts = days.groupBy(week_start(F.col(day)).alias("bucket_start")).agg(F.count("*").alias("n"))
+    first = counts.agg(F.min("bucket_start").alias("a"), F.max("bucket_start").alias("b")).where("a IS NOT NULL")
+    weeks = first.select(F.explode(F.expr("sequence(a, b, INTERVAL 7 DAYS)")).alias("bucket_start"))
+    out = weeks.join(counts, "bucket_start", "left")
+    return out.select(week_id(F.col("bucket_start")).alias("bucket_id"), "bucket_start", F.date_add("bucket_start", 6).alias("bucket_end"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -167,10 +167,15 @@ def name_tokens(spark, sf):
     return read_table(spark, sf, "part").select("p_partkey", F.array_join(T.name_tokens(full), " ").alias("tokens"), F.upper(T.strip_legal_suffix(full)).alias("stripped"))
 
 
-@query("SELECT * FROM (VALUES ('OH', 'OH'), ('Chicago, IL', 'IL'), ('Salt Lake City, UT', 'UT'), ('Foreign Nation', ''), ('XX', ''), ('Texas', 'TX')) t(place, state)")
+_STATED = (("OH", "OH"), ("Chicago, IL", "IL"), ("Salt Lake City, UT", "UT"), ("Foreign Nation", ""), ("XX", ""), ("Texas", "TX"))
+
+
+@query(f"SELECT place, state, count(*) AS suppliers FROM supplier JOIN (VALUES {', '.join(str((k, *v)) for k, v in enumerate(_STATED))}) t(k, place, state) ON s_suppkey % {len(_STATED)} = k GROUP BY place, state")
 def state_code_parse(spark, sf):
-    places = spark.createDataFrame([(x,) for x in ("OH", "Chicago, IL", "Salt Lake City, UT", "Foreign Nation", "XX", "Texas")], "place string")
-    return places.select("place", T.state_code(F.col("place")).alias("state"))
+    """Suppliers by the place that each states, and the state it is read as."""
+    place = F.get(F.array(*[F.lit(p) for p, _ in _STATED]), (F.col("s_suppkey") % len(_STATED)).cast("int"))
+    rows = read_table(spark, sf, "supplier").select(place.alias("place"))
+    return rows.groupBy("place", T.state_code(F.col("place")).alias("state")).agg(F.count("*").alias("suppliers"))
 
 
 #: Forms of a place and the state that each names.

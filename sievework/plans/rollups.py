@@ -154,8 +154,8 @@ f AS (SELECT *, n * room // whole AS f, (n * room) % whole AS rest FROM r), d AS
 SELECT key, n, CAST(allotted AS BIGINT) AS allotted FROM d UNION ALL SELECT g.key, g.n, CAST(give AS BIGINT) FROM low JOIN g USING (key)""")
 def allocation_with_floor(spark, sf):
     standin(spark, sf)
-    sizes = spark.table("orders").groupBy(F.when(F.col("o_totalprice") > 470000, "rare").otherwise(F.col("o_orderpriority")).alias("key")).count()
-    return R.allocate_with_floor(spark, {r.key: r["count"] for r in sizes.orderBy("key").collect()}, 40, 6)
+    sizes = spark.table("orders").groupBy(F.when(F.col("o_totalprice") > 470000, "rare").otherwise(F.col("o_orderpriority")).alias("key")).agg(F.count("*").alias("n"))
+    return R.allocate_with_floor(sizes, 40, 6)
 
 
 @query(r"""SELECT c_custkey, concat('a?b', chr(10), 'c?', c_custkey) AS text FROM customer""")

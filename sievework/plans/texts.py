@@ -131,9 +131,12 @@ def robots_longest_rule(spark, sf):
     return read_table(spark, sf, "pages").select("page_id", F.coalesce(*[F.when(path.startswith(p), F.lit(b)) for p, b in rules], F.lit(False)).alias("blocked"))
 
 
-@query("""SELECT strftime(d, '%G-W%V') AS bucket_id, CAST(d AS DATE) AS bucket_start, CAST(d + INTERVAL 6 DAY AS DATE) AS bucket_end FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 7 DAY) g(d)""")
+@query("""WITH e AS (SELECT CAST(ts AS DATE) AS d FROM events), r AS (SELECT min(d) AS a, max(d) AS b FROM e), w AS (SELECT CAST(unnest(generate_series(CAST(date_trunc('week', a) AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 7 DAY)) AS DATE) AS s FROM r)
+SELECT strftime(s, '%G-W%V') AS bucket_id, s AS bucket_start, s + 6 AS bucket_end, (SELECT count(*) FROM e WHERE e.d BETWEEN w.s AND w.s + 6) AS events FROM w""")
 def week_buckets(spark, sf):
-    return temporal.week_buckets(spark, "2024-01-03", "2024-01-30")
+    """Every week between the first event and the last, whether or not it has events."""
+    days = read_table(spark, sf, "events").select(F.to_date("ts").alias("day"))
+    return temporal.weeks_between(days, "day").withColumnRenamed("n", "events")
 
 
 _INSTRUMENTS = [("covered", "stems_the", "IC4", False, "archival", 12, "2024-01-01"), ("absent_confirmed", "stems_der", "IC4", False, "bounded", 1, "2024-01-01"), ("partial", "stems_der", "IC3", True, "current_only", 0, "2024-01-08"), ("absent_confirmed", "stems_que", "IC3", False, "current_only", 0, "2024-01-01")]

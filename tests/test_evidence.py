@@ -253,3 +253,32 @@ def test_page_links_are_rows(spark, tmp_path):
     spark.createDataFrame([(1, "http://h/1", html), (2, "http://h/2", "<p>none</p>"), (3, "http://h/3", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     out = entry.queries()["page_link_rows"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in out) == [(1, 0, "/one"), (1, 1, "http://h/two")]
+
+
+def dealt(sizes, total, floor):
+    """Proportional shares by largest remainders; whoever falls short of the floor gets it, and the rest is dealt anew."""
+    fixed = {}
+    while True:
+        rest = {k: v for k, v in sizes.items() if k not in fixed}
+        room, whole = max(0, total - sum(fixed.values())), sum(rest.values())
+        got = {k: min(v, v * room // whole) if whole else 0 for k, v in rest.items()}
+        for k in sorted(rest, key=lambda k: (-(rest[k] * room % whole) if whole else 0, k)):
+            if got[k] < rest[k] and sum(got.values()) < min(room, whole):
+                got[k] += 1
+        short = {k: min(floor, sizes[k]) for k in rest if got[k] < min(floor, sizes[k])}
+        if not short:
+            return fixed | got
+        fixed |= short
+
+
+def test_allocation_with_floor(spark):
+    import random
+
+    from sievework.operators import rollups
+
+    rng = random.Random(9)
+    for sizes in [{f"k{i}": rng.choice([1, 2, 5, 30, 400]) for i in range(rng.randint(1, 7))} for _ in range(8)] + [{"a": 3}]:
+        total, floor = rng.choice([1, 10, 40, 10_000]), rng.choice([0, 3, 12])
+        out = rollups.allocate_with_floor(spark.createDataFrame(list(sizes.items()), "key string, n long"), total, floor).collect()
+        assert {r.key: r.allotted for r in out} == dealt(sizes, total, floor), (sizes, total, floor)
+    assert rollups.allocate_with_floor(spark.createDataFrame([], "key string, n long"), 5, 1).count() == 0
