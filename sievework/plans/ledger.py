@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import json_tree
-from ..operators import audit, migrations
+from ..operators import audit, merge, migrations
 from ..operators import passages as O
 from ..sources import sheets
 from ..sources import versions as V
-from ..sources.tables import read_table
+from ..sources.tables import read_export, read_table, write_export
 from .planted import planted, quoted
 from .standin import ctes, standin
 
@@ -185,3 +185,25 @@ def speakers(spark, sf):
     standin(spark, sf)
     found = spark.sql(planted(ARTICLES, ". ")).select("k", F.explode(O.speakers(F.col("text"), F.concat("w", F.lit(" Works Inc")))).alias("s"))
     return found.groupBy("k", "s.name", "s.title", "s.shape", "s.refused").agg(F.count("*").alias("n"))
+
+
+_EXPORTED = "SELECT c_custkey AS id, c_name AS name, CASE c_custkey % 4 WHEN 0 THEN concat('He said \"no, ', c_custkey, '\"') WHEN 1 THEN 'é, ü' WHEN 2 THEN NULL ELSE 'plain' END AS note FROM customer"
+
+
+@query(_EXPORTED)
+def export_roundtrip(spark, sf):
+    """All customers written as an export for spreadsheets and read back: quotes, commas, accents and missing notes as they were."""
+    standin(spark, sf)
+    path = V.shared_folder(spark)
+    write_export(spark.sql(_EXPORTED), path)
+    return read_export(spark, path, "id long, name string, note string")
+
+
+_REVIEWED = """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'Human' WHEN 1 THEN 'machine' WHEN 2 THEN NULL ELSE 'none' END AS review_source, CASE o_orderkey % 7 WHEN 0 THEN 'accepted' WHEN 1 THEN 'corrected' WHEN 2 THEN 'Rejected' WHEN 3 THEN NULL ELSE 'unreviewed' END AS review_status FROM orders"""
+
+
+@query(f"SELECT id, coalesce(lower(review_source) = 'human', false) OR coalesce(review_status IN ('accepted', 'corrected', 'rejected'), false) AS human FROM ({_REVIEWED})")
+def human_rows(spark, sf):
+    """Rows that a person has judged, by their source or by a status that only a person sets; a merge leaves these alone."""
+    standin(spark, sf)
+    return spark.sql(_REVIEWED).select("id", merge.human_authored(F.col("review_source"), F.col("review_status")).alias("human"))
