@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import dates as D
 from sievework.functions import text as T
+from sievework.functions import passages as P
 from sievework.functions.scores import overlap_score, version_order
 from sievework.functions.themes import classify
 from sievework.operators import audit, coverage, integrity, merge, resolution, sequences, temporal
@@ -282,3 +283,14 @@ def test_allocation_with_floor(spark):
         out = rollups.allocate_with_floor(spark.createDataFrame(list(sizes.items()), "key string, n long"), total, floor).collect()
         assert {r.key: r.allotted for r in out} == dealt(sizes, total, floor), (sizes, total, floor)
     assert rollups.allocate_with_floor(spark.createDataFrame([], "key string, n long"), 5, 1).count() == 0
+
+
+def test_names_behind_accents(spark):
+    """A capital with an accent is no part of a name's word: the other engine's edges know ASCII only."""
+    import duckdb
+
+    texts = ["\u00c9OII\nAcme Inc, Beta Corp", "CI\u00d3NASC\nAcme Inc", "Acme Co.X and Acme Co. x", "Acme LLC\u00e9", "xAcme LLC, Acme\x0bInc", "_Acme Group, Acme Groups"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(P.organisations(F.col("t")).alias("o")).collect()
+    for text, row in zip(texts, rows, strict=True):
+        named = duckdb.execute("SELECT regexp_extract_all(?, ?)", [text, P.ORGANISATION]).fetchone()[0]
+        assert sorted(row.o) == sorted({" ".join(n.split()).strip(" .,").lower() for n in named if len(n) >= 6})
