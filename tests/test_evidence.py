@@ -294,3 +294,25 @@ def test_names_behind_accents(spark):
     for text, row in zip(texts, rows, strict=True):
         named = duckdb.execute("SELECT regexp_extract_all(?, ?)", [text, P.ORGANISATION]).fetchone()[0]
         assert sorted(row.o) == sorted({" ".join(n.split()).strip(" .,").lower() for n in named if len(n) >= 6})
+
+
+def test_terms_by_their_required_runs(spark):
+    """What a term requires is in lower case in every match, and themes are told as if each term was searched for."""
+    import re
+
+    from sievework.functions.themes import THEMES, required
+    from sievework.plans.signals import REMARKS
+
+    patterns = [p for t in (*THEMES, *P.BUYER_VOICE) for p in (*t.specific, *t.generic, *t.exclusions)]
+    found = [(p, m.group(0)) for p in patterns for r in (*REMARKS, " ".join(REMARKS).upper()) for m in re.finditer(p, r, re.IGNORECASE)]
+    assert len(found) > 50 and all(required(p) in m.lower() for p, m in found)
+    assert [required(p) for p in (r"\bWMS\b", r"labo(u)?r (a|b)", r"fulfil?ment", r"a{0,2}bc", "this|that", r"S/4\s?HANA", r"\d+x")] == ["wms", "labo", "fulfi", "bc", "", "hana", "x"]
+    rows = spark.createDataFrame([(r,) for r in (*REMARKS, *map(str.upper, REMARKS), "Post-Merger Integration of an API", "")], "t string")
+    for row in rows.select("t", classify(F.col("t")).alias("c")).collect():
+        told = {x.theme: x.hits for x in row.c}
+        for t in THEMES:
+            own = row.t
+            for p in t.exclusions:
+                own = re.sub(p, " ", own, flags=re.IGNORECASE)
+            hits = [m.group(0) for p in (*t.specific, *t.generic) if (m := re.search(p, own, re.IGNORECASE))]
+            assert told.get(t.key, []) == hits
