@@ -316,3 +316,14 @@ def test_terms_by_their_required_runs(spark):
                 own = re.sub(p, " ", own, flags=re.IGNORECASE)
             hits = [m.group(0) for p in (*t.specific, *t.generic) if (m := re.search(p, own, re.IGNORECASE))]
             assert told.get(t.key, []) == hits
+
+
+def test_customers_are_dealt_over_tasks(spark):
+    """A table of one file and row group is not one task's work."""
+    from sievework.plans.articles import words, worked_out
+    from sievework.plans.standin import standin
+
+    standin(spark, "/root/testdata/sf0.001")
+    assert words(spark).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = worked_out(words(spark), x=F.upper("w")).where("x > 'A' AND length(x) > 2").select("k", "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(") == 1
