@@ -100,6 +100,8 @@ _LINKS = """SELECT c_custkey AS page, 'x.com' AS host, concat('http', CASE WHEN
 def ranked_links(spark, sf):
     """Own pages that may name leaders, the best first."""
     standin(spark, sf)
+    # Customers are dealt over several tasks a core before they have links, as one small file may hold them all and what is asked of links would be asked there.
+    spark.table("customer").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey").createOrReplaceTempView("customer")
     return R.leadership_links(spark.sql(_LINKS), "page").select("page", "url", "score", "rank")
 
 
