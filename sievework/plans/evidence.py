@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.scores import rate
 from ..operators import coverage, integrity, merge, resolution, sequences
-from ..sources.tables import known_rows, read_table, table_counts, vocabulary
+from ..sources.tables import dealt, known_rows, read_table, table_counts, vocabulary
 
 QUERIES, SQL = {}, {}
 
@@ -89,12 +89,13 @@ def natural_key_fingerprint(spark, sf):
 
 
 def _merge_inputs(spark, sf):
-    orders = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"), F.col("o_totalprice").alias("t"))
+    # Dealt once by their key: the proposals of an order, and what is stored of it, are judged and merged where it stands.
+    orders = dealt(read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"), F.col("o_totalprice").alias("t")), "k")
     existing = orders.where("t < 400000").select("k", "p", (F.col("s") == "F").alias("is_human"), (F.col("t") < 20000).alias("is_invalid"))
-    first = orders.where("t > 10000").select("k", F.when(F.col("t") % 2 < 1, F.concat("p", F.lit(" revised"))).otherwise(F.col("p")).alias("p"), F.lit(1).alias("turn"))
-    again = orders.where("t > 350000").select("k", F.concat("p", F.lit(" again")).alias("p"), F.lit(2).alias("turn"))
-    back = orders.where("t > 370000").select("k", "p", F.lit(3).alias("turn"))
-    return existing, first.unionByName(again).unionByName(back)
+    turn = lambda n, holds, p: F.when(holds, F.struct(p.alias("p"), F.lit(n).alias("turn")))
+    p, t = F.col("p"), F.col("t")
+    first = turn(1, t > 10000, F.when(t % 2 < 1, F.concat(p, F.lit(" revised"))).otherwise(p))
+    return existing, orders.select("k", F.inline(F.array(first, turn(2, t > 350000, F.concat(p, F.lit(" again"))), turn(3, t > 370000, p)))).where("turn IS NOT NULL")
 
 
 _MERGE = """WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p, o_totalprice AS t FROM orders),
