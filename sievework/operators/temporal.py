@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import week_id, week_start
+from ..sources.tables import dealt
 
 #: Ranks of retrospective reach, classes that license an absence, days in five years.
 REACH_RANK = {"current_only": 0, "bounded": 1, "archival": 2}
@@ -33,17 +34,20 @@ def state_history(companies: DataFrame, themes: DataFrame, buckets: DataFrame, a
     attempts (company_id, signal, outcome, seen), observations (observation_id, company_id, theme, published, seen,
     reach, months, effective, state, grade, confidence, valid); without a publication date the day it was read counts, and
     the source's reach at that day must cover the bucket. Attempts are spread over the buckets they reach, then joined on equal keys.
+    Rows are dealt before they are spread, so that a task has a bounded number of them, and combine by cell before the shuffle, so a company with many is no hot key.
     """
     cube = companies.select("company_id").crossJoin(themes).crossJoin(buckets)
-    tried = attempts.join(instruments, "signal").crossJoin(F.broadcast(buckets))
+    tried = dealt(attempts, "company_id", "signal", "seen").join(F.broadcast(instruments), "signal").crossJoin(F.broadcast(buckets))
     tried = tried.where(reach_covers(F.col("reach"), F.col("seen"), F.col("bucket_start"), F.col("bucket_end"), F.col("months"), F.col("effective")))
+    # As a place among the classes: a number combines in a hash table, a text would be sorted for.
+    classes = F.array(*map(F.lit, sorted(ABSENCE_CLASSES)))
     licence = (F.col("outcome") == "absent_confirmed") & F.col("instrument_class").isin(*ABSENCE_CLASSES) & ~F.col("presence_only")
     reached = tried.groupBy("company_id", "theme", "bucket_id").agg(
         F.count_distinct("signal").alias("covering"),
-        F.max(F.when(licence, F.col("instrument_class"))).alias("licence"),
+        F.get(classes, F.max(F.when(licence, F.array_position(classes, F.col("instrument_class")).cast("int"))) - 1).alias("licence"),
         F.min(F.create_map(*[F.lit(x) for kv in REACH_RANK.items() for x in kv])[F.col("reach")]).alias("rank"),
     )
-    seen = observations.where("valid").withColumn("published", F.coalesce("published", "seen")).crossJoin(F.broadcast(buckets)).where("published <= bucket_end").where(F.datediff("bucket_end", "published") <= STALE_DAYS)
+    seen = dealt(observations.where("valid"), "observation_id").withColumn("published", F.coalesce("published", "seen")).crossJoin(F.broadcast(buckets)).where("published <= bucket_end").where(F.datediff("bucket_end", "published") <= STALE_DAYS)
     seen = seen.where(reach_covers(F.col("reach"), F.col("seen"), F.col("bucket_start"), F.col("bucket_end"), F.col("months"), F.col("effective")))
     found = seen.groupBy("company_id", "theme", "bucket_id").agg(F.count("*").alias("evidence"), F.max_by("state", F.struct("confidence", "published", "observation_id")).alias("state"), F.max(F.coalesce("grade", F.lit("C"))).alias("lowest_grade"))
     cells = cube.join(reached, ["company_id", "theme", "bucket_id"], "left").join(found, ["company_id", "theme", "bucket_id"], "left")
