@@ -7,15 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import dealt
+
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str, name: str) -> DataFrame:
     """Child rows whose reference is not blank and has no parent."""
-    lost = child.where(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias(key)).distinct(), key, "left_anti")
+    # Not as an anti join, which would be moved ahead of the dealing.
+    rows = dealt(child.where(F.col(key).isNotNull()).select(key), key)
+    lost = rows.join(parent.select(F.col(parent_key).alias(key), F.lit(True).alias("_there")), key, "left").where("_there IS NULL")
     return lost.select(F.lit(name).alias("check"), F.col(key).cast("string").alias("subject"))
 
 
 def duplicates(rows: DataFrame, key: list[str], name: str) -> DataFrame:
-    return rows.groupBy(*key).count().where("count > 1").select(F.lit(name).alias("check"), F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("subject"))
+    return dealt(rows.select(*key), *key).groupBy(*key).count().where("count > 1").select(F.lit(name).alias("check"), F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("subject"))
 
 
 def outside_vocabulary(rows: DataFrame, column: str, allowed: DataFrame, name: str) -> DataFrame:
