@@ -137,45 +137,55 @@ def company_pattern(name: Column) -> Column:
     return F.when(F.size(core) > 0, F.concat(F.lit("(?i:"), alone, F.lit(")")))
 
 
+def _once(value: Column, use) -> Column:
+    """`use` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def speakers(text: Column, company: Column) -> Column:
     """Array of (name, title, shape, refused) of the people that a text asserts to be officers of the company; `refused` says why another is not, and is blank for them.
 
     Each shape is read through the text with its place: somebody quoted near the name for another body (an analyst, counsel, an institute) refuses it, and where the shape says only "the firm's",
     the company's own name must stand near. A person's first mention counts, shapes in their order; at most six are kept.
     """
-    known = company_pattern(company)
     mark = lambda s: F.replace(F.replace(s, F.lit("\x01"), F.lit("")), F.lit("\x02"), F.lit(""))
+    none = F.array().cast("array<struct<name:string,title:string,shape:string,refused:string>>")
 
-    def of(shape, rx, name_first, inside):
+    def of(known, shape, rx, name_first, inside):
         pattern = F.concat(*[F.lit(p) if p != "{company}" else known for p in _cut(rx.format(person=PERSON, title=PROSE_TITLE, company="{company}"))])
-        parts = F.split(F.regexp_replace(text, F.concat(F.lit("("), pattern, F.lit(")")), F.lit("\x01$1\x02")), "\x01")
-        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: i < F.size(parts))
-
-        def one(i):
-            whole = F.substring_index(F.get(parts, i), "\x02", 1)
-            before = mark(F.array_join(F.slice(parts, 1, i), ""))
-            behind = mark(F.concat(F.substring(F.get(parts, i), F.length(whole) + 1, 10_000_000), F.array_join(F.slice(parts, i + 2, F.size(parts)), "")))
-            around = lambda n: F.concat(F.substring(before, -n, n), whole, F.substring(behind, 1, n))
-            first, second = (F.call_function("regexp_extract", whole, F.concat(F.lit("^(?:"), pattern, F.lit(")$")), F.lit(g)) for g in (1, 2))
-            name, title = (first, second) if name_first else (second, first)
-            squeeze = lambda c: F.regexp_replace(F.regexp_replace(c, r"\s+", " "), "^[ ,]+|[ ,]+$", "")
-            title = F.trim(F.regexp_replace(squeeze(title), r"(?i)\s+(and|or|of|the|for|at)$", ""))
-            refused = F.when(around(OUTSIDER_WINDOW).rlike(OUTSIDER), "speaks for another")
-            if not inside:
-                refused = refused.when(~F.regexp_like(around(COMPANY_WINDOW), known), "company not named near")
-            return F.struct(squeeze(name).alias("name"), title.alias("title"), F.lit(shape).alias("shape"), refused.otherwise("").alias("refused"))
-
-        return F.filter(F.transform(places, one), lambda p: (F.size(F.split(p["name"], " ")) >= 2) & (F.length(p["name"]) <= 60))
+
+        def people(parts):
+            places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: i < F.size(parts))
+
+            def one(x):
+                around = lambda n: F.concat(F.substring(x["before"], -n, n), x["whole"], F.substring(x["behind"], 1, n))
+                first, second = (F.call_function("regexp_extract", x["whole"], F.concat(F.lit("^(?:"), pattern, F.lit(")$")), F.lit(g)) for g in (1, 2))
+                name, title = (first, second) if name_first else (second, first)
+                squeeze = lambda c: F.regexp_replace(F.regexp_replace(c, r"\s+", " "), "^[ ,]+|[ ,]+$", "")
+                title = F.trim(F.regexp_replace(squeeze(title), r"(?i)\s+(and|or|of|the|for|at)$", ""))
+                refused = F.when(around(OUTSIDER_WINDOW).rlike(OUTSIDER), "speaks for another")
+                if not inside:
+                    refused = refused.when(~F.regexp_like(around(COMPANY_WINDOW), known), "company not named near")
+                return F.struct(squeeze(name).alias("name"), title.alias("title"), F.lit(shape).alias("shape"), refused.otherwise("").alias("refused"))
+
+            def at(i):
+                whole = F.substring_index(F.get(parts, i), "\x02", 1)
+                behind = mark(F.concat(F.substring(F.get(parts, i), F.length(whole) + 1, 10_000_000), F.array_join(F.slice(parts, i + 2, F.size(parts)), "")))
+                return F.struct(whole.alias("whole"), mark(F.array_join(F.slice(parts, 1, i), "")).alias("before"), behind.alias("behind"))
+
+            return F.filter(F.transform(places, lambda i: _once(at(i), one)), lambda p: (F.size(F.split(p["name"], " ")) >= 2) & (F.length(p["name"]) <= 60))
+
+        found = _once(F.split(F.regexp_replace(text, F.concat(F.lit("("), pattern, F.lit(")")), F.lit("\x01$1\x02")), "\x01"), people)
+        # Where a shape has a genitive in it, texts without one are not read through.
+        return F.when(F.contains(text, F.lit("'s")) | F.contains(text, F.lit("’s")), found).otherwise(none) if "(?:'s|’s)" in rx else found
 
     def told(every):
         # A refused mention doesn't stand in the way of a later one.
         first = F.filter(every, lambda p, i: (p["refused"] != "") | ~F.exists(F.slice(every, 1, i), lambda q: (q["refused"] == "") & (F.lower(q["name"]) == F.lower(p["name"]))))
         return F.concat(F.slice(F.filter(first, lambda p: p["refused"] == ""), 1, MAX_SPEAKERS), F.filter(first, lambda p: p["refused"] != ""))
 
-    none = F.array().cast("array<struct<name:string,title:string,shape:string,refused:string>>")
-    # Every shape has a title in it, and most texts have none.
-    some = F.coalesce(text.rlike(PROSE_TITLE), F.lit(False)) & known.isNotNull()
-    return F.when(some, F.get(F.transform(F.array(F.concat(*[of(*s) for s in SHAPES])), told), F.lit(0))).otherwise(none)
+    every = _once(company_pattern(company), lambda known: F.when(known.isNotNull(), F.concat(*[of(known, *s) for s in SHAPES])).otherwise(none))
+    return F.when(text.isNotNull(), _once(every, told)).otherwise(none)
 
 
 def _cut(pattern: str) -> list[str]:
