@@ -21,6 +21,7 @@ ties go to the language first in order; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -210,7 +211,7 @@ def training_sample(docs: DataFrame, sample: int, excerpt: int = 4096, pieces: i
     """(doc_id, text, lang) of about `sample` documents for each language, by a hash of the id; held-out rows never.
 
     A text longer than `excerpt` characters is cut into `pieces` even parts and gives a piece of each, at a place that the hash chooses, so the whole of it
-    is drawn from. No more than languages x sample rows of bounded size reach the driver, whatever the table holds.
+    is drawn from. No more than languages x sample rows of bounded size are trained on, whatever the table holds.
     """
     rows = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
     n = rows.groupBy("lang").agg(F.count("*").alias("n"))
@@ -222,9 +223,19 @@ def training_sample(docs: DataFrame, sample: int, excerpt: int = 4096, pieces: i
     return rows.join(if_small(n), "lang").where(share < F.lit(sample) / F.col("n")).select("doc_id", F.when(short, F.col("text")).otherwise(F.array_join(drawn, "\n")).alias("text"), "lang")
 
 
+def _trained(options: dict):
+    def run(batches):
+        rows = sorted(row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "lang")), strict=True))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1] for r in rows], [r[2] for r in rows], **options))], pa.binary())], ["model"])
+
+    return run
+
+
 def train(docs: DataFrame, *, sample: int = 400, excerpt: int = 4096, **options) -> LanguageModel | None:
-    rows = sorted(training_sample(docs, sample, excerpt).collect())
-    return fit([r.text for r in rows], [r.lang for r in rows], **options) if rows else None
+    """The model, trained in one task: the driver gets its tables only, not the texts or the arrays of the training."""
+    found = training_sample(docs, sample, excerpt).repartition(1).mapInArrow(_trained(options), "model binary").first()
+    return pickle.loads(found.model) if found else None
 
 
 def _predict(model: LanguageModel | None, carry: bool):

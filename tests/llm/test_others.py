@@ -403,3 +403,17 @@ def test_pipeline(spark, documents, tmp_path):
     assert kept[3] - {None} == {d for d, t in before if covered_share(t, leak) < 0.6}
     assert not kept[0] & {1000, 1001, 1002} and 7 in kept[2] and 7 not in kept[3] and kept[3] == kept[4]
     assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/sf").collect()} == kept[4]
+
+
+def test_training_stays_out_of_the_driver(spark, documents, monkeypatch):
+    """The pipeline's driver has no room for it; a task trains on the same sample, in the same order."""
+    import os
+
+    from sievework.llm import language_id
+
+    docs = documents.select("doc_id", "text", "lang")
+    rows = sorted(tuple(r) for r in language_id.training_sample(docs, 400).collect())
+    monkeypatch.setattr(language_id, "fit", lambda texts, labels, **options: (os.getpid(), texts, labels, options))
+    pid, *given = language_id.train(docs, epochs=2)
+    assert pid != os.getpid() and given == [[r[1] for r in rows], [r[2] for r in rows], {"epochs": 2}]
+    assert language_id.train(docs.limit(0)) is None
